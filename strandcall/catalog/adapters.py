@@ -10,8 +10,24 @@ from strandcall.functions.text import MESSAGE_TYPE
 from strandcall.vocab import DOWN, UNCHANGED, UP
 
 
+# Columns in use, so that no file has to be opened to plan a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_discount double, l_returnflag string, l_linestatus string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, event_type string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _cells(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:

@@ -492,8 +492,7 @@ def preview(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = A.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(A.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 @query

@@ -1,8 +1,8 @@
 """Parsing of tagged model responses, and chat messages as nested columns.
 
-Each ``*_col`` helper is one plain expression. Parsers that look at the same
-tag more than once are offered on DataFrames (``with_*``): the tag is cut out in
-one projection and judged in the next, so a long text is scanned once per tag.
+Small helpers are plain column expressions. Parsers are offered on DataFrames
+(``with_*``): a tag is cut out of the long text once, and what is decided about
+it afterwards looks at the short tag only (see ``compute_once``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,18 @@ ITEM_PATTERN = r"""'[^']*'|"[^"]*\""""
 LIST_BODY_PATTERN = r"""(?s)^\[\s*(?:(?:'[^']*'|"[^"]*")\s*(?:,\s*(?:'[^']*'|"[^"]*")\s*)*,?\s*)?\]$"""
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever is done with them.
+
+    A filter on an ordinary computed column is pushed below it by copying its
+    expression, and a nested expression multiplies with every copy. Filters do
+    not move below a generator, so the columns are made by one with one row.
+    """
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(values)))
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
@@ -44,13 +56,22 @@ def extract_answer(col: Column) -> Column:
     return first_class_in(F.lower(tag_text(col, "answer")))
 
 
+def _with_answer_tag(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_tag``: the lower-cased answer tag, by plain string search.
+
+    Only the lower-cased text matters here, so no regex is needed. The long s is
+    the one letter that equals a letter of the tag in any case but this one.
+    """
+    lowered = F.replace(F.lower(F.col(text)), F.lit("an\u017fwer"), F.lit("answer"))
+    opened = F.nullif(F.instr("_tag", "<answer>"), F.lit(0))
+    rest = df.withColumn("_tag", lowered).withColumn("_tag", F.substr("_tag", opened + len("<answer>")))
+    closed = F.contains(F.col("_tag"), F.lit("</answer>"))
+    return compute_once(rest, _tag=F.when(closed, F.substring_index("_tag", "</answer>", 1)))
+
+
 def with_answer(df: DataFrame, text: str = "generated_text", out: str = "extracted_answer") -> DataFrame:
     """Add the parsed answer class, null when there is none."""
-    return (
-        df.withColumn("_tag", F.lower(tag_text(F.col(text), "answer")))
-        .withColumn(out, first_class_in(F.col("_tag")))
-        .drop("_tag")
-    )
+    return _with_answer_tag(df, text).withColumn(out, first_class_in(F.col("_tag"))).drop("_tag")
 
 
 def with_think_answer(df: DataFrame, text: str = "generated_text") -> DataFrame:
@@ -58,10 +79,9 @@ def with_think_answer(df: DataFrame, text: str = "generated_text") -> DataFrame:
 
     Without a think block both are null; an empty block still counts.
     """
+    tagged = compute_once(_with_answer_tag(df, text), generated_thinking=tag_text(F.col(text), "think"))
     return (
-        df.withColumn("generated_thinking", tag_text(F.col(text), "think"))
-        .withColumn("_tag", F.lower(tag_text(F.col(text), "answer")))
-        .withColumn(
+        tagged.withColumn(
             "generated_answer",
             F.when(F.col("generated_thinking").isNotNull(), first_class_in(F.col("_tag"))),
         )
@@ -71,12 +91,12 @@ def with_think_answer(df: DataFrame, text: str = "generated_text") -> DataFrame:
 
 def with_critic(df: DataFrame, text: str = "critic_text") -> DataFrame:
     """Add ``critic_evaluation`` (null unless on the scale) and ``critic_reasoning``."""
-    return (
-        df.withColumn("critic_reasoning", tag_text(F.col(text), "reasoning"))
-        .withColumn("_tag", F.lower(tag_text(F.col(text), "evaluation")))
-        .withColumn("critic_evaluation", F.when(F.col("_tag").isin(*RATINGS), F.col("_tag")))
-        .drop("_tag")
+    tagged = compute_once(
+        df,
+        critic_reasoning=tag_text(F.col(text), "reasoning"),
+        _tag=F.lower(tag_text(F.col(text), "evaluation")),
     )
+    return tagged.withColumn("critic_evaluation", F.when(F.col("_tag").isin(*RATINGS), F.col("_tag"))).drop("_tag")
 
 
 def or_not_available(col: Column) -> Column:
@@ -110,11 +130,12 @@ def with_gene_lists(df: DataFrame, text: str = "generated_text", out: str = "gen
     def items(body: Column) -> Column:
         return F.when(body.isNull(), empty).otherwise(_items(body))
 
+    tagged = compute_once(df, _tag=tag_text(F.col(text), "answer"))
+    bodies = compute_once(
+        tagged, _up=_list_body(F.col("_tag"), "Upregulated"), _down=_list_body(F.col("_tag"), "Downregulated")
+    )
     return (
-        df.withColumn("_tag", tag_text(F.col(text), "answer"))
-        .withColumn("_up", _list_body(F.col("_tag"), "Upregulated"))
-        .withColumn("_down", _list_body(F.col("_tag"), "Downregulated"))
-        .withColumn(
+        bodies.withColumn(
             out,
             F.when(
                 F.col("_tag").isNotNull() & readable(up) & readable(down),

@@ -127,20 +127,16 @@ def prediction_distribution(results: DataFrame) -> DataFrame:
 
     Failed calls land in the last bucket but not in the denominator.
     """
-    answer = F.when(F.col("extracted_answer").isin(*CLASSES), F.col("extracted_answer")).otherwise(NONE_OTHER)
-    counted = results.groupBy(answer.alias("answer")).agg(
-        tally(results).alias("n"), tally(results, ~failed(results)).alias("ok")
+    answer = F.col("extracted_answer")
+    other = ~F.coalesce(answer.isin(*CLASSES), F.lit(False))
+    counts = results.agg(
+        tally(results, ~failed(results)).alias("evaluated"),
+        *[tally(results, answer == word).alias(word) for word in CLASSES],
+        tally(results, other).alias(NONE_OTHER),
     )
-    evaluated = F.sum("ok").over(Window.partitionBy())
-    return (
-        _label_table(results, "answer", (*CLASSES, NONE_OTHER))
-        .join(counted, "answer", "left")
-        .select(
-            "answer",
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-            F.coalesce(evaluated, F.lit(0)).alias("evaluated"),
-        )
-        .withColumn("pct", percent(F.col("n"), F.col("evaluated")))
+    rows = [F.struct(F.lit(word).alias("answer"), F.col(f"`{word}`").alias("n")) for word in (*CLASSES, NONE_OTHER)]
+    return counts.select(F.inline(F.array(*rows)), "evaluated").withColumn(
+        "pct", percent(F.col("n"), F.col("evaluated"))
     )
 
 
@@ -228,38 +224,37 @@ def auroc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve of ``score`` against ``y``, ties counted half.
 
     Rows are counted per score first. The number of negatives below a score is a
-    running total over equal-width score buckets plus a running total inside the
-    bucket, so many different scores do not meet in one task. Null when a group
-    has a single class (or fewer than two rows).
+    running total over score buckets plus a running total inside the bucket, so
+    many different scores do not meet in one task. The arc tangent keeps the order
+    of any scores and maps them to some 3,000 buckets without looking at the data.
+    Null when a group has a single class (or fewer than two rows).
     """
     counts = scored.groupBy(*by, "score").agg(
         F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
     )
-    span = counts.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high"))).scalar()
-    low, high = span["low"], span["high"]
-    width = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(0.0))
-    bucketed = counts.withColumn("bucket", F.floor(width * SCORE_BUCKETS))
+    bucketed = counts.withColumn("bucket", F.floor(F.atan("score") * SCORE_BUCKETS))
     before = (Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by).orderBy("bucket").rowsBetween(*before)
     within = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(*before)
-    offsets = (
-        bucketed.groupBy(*by, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .select(*by, "bucket", F.coalesce(F.sum("bucket_n").over(across), F.lit(0)).alias("offset"))
+    across = Window.partitionBy(*by).orderBy("bucket").rowsBetween(*before)
+    p, n = F.col("p").cast("double"), F.col("n")
+    inner = p * (F.coalesce(F.sum("n").over(within), F.lit(0)) + n / 2.0)
+    per_bucket = (
+        bucketed.withColumn("inner", inner)
+        .groupBy(*by, "bucket")
+        .agg(F.sum("inner").alias("inner"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     )
-    below = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    placed = bucketed.join(offsets, [*by, "bucket"]).withColumn("below", below)
-    wins = F.sum(F.col("p").cast("double") * (F.col("below") + F.col("n") / 2.0))
-    area = F.round(F.col("wins") / (F.col("positives").cast("double") * F.col("negatives")), 6)
+    wins = F.col("inner") + p * F.coalesce(F.sum("n").over(across), F.lit(0))
+    positives, negatives = F.col("positives"), F.col("negatives")
+    area = F.round(F.col("wins") / (positives.cast("double") * negatives), 6)
     return (
-        placed.groupBy(*by)
-        .agg(wins.alias("wins"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
-        .select(
-            *by,
-            F.when((F.col("positives") > 0) & (F.col("negatives") > 0), area).alias("auroc"),
-            F.coalesce("positives", F.lit(0)).alias("positives"),
-            F.coalesce("negatives", F.lit(0)).alias("negatives"),
+        per_bucket.withColumn("wins", wins)
+        .groupBy(*by)
+        .agg(
+            F.sum("wins").alias("wins"),
+            F.coalesce(F.sum("p"), F.lit(0)).alias("positives"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"),
         )
+        .select(*by, F.when((positives > 0) & (negatives > 0), area).alias("auroc"), "positives", "negatives")
     )
 
 
