@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandcall.functions.prompts import user_prompt
 from strandcall.functions.text import MESSAGE_TYPE
-from strandcall.vocab import DOWN, UNCHANGED, UP
+from strandcall.operators.keys import group_packed
+from strandcall.vocab import DOWN, SAMPLE_KEYS, UNCHANGED, UP
 
 
 # Columns in use, so that no file has to be opened to plan a query.
@@ -69,7 +70,7 @@ def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys used for training before."""
-    return _cells(spark, sf_dir).where(F.col("l_quantity") > 45).select("pert", "gene", "cell_type").distinct()
+    return _cells(spark, sf_dir).where(F.col("l_quantity") > 45).select(*SAMPLE_KEYS)
 
 
 def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +202,5 @@ def pert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background per sample key: how often it was used before."""
-    return (
-        _cells(spark, sf_dir)
-        .where(F.col("l_quantity") > 45)
-        .groupBy("pert", "gene", "cell_type")
-        .agg(F.concat(F.lit("used "), F.count(F.lit(1)).cast("string"), F.lit(" times")).alias("context"))
-    )
+    context = F.concat(F.lit("used "), F.count(F.lit(1)).cast("string"), F.lit(" times")).alias("context")
+    return group_packed(_cells(spark, sf_dir).where(F.col("l_quantity") > 45), SAMPLE_KEYS, context)

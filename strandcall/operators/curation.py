@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandcall.functions.text import or_not_available, with_critic, with_think_answer
+from strandcall.operators.keys import group_packed
 from strandcall.operators.metrics import percent
 
 # Columns of an accepted example, in file order.
@@ -151,9 +152,7 @@ def fail_batches(df: DataFrame, is_error: Column, batch: str = "batch_id") -> Da
     The failed batches are a distinct list joined back, so rows with long texts
     are not gathered per batch.
     """
-    failed = (
-        df.where(is_error).select(F.struct(batch).alias("key")).distinct().select("key.*", F.lit(True).alias("api_error"))
-    )
+    failed = group_packed(df.where(is_error), [batch]).withColumn("api_error", F.lit(True))
     return df.join(failed, batch, "left").withColumn("api_error", F.coalesce("api_error", F.lit(False)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandcall.functions.labels import UNRESOLVED, raw_label, repair_label
+from strandcall.operators.keys import group_packed
 from strandcall.vocab import SAMPLE_KEYS
 
 # Longest run of equal direction rows kept in one row of the collapsed side.
@@ -44,20 +45,12 @@ def valid_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def collapse_directions(directions: DataFrame) -> DataFrame:
-    """One row per key, direction and run of at most ``RUN_ROWS`` equal rows.
-
-    The keys are packed while counting. Their partitioning is then not reused by
-    the join, which keeps a plain shuffle below it (see the module text).
-    """
-    counted = directions.groupBy(
-        F.struct(*SAMPLE_KEYS).alias("key"), F.col("label").alias("direction")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """One row per key, direction and run of at most ``RUN_ROWS`` equal rows."""
+    counted = group_packed(directions, [*SAMPLE_KEYS, "label"], F.count(F.lit(1)).alias("n"))
     last_run = F.floor((F.col("n") - 1) / RUN_ROWS)
     return counted.withColumn("run", F.explode(F.sequence(F.lit(0), last_run))).select(
-        F.col("key.pert").alias("d_pert"),
-        F.col("key.gene").alias("d_gene"),
-        F.col("key.cell_type").alias("d_cell_type"),
-        "direction",
+        *[F.col(key).alias(f"d_{key}") for key in SAMPLE_KEYS],
+        F.col("label").alias("direction"),
         F.least(F.lit(RUN_ROWS), F.col("n") - F.col("run") * RUN_ROWS).cast("int").alias("copies"),
     )
 
@@ -161,12 +154,9 @@ def label_quality(calls: DataFrame, directions: DataFrame) -> DataFrame:
 
 
 def distinct_used(used: DataFrame) -> DataFrame:
-    """Distinct complete keys of already used examples.
-
-    Packed for the same reason as in ``collapse_directions``.
-    """
+    """Distinct complete keys of already used examples."""
     complete = F.col("pert").isNotNull() & F.col("gene").isNotNull() & F.col("cell_type").isNotNull()
-    return used.where(complete).select(F.struct(*SAMPLE_KEYS).alias("key")).distinct().select("key.*")
+    return group_packed(used.where(complete), SAMPLE_KEYS)
 
 
 def exclude_used(samples: DataFrame, used: DataFrame) -> DataFrame:
