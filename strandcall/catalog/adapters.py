@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcall.functions.prompts import user_prompt
-from strandcall.functions.text import MESSAGE_TYPE
+from strandcall.functions.text import MESSAGE_TYPE, list_solution
 from strandcall.operators.keys import group_packed
 from strandcall.vocab import DOWN, SAMPLE_KEYS, UNCHANGED, UP
 
@@ -96,8 +96,8 @@ def results(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) ->
     )
 
 
-def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generator responses, one per document, in all shapes the parser must handle."""
+def generated(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """Generator responses, one per (stored or streamed) document, in all shapes a parser must handle."""
     text, case = F.col("text"), F.col("doc_id") % 9
     think = F.concat(F.lit("<think>"), text, F.lit("</think>"))
     response = (
@@ -112,9 +112,9 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
     )
     gold = F.when(F.col("doc_id") % 3 == 0, UNCHANGED).when(F.col("doc_id") % 3 == 1, DOWN).otherwise(UP)
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
     return (
-        table(spark, sf_dir, "documents")
-        .select(
+        documents.select(
             "doc_id",
             F.floor(F.col("doc_id") / 32).alias("batch_id"),
             F.col("source").alias("pert"),
@@ -204,3 +204,11 @@ def key_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background per sample key: how often it was used before."""
     context = F.concat(F.lit("used "), F.count(F.lit(1)).cast("string"), F.lit(" times")).alias("context")
     return group_packed(_cells(spark, sf_dir).where(F.col("l_quantity") > 45), SAMPLE_KEYS, context)
+
+
+def list_replies(gold: DataFrame) -> DataFrame:
+    """Replies to the gene-list question: right for one region, lists swapped for the others."""
+    up, down = F.col("upregulated"), F.col("downregulated")
+    right = F.col("cell_type") == "ASIA"
+    text = F.when(right, list_solution(up, down)).otherwise(list_solution(down, up))
+    return gold.select("pert", "cell_type", text.alias("generated_text"))

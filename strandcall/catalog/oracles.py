@@ -423,6 +423,9 @@ from (select doc_id, tag, {list_body('Upregulated')} as up, {list_body('Downregu
          when 3 then '<answer>upregulated: [''lower case key'']</answer>'
          else 'none' end as generated_text
 from documents)))""",
+    "gene_list_answers": sql(
+        "select pert, cell_type, cell_type = 'ASIA' or up = down as is_correct from lists", "lists"
+    ),
     # parsing
     "extract_answer": sql(f"select doc_id, {first_class('tag')} as extracted_answer from gen_tag", "gen_tag"),
     "extract_think_answer": sql(
@@ -462,6 +465,16 @@ from de left join (select pert, gene, cell_type, concat('used ', cast(count(*) a
                    from de where l_quantity > 45 group by pert, gene, cell_type) c using (pert, gene, cell_type)""",
         "de",
     ),
+    "single_file_prompts": sql(
+        f"""select pert, gene, label, case label when 0 then 'down' else 'up' end as solution,
+       {text(P.UP_DOWN_SYSTEM)} || ' ' || {render(P.QUESTION, pert='pert', gene='gene', cell_type="'rpe1'")}
+       || coalesce({render(P.CONTEXT_LEAD, context='context')}, '') as chat
+from (select pert, gene, case l_linenumber when 1 then 1 when 2 then 0 when 3 then 1 when 7 then 0 end as label from de
+      where l_linenumber in (1, 2, 3, 7)) d
+left join (select concat('S', cast(s_suppkey as varchar)) as pert, s_name as context from supplier
+           where s_acctbal > 0) c using (pert)""",
+        "de",
+    ),
     "first_user_message": sql(
         f"select doc_id, cast(len({USABLE}) as integer) as n_usable, {FIRST_USER} as user_query from valid", "valid"
     ),
@@ -581,7 +594,7 @@ from levels where level <> 'overall'""",
     ),
     "auroc_summary": sql(
         f"""select cell_type, round(avg(auroc), 6) as mean_auroc, round(stddev_pop(auroc), 6) as std_auroc,
-       cast(count(auroc) as bigint) as valid_runs, cast(count(*) as bigint) as runs
+       cast(count(auroc) as bigint) as valid_runs, cast(3 as bigint) as runs
 from ({auroc(scored(runs_of(), 'dif', 'run, cell_type, '), 'run, cell_type')}) group by cell_type""",
         "res",
     ),
@@ -616,4 +629,9 @@ where row_index // 32 < (select count(*) // 32 from gen)""",
        cast(count(*) filter (where event_type = 'purchase') as bigint) as approved,
        {pct("count(*) filter (where event_type = 'purchase')", 'count(*)')} as approval_pct from events""",
     "stream_results": sql("select * from levels", "levels"),
+    "stream_curation": sql(
+        f"""select cast(count(*) as bigint) as processed, cast(count(*) filter (where approved) as bigint) as approved,
+       {pct('count(*) filter (where approved)', 'count(*)')} as approval_pct from judged""",
+        "judged",
+    ),
 }

@@ -12,7 +12,7 @@ from strandcall.functions import prompts as P
 from strandcall.functions import text as X
 from strandcall.functions.labels import gold_trinary, label_text, pred_score
 from strandcall.operators import batching, curation, labelling, lists, metrics, sampling, splits
-from strandcall.plans import evaluate, reports
+from strandcall.plans import datasets, evaluate, reports
 from strandcall.plans.training_set import sft_text
 from strandcall.session import new_folder, stage
 from strandcall.streaming import running
@@ -189,6 +189,13 @@ def extract_gene_lists(spark, sf_dir):
     )
 
 
+@query
+def gene_list_answers(spark, sf_dir):
+    gold = lists.gene_lists(A.directions(spark, sf_dir))
+    answers = X.with_gene_lists(A.list_replies(gold)).drop("generated_text")
+    return lists.same_lists(answers, gold, ["pert", "cell_type"]).select("pert", "cell_type", "is_correct")
+
+
 # --- parsing --------------------------------------------------------------------
 
 
@@ -253,6 +260,13 @@ def context_prompts_by_key(spark, sf_dir):
     return joined.select(*SAMPLE_KEYS, P.add_context(P.user_prompt(), F.col("context")).alias("prompt"))
 
 
+@query
+def single_file_prompts(spark, sf_dir):
+    calls = A.raw_calls(spark, sf_dir)
+    samples = datasets.single_file_samples(calls, "rpe1", A.pert_context(spark, sf_dir))
+    return samples.select("pert", "gene", "label", "solution", X.render_chat(F.col("prompt"), "joined").alias("chat"))
+
+
 @query
 def first_user_message(spark, sf_dir):
     usable = F.size(X.usable_messages(F.col("prompt")))
@@ -433,7 +447,7 @@ def auroc_runs(spark, sf_dir):
 @query
 def auroc_summary(spark, sf_dir):
     runs = evaluate.auroc_runs(_stored_results(spark, sf_dir), "dif", SAMPLE_KEYS, SEED, by_cell=True)
-    return metrics.auroc_summary(runs, ("cell_type",))
+    return metrics.auroc_summary(runs, evaluate.AUROC_RUNS, ("cell_type",))
 
 
 # --- samples and batches ----------------------------------------------------------
@@ -511,3 +525,13 @@ def stream_results(spark, sf_dir):
     target = new_folder(spark, "results")
     running.finish(running.stream_results(narrow, target, new_folder(spark, "results-log")))
     return metrics.accuracy_rollup(running.stored_results(narrow, target))
+
+
+@query
+def stream_curation(spark, sf_dir):
+    documents = _stream(spark, sf_dir, "documents")
+    judged = curation.judged(A.generated(spark, sf_dir, documents), A.critic(spark, sf_dir), "doc_id")
+    totals = running.running_approval(judged, curation.acceptable(RATINGS))
+    target = new_folder(spark, "curation")
+    running.finish(running.write_snapshot(totals, target, new_folder(spark, "curation-log")))
+    return spark.read.schema(totals.schema).parquet(target)

@@ -95,6 +95,8 @@ LIST_TEMPLATES = {
 LIST_FALLBACK = "List the genes that rise and those that fall, as asked by the user. " + LIST_FORMAT
 LIST_QUESTION = "Which genes rise and which fall when {pert} is silenced in {cell_type} cells?"
 
+UP_DOWN_SYSTEM = ROLE + THINK + "Finish with up or down between <answer> and </answer>." + SHAPE
+
 CRITIC_SYSTEM = (
     "You review how another model reasoned about a gene knockdown. Judge only the reasoning, not the final answer: "
     "is it biologically right, does each step follow, does it fit the cell line?\n"

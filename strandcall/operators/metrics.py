@@ -258,11 +258,15 @@ def auroc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def auroc_summary(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean and population deviation over runs; runs without a value are left out."""
-    return runs.groupBy(*by).agg(
+def auroc_summary(per_run: DataFrame, runs: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation over runs; runs without a value are left out.
+
+    ``runs`` is the number of runs made: one that drew no row of a group is
+    missing from ``per_run`` but still counts.
+    """
+    return per_run.groupBy(*by).agg(
         F.round(F.avg("auroc"), 6).alias("mean_auroc"),
         F.round(F.stddev_pop("auroc"), 6).alias("std_auroc"),
         F.count("auroc").alias("valid_runs"),
-        F.count(F.lit(1)).alias("runs"),
+        F.lit(runs).cast("bigint").alias("runs"),
     )

@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.functions.labels import label_text
-from strandcall.functions.prompts import chat_prompt, critic_prompt, system_prompt, user_prompt
+from strandcall.functions.prompts import critic_prompt
 from strandcall.functions.text import first_user, tag_text
 from strandcall.operators.curation import accepted_examples, attach_responses, to_examples
-from strandcall.operators.labelling import exclude_used, labelled_samples
 from strandcall.operators.sampling import sample_exact
-from strandcall.operators.splits import filter_holdout
+from strandcall.plans.datasets import with_prompt
 from strandcall.session import stage
 from strandcall.vocab import SAMPLE_KEYS
 
@@ -22,21 +20,6 @@ TRAIN_FRACTION = 0.15
 SEED = 88
 
 
-def load_samples(
-    calls: DataFrame,
-    directions: DataFrame,
-    split: str | None = "train",
-    test_lines: str | None = "none",
-    used: DataFrame | None = None,
-) -> DataFrame:
-    """Labelled samples of one split: keys, label, gold text."""
-    narrow = filter_holdout(calls, split, test_lines).select("cell_type", "pert", "gene", "label")
-    samples = labelled_samples(narrow, directions)
-    if used is not None:
-        samples = exclude_used(samples, used)
-    return samples.select(*SAMPLE_KEYS, "label", label_text(F.col("label")).alias("solution"))
-
-
 def generator_requests(
     samples: DataFrame,
     mode: str = "o3_synth_data_with_ans",
@@ -46,7 +29,7 @@ def generator_requests(
 ) -> DataFrame:
     """Sampled rows with the chat prompt to send. Prompts are rendered last."""
     chosen = sample_exact(stage(samples, "samples"), fraction, seed, SAMPLE_KEYS)
-    return chosen.withColumn("prompt", chat_prompt(system_prompt(mode, tool), user_prompt(mode)))
+    return with_prompt(chosen, mode, tool)
 
 
 def critic_requests(requests: DataFrame, responses: DataFrame, checklist: bool = False) -> DataFrame:

@@ -74,4 +74,4 @@ def auroc_report(
     results = stage(narrow, "results")
     overall = auroc_runs(results, stage_name, keys, seed, runs)
     cells = auroc_runs(results, stage_name, keys, seed, runs, by_cell=True)
-    return auroc_lines(metrics.auroc_summary(overall), metrics.auroc_summary(cells, ("cell_type",)))
+    return auroc_lines(metrics.auroc_summary(overall, runs), metrics.auroc_summary(cells, runs, ("cell_type",)))

@@ -156,7 +156,9 @@ def test_summary_leaves_out_invalid_runs(spark, rows):
     runs = spark.createDataFrame(
         [(1, "k", 0.5), (2, "k", 0.7), (3, "k", None), (1, "h", None)], "run int, cell_type string, auroc double"
     )
-    assert rows(M.auroc_summary(runs, ("cell_type",))) == [("h", None, None, 0, 1), ("k", 0.6, 0.1, 2, 3)]
-    lines = [r.line for r in auroc_lines(M.auroc_summary(runs.where("cell_type = 'k'")), M.auroc_summary(runs, ("cell_type",))).orderBy("section", "position").collect()]
+    assert rows(M.auroc_summary(runs, 3, ("cell_type",))) == [("h", None, None, 0, 3), ("k", 0.6, 0.1, 2, 3)]
+    overall = M.auroc_summary(runs.where("cell_type = 'k'"), 3)
+    report = auroc_lines(overall, M.auroc_summary(runs, 3, ("cell_type",)))
+    lines = [r.line for r in report.orderBy("section", "position").collect()]
     assert lines[1] == "Mean Overall AUROC across runs: 0.6000 (Std: 0.1000, Valid Runs: 2/3)"
     assert lines[2] == "  h: Not calculable or no valid scores in any run."

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandcall.operators.curation import EXAMPLE_COLUMNS
 from strandcall.plans import create_examples as create
-from strandcall.plans import evaluate, training_set
+from strandcall.plans import datasets, evaluate, training_set
 from strandcall.session import shared_folder, stage
 from strandcall.sources.calls import read_examples, read_pairs
 from strandcall.sources.sinks import write_examples
@@ -25,9 +25,9 @@ def tree(tmp_path):
 def test_create_and_train(spark, tree, tmp_path, rows):
     calls, directions = read_pairs(spark, tree)
     used = calls.where("pert = 'P1'").select(*SAMPLE_KEYS)
-    samples = create.load_samples(calls, directions, "train", used=used)
+    samples = datasets.load_samples(calls, directions, "train", used=used)
     assert samples.count() == 300 - 2
-    assert create.load_samples(calls, directions, "test", "hepg2").count() == 200
+    assert datasets.load_samples(calls, directions, "test", "hepg2").count() == 200
 
     requests = stage(create.generator_requests(samples, fraction=0.5))
     assert requests.count() == 149
@@ -63,7 +63,7 @@ def test_create_and_train(spark, tree, tmp_path, rows):
 
 def test_evaluate(spark, tree):
     calls, directions = read_pairs(spark, tree)
-    samples = create.load_samples(calls, directions, "test")
+    samples = datasets.load_samples(calls, directions, "test")
     answer = F.when(F.col("label") == 1, DOWN).when(F.col("label") == 2, UP).otherwise(UP)
     responses = samples.withColumn("generated_text", F.concat(F.lit("<answer>"), answer, F.lit("</answer>")))
     report = evaluate.evaluate(responses)
@@ -79,7 +79,7 @@ def test_evaluate(spark, tree):
 
 def test_prompts_are_rendered_after_sampling(spark, tree):
     calls, directions = read_pairs(spark, tree)
-    plan = create.generator_requests(create.load_samples(calls, directions))._jdf.queryExecution().executedPlan().toString()
+    plan = create.generator_requests(datasets.load_samples(calls, directions))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
 
 
@@ -87,3 +87,35 @@ def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     staged = stage(spark.range(3))
     assert all(shared_folder(spark) in f for f in staged.inputFiles())
+
+
+def test_gene_list_samples(spark, tree, rows):
+    _, directions = read_pairs(spark, tree)
+    samples = datasets.gene_list_samples(directions, "test", "hepg2", "synth_data_with_ans")
+    row = samples.where("pert = 'P1'").first()
+    assert (row.upregulated, row.downregulated) == (["G1"], [])
+    assert row.solution_text == "<answer>Upregulated: ['G1']\nDownregulated: []</answer>"
+    assert "Upregulated: ['G1']\nDownregulated: []" in row.prompt[0].content
+    assert {r[0] for r in rows(samples, "cell_type")} == {"HepG2"}
+
+
+def test_single_file_samples(spark, rows):
+    data = [("A", "x", "1"), ("A", "y", "0.0"), ("B", "x", "7")]
+    frame = spark.createDataFrame(data, "pert string, gene string, label string")
+    context = spark.createDataFrame([("A", "background")], "pert string, context string")
+    got = datasets.single_file_samples(frame, "rpe1", context)
+    assert rows(got, "pert", "gene", "cell_type", "label", "solution") == [
+        ("A", "x", "rpe1", 1, "up"),
+        ("A", "y", "rpe1", 0, "down"),
+    ]
+    assert all("rpe1" in r.prompt[1].content and "background" in r.prompt[1].content for r in got.collect())
+    plain = datasets.single_file_samples(frame, "rpe1").first()
+    assert "may help" not in plain.prompt[1].content
+
+
+@pytest.mark.parametrize("training", [True, False])
+def test_prompt_batches(spark, tree, training):
+    calls, directions = read_pairs(spark, tree)
+    batches = datasets.prompt_batches(datasets.load_samples(calls, directions, "test"), 32, training=training)
+    assert batches.count() == (96 if training else 100)
+    assert batches.where(F.size("prompt") == 2).count() == batches.count()
