@@ -99,11 +99,7 @@ def labelled_samples(spark, sf_dir):
 
 @query
 def label_validity(spark, sf_dir):
-    clean, rejected = labelling.valid_labels(A.raw_calls(spark, sf_dir))
-    kept = clean.groupBy(F.col("label").cast("string").alias("label"), F.lit("kept").alias("reason")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return kept.unionByName(rejected)
+    return labelling.label_report(A.raw_calls(spark, sf_dir))
 
 
 @query

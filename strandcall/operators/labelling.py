@@ -20,28 +20,39 @@ RUN_ROWS = 4096
 NULL_SAFE_KEYS = ("cell_type", "_pert", "_pert_missing", "_gene", "_gene_missing")
 
 
+def _label_number() -> Column:
+    return F.expr("try_cast(label as double)")
+
+
+def _usable_label() -> Column:
+    return F.coalesce(_label_number().isin(0.0, 1.0), F.lit(False))
+
+
+def label_report(df: DataFrame) -> DataFrame:
+    """Rows by label text and verdict: ``kept``, ``not a number``, ``not 0 or 1``."""
+    number = _label_number()
+    reason = F.when(number.isNull() | F.isnan(number), "not a number").otherwise("not 0 or 1")
+    kept = number.cast("int").cast("string")
+    return df.groupBy(
+        F.when(_usable_label(), kept).otherwise(F.col("label").cast("string")).alias("label"),
+        F.when(_usable_label(), "kept").otherwise(reason).alias("reason"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 def valid_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split off rows whose label is not 0 or 1.
 
     Returns the clean rows (label int, keys string) and a count of rejects by
     label text and reason.
     """
-    number = F.expr("try_cast(label as double)")
-    usable = F.coalesce(number.isin(0.0, 1.0), F.lit(False))
-    clean = df.where(usable).withColumns(
+    clean = df.where(_usable_label()).withColumns(
         {
             "pert": F.col("pert").cast("string"),
             "gene": F.col("gene").cast("string"),
-            "label": number.cast("int"),
+            "label": _label_number().cast("int"),
         }
     )
-    reason = F.when(number.isNull() | F.isnan(number), "not a number").otherwise("not 0 or 1")
-    rejected = (
-        df.where(~usable)
-        .groupBy(F.col("label").cast("string").alias("label"), reason.alias("reason"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return clean, rejected
+    return clean, label_report(df.where(~_usable_label()))
 
 
 def collapse_directions(directions: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from strandcall.operators.ordering import HASH, bucket_of, collapse, expand, hash_of
+from strandcall.operators.ordering import BUCKET_DIGITS, HASH, bucket_of, collapse, expand, hash_of
 from strandcall.operators.splits import filter_direction
 
 RUN = "run"
+LARGE_BUCKET = 1_000_000  # a bucket with more rows is cut by a longer prefix first
 
 
 @dataclass(frozen=True)
@@ -60,32 +61,44 @@ def _per_run(values: dict[int, object], default: object) -> Column:
     return expr
 
 
+def _same_prefix(prefixes: dict[int, str], digits: int) -> Column:
+    return F.substring(HASH, 1, digits) == _per_run(prefixes, None)
+
+
 def find_cuts(keyed: DataFrame, fraction: float, min_one: bool, wanted: dict[int, int] | None = None) -> list[Cut]:
-    """Cuts of a frame with ``RUN`` and ``HASH``; at most one row per run is collected."""
+    """Cuts of a frame with ``RUN`` and ``HASH``; at most one row per run is collected.
+
+    Positions are counted over hash prefixes, over longer prefixes where the
+    bucket at the cut is still large, and finally over the hashes of one bucket.
+    """
     by_prefix = keyed.groupBy(RUN, bucket_of().alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(RUN))
     size = _per_run(wanted, 0) if wanted is not None else _wanted(F.col("total"), fraction, min_one)
     sized = by_prefix.withColumn("total", total).withColumn("wanted", size.cast("bigint"))
-    prefixes = {row[RUN]: row for row in _crossing(sized, "prefix").collect()}
-    if not prefixes:
+    first = {row[RUN]: row for row in _crossing(sized, "prefix").collect()}
+    if not first:
         return []
-    inside = bucket_of() == _per_run({run: row["prefix"] for run, row in prefixes.items()}, None)
-    by_hash = (
-        keyed.where(inside)
-        .groupBy(RUN, HASH)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("wanted", _per_run({run: row["needed"] for run, row in prefixes.items()}, 0).cast("bigint"))
-    )
+
+    def crossing_in(at: dict[int, Row], digits: int, item: Column) -> dict[int, Row]:
+        inside = keyed.where(_same_prefix({run: row["prefix"] for run, row in at.items()}, digits))
+        counted = inside.groupBy(RUN, item.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        left = _per_run({run: row["needed"] for run, row in at.items()}, 0).cast("bigint")
+        return {row[RUN]: row for row in _crossing(counted.withColumn("wanted", left), "prefix").collect()}
+
+    digits, at = BUCKET_DIGITS, first
+    if max(row["n"] for row in at.values()) > LARGE_BUCKET:
+        at = crossing_in(at, digits, F.substring(HASH, 1, 2 * digits))
+        digits = 2 * digits
     return [
         Cut(
-            run=row[RUN],
-            total=prefixes[row[RUN]]["total"],
-            wanted=prefixes[row[RUN]]["wanted"],
-            last_hash=row[HASH],
+            run=run,
+            total=first[run]["total"],
+            wanted=first[run]["wanted"],
+            last_hash=row["prefix"],
             needed=row["needed"],
             present=row["n"],
         )
-        for row in _crossing(by_hash, HASH).collect()
+        for run, row in crossing_in(at, digits, F.col(HASH)).items()
     ]
 
 

@@ -37,6 +37,12 @@ def test_sample_is_the_head_of_the_hash_order(numbers, fraction):
     assert sorted(r.id for r in again.collect()) == sorted(want)
 
 
+def test_large_buckets_are_cut_twice(numbers, copies, monkeypatch):
+    plain = [sorted(S.sample_exact(df, 0.4, 3, [k]).collect()) for df, k in ((numbers, "id"), (copies, "key"))]
+    monkeypatch.setattr(S, "LARGE_BUCKET", 0)
+    assert plain == [sorted(S.sample_exact(df, 0.4, 3, [k]).collect()) for df, k in ((numbers, "id"), (copies, "key"))]
+
+
 def test_minimum(numbers):
     tiny = numbers.where("id < 3")
     assert S.sample_exact(tiny, 0.1, 1, ["id"]).count() == 1
