@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+STAGE_ROW_GROUP = 8 * 1024 * 1024
 
 
 def build_session(app: str = "strandcall", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,8 +53,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Use it in front of operators that read their input several times: later
     passes prune columns from parquet, and a lost executor costs a re-read
-    instead of the whole upstream plan.
+    instead of the whole upstream plan. Row groups are kept small, so that all
+    cores can share a file that one task has written.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", STAGE_ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,15 +13,24 @@ from strandcall.operators.metrics import percent
 BATCH = "batch_no"
 
 
-def running_approval(stream: DataFrame, approved) -> DataFrame:
+def running_approval(stream: DataFrame, approved: Column) -> DataFrame:
     """Processed and approved rows so far, and the share in percent."""
     return stream.agg(
         F.count(F.lit(1)).alias("processed"), F.count_if(approved).alias("approved")
     ).withColumn("approval_pct", percent(F.col("approved"), F.col("processed")))
 
 
-def write_snapshot(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest totals at ``path``; a replayed batch overwrites the same row."""
+def _trigger(interval: str | None) -> dict[str, object]:
+    return {"processingTime": interval} if interval else {"availableNow": True}
+
+
+def write_snapshot(
+    totals: DataFrame, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Keep the latest totals at ``path``; a replayed batch overwrites the same row.
+
+    Without an ``interval`` the query handles what is there and ends.
+    """
 
     def save(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
@@ -30,12 +39,14 @@ def write_snapshot(totals: DataFrame, path: str, checkpoint: str) -> StreamingQu
         totals.writeStream.outputMode("complete")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(interval))
         .start()
     )
 
 
-def stream_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_results(
+    results: DataFrame, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
     """Add each micro-batch to the results at ``path``.
 
     A batch owns one partition folder and overwrites it, so a batch that is
@@ -48,7 +59,7 @@ def stream_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return (
         results.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(interval))
         .start()
     )
 

@@ -1,5 +1,7 @@
 """Parsers against plain regular expressions, row by row."""
 
+import ast
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -146,3 +148,55 @@ def test_render_chat(spark):
     df = spark.createDataFrame([([("system", "s"), ("user", "u")],)], f"prompt {X.MESSAGE_TYPE}")
     got = [df.select(X.render_chat(F.col("prompt"), s)).first()[0] for s in ("blocks", "joined", "tags")]
     assert got == ["[SYSTEM]\ns\n\n[USER]\nu\n\n", "s u", "<|system|>\ns\n<|user|>\nu"]
+
+
+TOKENS = (
+    ["<answer>", "</answer>", "<Answer>", "</ANSWER>", "<think>", "</think>", "<THINK>", "<answer", "answer>", "</"]
+    + ["upregulated", "DOWNregulated", "not differentially expressed", "upregulate", "downregulatedownregulated"]
+    + [" ", "\n", "\t", "\x0b", "\x85", "\u2003", "é", "İ", "ß", "𝄞", "x", "'", "[", "]"]
+)
+
+
+def random_texts(seed, n, tokens, longest):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(tokens) for _ in range(rng.randrange(longest))) for _ in range(n)]
+
+
+def test_random_responses(spark):
+    texts = random_texts(1, 9000, TOKENS, 14)
+    df = spark.createDataFrame([(t,) for t in texts], "generated_text string")
+    parsed = 0
+    for row in X.with_answer(X.with_think_answer(df)).collect():
+        think, answer = tagged(row.generated_text, "think"), answer_of(row.generated_text)
+        assert row.generated_thinking == think, row
+        assert row.extracted_answer == answer, row
+        assert row.generated_answer == (answer if think is not None else None), row
+        parsed += answer is not None
+    assert parsed > 100
+
+
+def lists_of(text):
+    inner = tagged(text, "answer")
+    if inner is None:
+        return None
+    lists = []
+    for key in ("Upregulated", "Downregulated"):
+        found = re.search(key + r":\s*(\[.*?\])", inner)
+        try:
+            value = ast.literal_eval(found.group(1)) if found else []
+        except (SyntaxError, ValueError):
+            return None
+        lists.append(value)
+    return tuple(lists)
+
+
+def test_random_gene_lists(spark):
+    tokens = ["Upregulated:", "Downregulated:", "upregulated:", " ", "; ", ", ", "\n", "[]", "['A']", "['A', \"B\"]", "[A]", "['A', ]", "[ 'C' ,'D' ]", "['A'", "]"]
+    texts = [f"<answer>{t}</answer>" for t in random_texts(2, 2000, tokens, 8)]
+    df = spark.createDataFrame([(t,) for t in texts], "generated_text string")
+    seen = 0
+    for row in X.with_gene_lists(df).collect():
+        got = tuple(row.gene_lists) if row.gene_lists else None
+        assert got == lists_of(row.generated_text), row
+        seen += got not in (None, ([], []))
+    assert seen > 100
