@@ -504,6 +504,17 @@ from conversations where role = 'user' and length(text) > 0 group by conv_id""",
         f"""select doc_id, batch_id, bad as api_error, case when not bad then x end as extracted_answer,
        not bad and coalesce(x = solution, false) as is_correct,
        case when bad then concat(left(user_prompt, 200), '... (API Call Failed)') end as failed_prompt
+from (select g.*, {first_class('g.tag')} as x,
+             max(case when c.critic_text = 'no tags' then 1 else 0 end) over (partition by batch_id) = 1 as bad
+      from gen_tag g left join critic c on g.doc_id = c.doc_id)""",
+        "gen_tag",
+        "critic",
+    ),
+    "result_records": sql(
+        f"""select case when bad then concat(left(user_prompt, 200), '... (API Call Failed)') else user_prompt end as user_prompt,
+       pert, gene, cell_type, case when bad then 'Error: call failed' else generated_text end as generated_text,
+       case when not bad then x end as extracted_answer, solution as correct_solution,
+       not bad and coalesce(x = solution, false) as is_correct, bad as api_error
 from (select g.*, {first_class('g.tag')} as x,
              max(case when c.critic_text = 'no tags' then 1 else 0 end) over (partition by batch_id) = 1 as bad
       from gen_tag g left join critic c on g.doc_id = c.doc_id)""",

@@ -320,6 +320,15 @@ def failed_batches(spark, sf_dir):
     )
 
 
+@query
+def result_records(spark, sf_dir):
+    generated = A.generated(spark, sf_dir)
+    joined = curation.attach_responses(generated, A.critic(spark, sf_dir), ["doc_id"])
+    flagged = curation.fail_batches(joined, F.col("critic_text") == "no tags")
+    chat = P.chat_prompt(F.lit("-"), F.col("user_prompt"))
+    return evaluate.result_records(evaluate.parse_results(flagged).withColumn("prompt", chat))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.judged(A.generated(spark, sf_dir), A.critic(spark, sf_dir), "doc_id")
 

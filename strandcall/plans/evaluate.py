@@ -7,15 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.functions.text import with_answer
+from strandcall.functions.text import last_content, last_user_excerpt, with_answer
 from strandcall.operators import metrics
+from strandcall.operators.batching import assign_batches
+from strandcall.operators.curation import attach_responses, fail_batches
 from strandcall.operators.sampling import RUN, repeated_samples
 from strandcall.plans.reports import auroc_lines, class_report_lines, report_lines
 from strandcall.session import stage
+from strandcall.vocab import SAMPLE_KEYS
 
 # Number and share of the AUROC subsets.
 AUROC_RUNS = 3
 AUROC_FRACTION = 0.20
+# Text of a failed call in a result file.
+ERROR_TEXT = "Error: call failed"
 
 
 @dataclass(frozen=True)
@@ -29,8 +34,34 @@ class Evaluation:
 
 
 def parse_results(responses: DataFrame) -> DataFrame:
-    """Results with the parsed answer and its correctness."""
-    return metrics.with_correct(with_answer(responses))
+    """Results with the parsed answer and its correctness; a failed call has no answer."""
+    parsed = with_answer(responses)
+    if "api_error" in parsed.columns:
+        parsed = parsed.withColumn("extracted_answer", F.when(~metrics.failed(parsed), F.col("extracted_answer")))
+    return metrics.with_correct(parsed)
+
+
+def answered_samples(
+    samples: DataFrame, responses: DataFrame, size: int, seed: int, keys: tuple[str, ...] = SAMPLE_KEYS
+) -> DataFrame:
+    """Samples in batches with their responses; one missing response fails its batch."""
+    batches = assign_batches(samples, size, seed, keys).drop("row_index")
+    answered = attach_responses(batches, responses, keys)
+    return fail_batches(answered, F.col("generated_text").isNull())
+
+
+def result_records(results: DataFrame) -> DataFrame:
+    """Parsed results (with ``prompt``) in the layout of a result file."""
+    error = metrics.failed(results)
+    return results.select(
+        F.when(error, last_user_excerpt(F.col("prompt"))).otherwise(last_content(F.col("prompt"))).alias("user_prompt"),
+        *SAMPLE_KEYS,
+        F.when(error, F.lit(ERROR_TEXT)).otherwise(F.col("generated_text")).alias("generated_text"),
+        "extracted_answer",
+        F.col("solution").alias("correct_solution"),
+        "is_correct",
+        error.alias("api_error"),
+    )
 
 
 def evaluate(responses: DataFrame) -> Evaluation:

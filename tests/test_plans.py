@@ -8,7 +8,7 @@ from strandcall.plans import create_examples as create
 from strandcall.plans import datasets, evaluate, training_set
 from strandcall.session import shared_folder, stage
 from strandcall.sources.calls import read_examples, read_pairs
-from strandcall.sources.sinks import write_examples
+from strandcall.sources.sinks import write_examples, write_results
 from strandcall.vocab import DOWN, SAMPLE_KEYS, UP
 
 
@@ -119,3 +119,25 @@ def test_prompt_batches(spark, tree, training):
     batches = datasets.prompt_batches(datasets.load_samples(calls, directions, "test"), 32, training=training)
     assert batches.count() == (96 if training else 100)
     assert batches.where(F.size("prompt") == 2).count() == batches.count()
+
+
+def test_missing_responses_fail_their_batches(spark, tree, tmp_path):
+    calls, directions = read_pairs(spark, tree)
+    samples = stage(datasets.load_samples(calls, directions, "test"))
+    lost = F.col("pert") == "P0"
+    responses = samples.where(~lost).select(*SAMPLE_KEYS, F.lit("<answer>upregulated</answer>").alias("generated_text"))
+    answered = stage(evaluate.answered_samples(samples, responses, 8, 1))
+    assert answered.count() == 100
+    bad = {r.batch_id for r in answered.where(F.col("generated_text").isNull()).collect()}
+    flagged = {r.batch_id for r in answered.where("api_error").collect()}
+    assert bad == flagged and 0 < len(bad) < 13
+    report = evaluate.evaluate(answered)
+    overall = report.levels.where("level = 'overall'").first()
+    assert overall.evaluated == 100 - answered.where("api_error").count()
+    records = evaluate.result_records(datasets.with_prompt(report.results))
+    write_results(records, str(tmp_path / "results"))
+    back = spark.read.json(str(tmp_path / "results"))
+    assert set(back.columns) == set(records.columns)
+    errors = back.where("api_error").collect()
+    assert len(errors) == answered.where("api_error").count()
+    assert all(r.extracted_answer is None and not r.is_correct and r.user_prompt.endswith("(API Call Failed)") for r in errors)
