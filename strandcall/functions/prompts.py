@@ -37,10 +37,10 @@ EXAMPLE = (
     "</think><answer>downregulated</answer>"
 )
 WORKED_EXAMPLE = (
-    "\n\nA reply that a biologist would accept:\n<think>The question is what silencing TNFRSF1A does to ICAM1 in "
-    "endothelial cells exposed to TNF. TNFRSF1A is the receptor that senses TNF, and its signal makes the cells "
-    "display ICAM1 so that immune cells can attach. Without the receptor the signal does not arrive, so ICAM1 "
-    "should fall.</think><answer>downregulated</answer>"
+    "\n\nA reply that a biologist would accept:\n<think>What does silencing ATF4 do to DDIT3 while unfolded proteins "
+    "pile up in the endoplasmic reticulum? Stressed cells make ATF4, which binds the promoter of DDIT3 and turns it "
+    "on. Other arms of the stress response reach DDIT3 too, but ATF4 is the main one here, so with less of it the "
+    "cells make less DDIT3.</think><answer>downregulated</answer>"
 )
 CHECKLIST = (
     "\n\nWork through these points before you conclude:\n"

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.functions.text import or_not_available, with_critic, with_think_answer
+from strandcall.functions.text import (
+    compute_once,
+    or_not_available,
+    tag_text,
+    with_answer,
+    with_critic,
+    with_think_answer,
+)
 from strandcall.operators.keys import group_packed
 from strandcall.operators.metrics import percent
 
@@ -94,9 +101,13 @@ def accepted_examples(
     """Accepted examples with their texts.
 
     Both conditions are applied on their own side first: only rows that can
-    still be accepted bring their text to the (then inner) join.
+    still be accepted bring their text to the (then inner) join. The answer is
+    the cheaper test, so reasoning is only looked for behind a right answer.
     """
-    right_answer = with_think_answer(generated).where(F.col("generated_answer") == F.col("solution"))
+    right = with_answer(generated, out="generated_answer").where(F.col("generated_answer") == F.col("solution"))
+    right_answer = compute_once(right, generated_thinking=tag_text(F.col("generated_text"), "think")).where(
+        F.col("generated_thinking").isNotNull()
+    )
     good = critic_verdicts(critic, key).where(F.col("critic_evaluation").isin(*ratings)).drop("has_critic")
     return right_answer.join(good, key).withColumn("critic_reasoning", or_not_available(F.col("critic_reasoning")))
 

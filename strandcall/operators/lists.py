@@ -42,7 +42,7 @@ def genes_by_pert(df: DataFrame, page_size: int = 1000, seed: int = 0) -> DataFr
         .groupBy("pert", "gene")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    placed = run_starts(add_hash(counted, seed, ["gene"]), "copies", by=("pert",), ties=("gene",))
+    placed = run_starts(add_hash(counted, seed, ["gene"]), "copies", by=("pert",), ties=("gene",), digits=2)
     first, stop = F.col("_start"), F.col("_start") + F.col("copies")
     pages = placed.withColumn(
         "page",

@@ -26,8 +26,8 @@ def add_hash(df: DataFrame, seed: int | str, keys: Sequence[str | Column]) -> Da
     return df.withColumn(HASH, hash_of(seed, keys))
 
 
-def bucket_of(col: Column | str = HASH) -> Column:
-    return F.substring(col, 1, BUCKET_DIGITS)
+def bucket_of(digits: int = BUCKET_DIGITS) -> Column:
+    return F.substring(HASH, 1, digits)
 
 
 def collapse(df: DataFrame, copies: str = "copies") -> DataFrame:
@@ -54,13 +54,18 @@ def expand(df: DataFrame, first: Column, stop: Column, out: str, step: int = 409
 
 
 def run_starts(
-    runs: DataFrame, copies: str, by: Sequence[str] = (), ties: Sequence[str] = ()
+    runs: DataFrame,
+    copies: str,
+    by: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``_start``: copies in front of a row in (hash, ties) order within ``by``.
 
     ``runs`` carries ``HASH`` and a copy count; its rows differ in (by, hash, ties).
+    Every group is cut into 16 to the power of ``digits`` buckets.
     """
-    bucketed = runs.withColumn("_bucket", bucket_of())
+    bucketed = runs.withColumn("_bucket", bucket_of(digits))
     before = (Window.unboundedPreceding, -1)
     sizes = bucketed.groupBy(*by, "_bucket").agg(F.sum(copies).alias("_size"))
     across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*before)
