@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandcall.functions.prompts import critic_prompt
-from strandcall.functions.text import first_user, tag_text
+from strandcall.functions.text import compute_once, first_user, tag_text
 from strandcall.operators.curation import accepted_examples, attach_responses, to_examples
+from strandcall.operators.ordering import with_row_index
 from strandcall.operators.sampling import sample_exact
 from strandcall.plans.datasets import with_prompt
 from strandcall.session import stage
@@ -19,6 +20,8 @@ from strandcall.vocab import SAMPLE_KEYS
 TRAIN_FRACTION = 0.15
 SEED = 88
 
+SAMPLE_ID = "sample_id"
+
 
 def generator_requests(
     samples: DataFrame,
@@ -27,29 +30,32 @@ def generator_requests(
     fraction: float = TRAIN_FRACTION,
     seed: int = SEED,
 ) -> DataFrame:
-    """Sampled rows with the chat prompt to send. Prompts are rendered last."""
+    """Sampled rows with a ``sample_id`` and the chat prompt to send.
+
+    The id numbers the rows, so equal samples get a response each. Prompts are
+    rendered last. Responses and critic texts come back with the id.
+    """
     chosen = sample_exact(stage(samples, "samples"), fraction, seed, SAMPLE_KEYS)
-    return with_prompt(chosen, mode, tool)
+    return with_prompt(with_row_index(chosen, seed, SAMPLE_KEYS, SAMPLE_ID), mode, tool)
 
 
 def critic_requests(requests: DataFrame, responses: DataFrame, checklist: bool = False) -> DataFrame:
     """Critic prompts for the responses that contain reasoning."""
-    answered = attach_responses(requests, responses, SAMPLE_KEYS)
-    return (
-        answered.withColumn("user_query", first_user(F.col("prompt")))
-        .withColumn("thinking", tag_text(F.col("generated_text"), "think"))
-        .where(F.col("user_query").isNotNull() & F.col("thinking").isNotNull())
-        .select(*SAMPLE_KEYS, critic_prompt(F.col("user_query"), F.col("thinking"), checklist).alias("prompt"))
+    answered = attach_responses(requests.select(SAMPLE_ID, "prompt"), responses, [SAMPLE_ID])
+    asked = compute_once(
+        answered,
+        user_query=first_user(F.col("prompt")),
+        thinking=tag_text(F.col("generated_text"), "think"),
+    )
+    return asked.where(F.col("user_query").isNotNull() & F.col("thinking").isNotNull()).select(
+        SAMPLE_ID, critic_prompt(F.col("user_query"), F.col("thinking"), checklist).alias("prompt")
     )
 
 
 def examples(
     requests: DataFrame, responses: DataFrame, critic: DataFrame, ratings: Sequence[str] = ("good",)
 ) -> DataFrame:
-    """Accepted examples in file layout.
-
-    Responses and critic texts carry ``sample_id`` next to the sample key.
-    """
-    asked = requests.select(*SAMPLE_KEYS, "solution", first_user(F.col("prompt")).alias("user_prompt"))
-    answered = attach_responses(asked, responses, SAMPLE_KEYS).where(F.col("user_prompt").isNotNull())
-    return to_examples(accepted_examples(answered, critic, "sample_id", ratings))
+    """Accepted examples in file layout."""
+    asked = requests.select(SAMPLE_ID, *SAMPLE_KEYS, "solution", first_user(F.col("prompt")).alias("user_prompt"))
+    answered = attach_responses(asked, responses, [SAMPLE_ID]).where(F.col("user_prompt").isNotNull())
+    return to_examples(accepted_examples(answered, critic, SAMPLE_ID, ratings))

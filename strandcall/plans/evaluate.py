@@ -41,12 +41,15 @@ def parse_results(responses: DataFrame) -> DataFrame:
     return metrics.with_correct(parsed)
 
 
-def answered_samples(
-    samples: DataFrame, responses: DataFrame, size: int, seed: int, keys: tuple[str, ...] = SAMPLE_KEYS
-) -> DataFrame:
-    """Samples in batches with their responses; one missing response fails its batch."""
-    batches = assign_batches(samples, size, seed, keys).drop("row_index")
-    answered = attach_responses(batches, responses, keys)
+def eval_requests(samples: DataFrame, size: int, seed: int) -> DataFrame:
+    """Samples with ``sample_id`` and ``batch_id``, one row per call to make."""
+    narrow = samples.select(*SAMPLE_KEYS, "label", "solution")
+    return assign_batches(narrow, size, seed, SAMPLE_KEYS).withColumnRenamed("row_index", "sample_id")
+
+
+def answered_samples(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with their responses; one missing response fails its batch."""
+    answered = attach_responses(requests, responses, ["sample_id"])
     return fail_batches(answered, F.col("generated_text").isNull())
 
 

@@ -16,6 +16,7 @@ from strandcall.vocab import DOWN, SAMPLE_KEYS, UP
 def tree(tmp_path):
     for cell in ("k562", "HepG2"):
         calls = [f"P{i},G{i},{i % 2},{'train' if i % 4 else 'test'}" for i in range(200)]
+        calls += ["P2,G2,0,train"] * 10
         directions = [f"P{i},G{i},{i % 3 % 2}" for i in range(200)]
         (tmp_path / f"{cell}-de.csv").write_text("pert,gene,label,split\n" + "\n".join(calls) + "\n")
         (tmp_path / f"{cell}-dir.csv").write_text("pert,gene,label\n" + "\n".join(directions) + "\n")
@@ -26,38 +27,40 @@ def test_create_and_train(spark, tree, tmp_path, rows):
     calls, directions = read_pairs(spark, tree)
     used = calls.where("pert = 'P1'").select(*SAMPLE_KEYS)
     samples = datasets.load_samples(calls, directions, "train", used=used)
-    assert samples.count() == 300 - 2
-    assert datasets.load_samples(calls, directions, "test", "hepg2").count() == 200
+    assert samples.count() == 300 - 2 + 20
+    assert datasets.load_samples(calls, directions, "test", "hepg2").count() == 210
 
-    requests = stage(create.generator_requests(samples, fraction=0.5))
-    assert requests.count() == 149
+    requests = stage(create.generator_requests(samples, fraction=0.9))
+    assert requests.count() == requests.select("sample_id").distinct().count() == int(318 * 0.9)
+    assert requests.groupBy(*SAMPLE_KEYS).count().where("count > 1").count() > 0
     assert requests.where(F.size("prompt") != 2).count() == 0
 
     number = F.substring("pert", 2, 9).cast("int")
     responses = stage(
         requests.select(
-            *SAMPLE_KEYS,
-            F.concat_ws("/", *SAMPLE_KEYS).alias("sample_id"),
+            "sample_id",
+            "pert",
             F.concat(F.lit("<think>so</think><answer>"), "solution", F.lit("</answer>")).alias("generated_text"),
         ).where(number % 5 != 0)
     )
-    asked = create.critic_requests(requests, responses)
+    texts = responses.drop("pert")
+    asked = create.critic_requests(requests, texts)
     assert asked.count() == responses.count()
     critic = responses.select(
         "sample_id",
         F.when(number % 2 == 0, "<evaluation>good</evaluation>").otherwise("<evaluation>bad</evaluation>").alias("critic_text"),
     )
-    accepted = create.examples(requests, responses, critic)
+    accepted = create.examples(requests, texts, critic)
     assert accepted.count() == responses.where(number % 2 == 0).count() > 0
     write_examples(accepted, str(tmp_path / "examples"), "csv")
     stored = read_examples(spark, str(tmp_path / "examples"))
     assert tuple(stored.columns) == EXAMPLE_COLUMNS and rows(stored) == rows(accepted)
 
-    texts = training_set.training_set(stored)
+    training = training_set.training_set(stored)
     n = stored.count()
-    assert texts.where("part = 'train'").count() == int(0.9 * n)
-    assert texts.count() == n
-    training_set.write_training_set(texts, str(tmp_path / "train"))
+    assert training.where("part = 'train'").count() == int(0.9 * n)
+    assert training.count() == n
+    training_set.write_training_set(training, str(tmp_path / "train"))
     assert spark.read.parquet(str(tmp_path / "train")).where("part = 'val'").count() == n - int(0.9 * n)
 
 
@@ -77,10 +80,12 @@ def test_evaluate(spark, tree):
     assert lines[0] == "--- AUROC Evaluation Summary ---" and len(lines) == 4
 
 
-def test_prompts_are_rendered_after_sampling(spark, tree):
+def test_prompts_do_not_cross_a_shuffle(spark, tree):
     calls, directions = read_pairs(spark, tree)
-    plan = create.generator_requests(datasets.load_samples(calls, directions))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan
+    requests = create.generator_requests(datasets.load_samples(calls, directions))
+    plan = requests._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "molecular biologist" in above and "molecular biologist" not in below
 
 
 def test_shared_folder_is_the_configured_one(spark):
@@ -124,9 +129,10 @@ def test_prompt_batches(spark, tree, training):
 def test_missing_responses_fail_their_batches(spark, tree, tmp_path):
     calls, directions = read_pairs(spark, tree)
     samples = stage(datasets.load_samples(calls, directions, "test"))
+    requests = stage(evaluate.eval_requests(samples, 8, 1))
     lost = F.col("pert") == "P0"
-    responses = samples.where(~lost).select(*SAMPLE_KEYS, F.lit("<answer>upregulated</answer>").alias("generated_text"))
-    answered = stage(evaluate.answered_samples(samples, responses, 8, 1))
+    responses = requests.where(~lost).select("sample_id", F.lit("<answer>upregulated</answer>").alias("generated_text"))
+    answered = stage(evaluate.answered_samples(requests, responses))
     assert answered.count() == 100
     bad = {r.batch_id for r in answered.where(F.col("generated_text").isNull()).collect()}
     flagged = {r.batch_id for r in answered.where("api_error").collect()}
