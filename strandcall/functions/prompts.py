@@ -86,7 +86,9 @@ LIST_FORMAT = (
     "Layout: <think>your reasoning</think><answer>Upregulated: ['GENE_A', 'GENE_B']; Downregulated: []</answer>"
 )
 LIST_TEMPLATES = {
-    "default": "You are a bioinformatician. List the genes that rise and those that fall after a knockdown. " + LIST_FORMAT,
+    "default": (
+        "You are a bioinformatician. List the genes that rise and those that fall after a knockdown. " + LIST_FORMAT
+    ),
     "synth_data_with_ans": (
         "You are a bioinformatician. Silencing {pert} has this known effect: {payload}. "
         "Explain it from pathways, gene interactions and the cell line. " + LIST_FORMAT
@@ -103,7 +105,10 @@ CRITIC_SYSTEM = (
     "Reply with <reasoning>a short justification</reasoning> and "
     "<evaluation>one of excellent, good, average, bad, terrible</evaluation>."
 )
-CRITIC_USER = "Question:\n{user_query}\n\nReasoning to review:\n{thinking}\n\nGive your reasoning and evaluation in the two tags."
+CRITIC_USER = (
+    "Question:\n{user_query}\n\nReasoning to review:\n{thinking}\n\n"
+    "Give your reasoning and evaluation in the two tags."
+)
 
 CONTEXT_LEAD = "\nBackground that may help:\n{context}"
 

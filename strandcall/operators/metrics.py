@@ -148,15 +148,13 @@ def confusion(results: DataFrame) -> DataFrame:
 
 def class_report(results: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of each class, in report order."""
-    sides = confusion(results).select(
-        "n",
-        F.inline(
-            F.array(
-                F.struct(F.col("solution").alias("label"), F.lit(True).alias("is_gold"), (F.col("solution") == F.col("predicted")).alias("hit")),
-                F.struct(F.col("predicted").alias("label"), F.lit(False).alias("is_gold"), F.lit(False).alias("hit")),
-            )
-        ),
-    )
+    gold, predicted = F.col("solution"), F.col("predicted")
+
+    def side(label: Column, is_gold: bool, hit: Column) -> Column:
+        return F.struct(label.alias("label"), F.lit(is_gold).alias("is_gold"), hit.alias("hit"))
+
+    both = F.array(side(gold, True, gold == predicted), side(predicted, False, F.lit(False)))
+    sides = confusion(results).select("n", F.inline(both))
     counts = sides.groupBy("label").agg(
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("is_gold"), F.col("n")).otherwise(0)).alias("support"),

@@ -113,14 +113,13 @@ def _split_ties(tied: DataFrame, columns: list[str], cuts: list[Cut], depth: int
         by_row = tied.withColumn(HASH, F.md5(F.to_json(F.struct(*columns))))
         return mark_lowest(by_row, columns, find_cuts(by_row, 0.0, False, needed), depth + 1)
     counted = collapse(tied.select(*columns, RUN, HASH), "copies")
-    need = _per_run(needed, 0)
-    spans = counted.withColumn(
-        "parts",
-        F.array(
-            F.struct(F.lit(True).alias("kept"), F.lit(0).cast("bigint").alias("a"), F.least(need, F.col("copies")).cast("bigint").alias("b")),
-            F.struct(F.lit(False).alias("kept"), F.least(need, F.col("copies")).cast("bigint").alias("a"), F.col("copies").alias("b")),
-        ),
-    ).select(*columns, RUN, HASH, F.inline("parts"))
+    inside = F.least(_per_run(needed, 0).cast("bigint"), F.col("copies"))
+
+    def span(kept: bool, first: Column, stop: Column) -> Column:
+        return F.struct(F.lit(kept).alias("kept"), first.alias("a"), stop.alias("b"))
+
+    parts = F.array(span(True, F.lit(0).cast("bigint"), inside), span(False, inside, F.col("copies")))
+    spans = counted.select(*columns, RUN, HASH, F.inline(parts))
     return expand(spans, F.col("a"), F.col("b"), "_copy").select(*columns, RUN, "kept")
 
 

@@ -13,7 +13,6 @@ import warnings
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def list_files(spark: SparkSession, folder: str, kind: str) -> list[str]:
 
 
 def cell_of(path: str, kind: str) -> str:
-    return unquote(os.path.basename(path))[: -len(SUFFIX[kind])]
+    return os.path.basename(path)[: -len(SUFFIX[kind])]
 
 
 def call_files(spark: SparkSession, folder: str, kind: str) -> list[CallFile]:
@@ -74,18 +73,19 @@ def call_files(spark: SparkSession, folder: str, kind: str) -> list[CallFile]:
 def _read_group(spark: SparkSession, files: list[CallFile], kind: str) -> DataFrame:
     header = files[0].header
     schema = T.StructType([T.StructField(c, TYPES.get(c, T.StringType())) for c in header])
-    frame = (
+    # File names are URL-encoded; a plus sign is a plus sign there.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .csv([f.path for f in files])
         .select(
             *[c for c in (*REQUIRED, *OPTIONAL) if c in header],
-            F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), rf"{SUFFIX[kind]}$", "").alias("cell_type"),
+            F.regexp_replace(name, rf"{SUFFIX[kind]}$", "").alias("cell_type"),
             F.lit("split" in header).alias(HAS_SPLIT),
         )
     )
-    return frame
 
 
 def _read_files(spark: SparkSession, files: Iterable[CallFile], kind: str) -> DataFrame:

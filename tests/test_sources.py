@@ -100,6 +100,17 @@ def test_lists_from_files(spark, tree, rows):
     ]
 
 
+def test_cell_lines_with_odd_names(spark, tmp_path):
+    names = ["a%41b", "x y", "p+q", "é", "de-de"]
+    for name in names:
+        write(tmp_path, f"{name}-de.csv", "pert,gene,label\nA,x,1\n")
+        write(tmp_path, f"{name}-dir.csv", "pert,gene,label\nA,x,1\n")
+    manifest = R.pair_manifest(spark, str(tmp_path)).collect()
+    assert sorted(r.cell_type for r in manifest if r.status == "ok") == sorted(names)
+    for df in R.read_pairs(spark, str(tmp_path)):
+        assert sorted(r.cell_type for r in df.collect()) == sorted(names)
+
+
 def test_empty_folder(spark, tmp_path):
     with pytest.raises(ValueError, match="no \\*-de.csv"):
         R.read_calls(spark, str(tmp_path), "de")
