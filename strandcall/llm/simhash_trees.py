@@ -36,6 +36,7 @@ DIGIT = 3  # bits of a path for one level: distances 0 to 4
 POINTS = (0x5A93C6F01E7842BD, 0)  # vantage points: half and block cut out what a level compares with
 SHARD_ROWS = 4096
 SLICE = 1 << 18
+PAIRS = 1 << 20
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -111,63 +112,60 @@ def _paths(fp: Column, tree: int, radius: int) -> Column:
     return F.array(*found)
 
 
-def _shard_links(fps: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected in a shard: fewer than it has fingerprints.
+def _group_links(fps: np.ndarray, home: np.ndarray, starts: np.ndarray, stops: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected in each group of rows; fewer than rows.
 
-    Every row that lives here is compared with every row that comes after it
-    or visits. A link is kept if it joins two parts that no earlier link has joined.
+    In a group, rows that live there come first. Each of them is compared with all
+    rows after it, ``PAIRS`` comparisons at a time, and a link is kept if it joins
+    two parts that no earlier link has joined.
     """
-    order = np.argsort(~home, kind="stable")
-    fps, n_home = fps[order], int(home.sum())
-    part, links = np.arange(len(fps)), []
-    step = max(1, (1 << 20) // max(1, len(fps)))
-    for start in range(0, n_home, step):
-        stop = min(n_home, start + step)
-        near = np.bitwise_count(fps[start:stop, None] ^ fps[None, :]) <= bits
-        rows, cols = np.nonzero(near)
-        keep = cols > rows + start
-        rows, cols = rows[keep] + start, cols[keep]
-        cuts = np.flatnonzero(np.diff(rows)) + 1
-        for at, others in zip(rows[np.r_[0, cuts]] if len(rows) else (), np.split(cols, cuts)):
-            roots, first = np.unique(part[others], return_index=True)
-            new = roots != part[at]
+    first, stop = np.repeat(starts, stops - starts), np.repeat(stops, stops - starts)
+    rows = np.flatnonzero(home)
+    partners = stop[rows] - rows - 1
+    rows, partners = rows[partners > 0], partners[partners > 0]
+    part, kept = np.arange(len(fps)), []
+    done = np.cumsum(partners)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+        left = np.repeat(rows[at:upto], partners[at:upto])
+        ends = np.cumsum(partners[at:upto])
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends - partners[at:upto], partners[at:upto])
+        near = np.flatnonzero(np.bitwise_count(fps[left] ^ fps[right]) <= bits)
+        left, right, at = left[near], right[near], upto
+        cuts = np.flatnonzero(np.diff(left)) + 1
+        for i, others in zip(left[np.r_[0, cuts]] if len(left) else (), np.split(right, cuts)):
+            roots, where = np.unique(part[others], return_index=True)
+            new = roots != part[i]
             if new.any():
-                links += [(int(fps[at]), int(fps[others[j]])) for j in first[new]]
-                least = min(int(roots.min()), int(part[at]))
-                part[np.isin(part, [*roots.tolist(), part[at]])] = least
-    return links
+                kept += [(int(fps[i]), int(fps[others[j]])) for j in where[new]]
+                group = part[first[i] : stop[i]]
+                group[np.isin(group, [*roots.tolist(), part[i]])] = min(int(roots.min()), int(part[i]))
+    return kept
 
 
 def _linker(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        def solve(rows: np.ndarray) -> list[tuple[int, int]]:
-            found: list[tuple[int, int]] = []
-            cuts = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
-            starts, stops = np.r_[0, cuts], np.r_[cuts, len(rows)]
-            for i in np.flatnonzero(stops - starts > 1):
-                group = rows[starts[i] : stops[i]]
-                if group[:, 3].any():
-                    found += _shard_links(group[:, 2].view(np.uint64), group[:, 3].astype(bool), bits)
-            return found
+    """Rows come sorted by shard and pair, those at home first; a group that goes on in the next batch is held."""
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        starts, stops = np.r_[0, cuts], np.r_[cuts, len(rows)]
+        found = _group_links(rows[:, 2].view(np.uint64), rows[:, 3] > 0, starts, stops, bits)
+        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), np.int64)
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            rows = np.concatenate([*held, rows]) if held else rows
-            if not len(rows):
-                continue
-            last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
+            rows = np.ascontiguousarray(np.concatenate([held, rows]))
+            others = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1)) if len(rows) else ()
+            cut = int(others[-1]) + 1 if len(others) else 0
             if cut:
-                yield out(solve(rows[:cut]))
-            held = [rows[cut:]]
-        if held and len(held[0]):
-            yield out(solve(held[0]))
+                yield out(rows[:cut])
+            held = rows[cut:]
+        if len(held):
+            yield out(held)
 
     return run
 
@@ -192,9 +190,10 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
         lambda k: F.least(own, k) * blocks.cast("long") + F.greatest(own, k),
     )
     dealt = placed.join(large, "shard", "left").select("shard", F.explode(pairs).alias("pair"), "fp", F.col("home").cast("long").alias("home"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        dealt.repartition("shard", "pair")
-        .sortWithinPartitions("shard", "pair")
+        dealt.repartition(tasks, "shard", "pair")
+        .sortWithinPartitions("shard", "pair", F.desc("home"))
         .mapInArrow(_linker(bits), "a long, b long")
     )
 
