@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcall.llm import simhash_trees
+from strandcall.llm import sentence_spans, simhash_trees
 from strandcall.llm.common import table
 
 
@@ -16,7 +16,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_trees.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the text that is left of it."""
+    found = sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_removed", F.char_length("left").cast("long").alias("n_chars"), F.col("left").alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sentence_spans": op4_sentence_spans,
     "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}
