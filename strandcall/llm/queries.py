@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcall.llm import sentence_spans, simhash_trees
+from strandcall.llm import byte_cnn, sentence_spans, simhash_trees
 from strandcall.llm.common import table
 
 
@@ -22,8 +22,16 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_removed", F.char_length("left").cast("long").alias("n_chars"), F.col("left").alias("text"))
 
 
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    scored = byte_cnn.score(docs, net).select("row.doc_id", byte_cnn.held_out("row.doc_id").alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_spans": op4_sentence_spans,
     "op7_simhash": op7_simhash,
+    "op9_byte_cnn": op9_byte_cnn,
 }
 ORACLES: dict[str, str] = {}
