@@ -27,6 +27,7 @@ STEP = CHUNK - OVERLAP
 WIDTH = 4
 LAGS = tuple(range(1, 41))
 PAD = b"\xff"  # no byte of UTF-8
+SCALE = 10.0  # so that the share weighs as much as a filter's pool
 SEGMENT = 64  # chunks that are laid out together
 BLOCK = 1 << 18  # bytes that are scored together
 
@@ -65,14 +66,14 @@ def _ranges(values: np.ndarray, how: np.ufunc, starts: np.ndarray, ends: np.ndar
 
 
 def repetition(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each chunk the largest share, over lags, of bytes that equal the byte a lag before."""
+    """For each chunk the largest share, over lags, of bytes that equal the byte a lag before; times ``SCALE``."""
     best = np.zeros(len(starts))
     equal = np.zeros(len(data), np.uint8)
     for lag in LAGS:
         equal[lag:] = data[lag:] == data[:-lag]
         total = np.cumsum(equal, dtype=np.int32)
         best = np.maximum(best, total[ends - 1] - total[starts - 1])
-    return best / (ends - starts)
+    return SCALE * best / (ends - starts)
 
 
 class Scorer:
