@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcall.llm import byte_cnn, sentence_spans, simhash_trees
+from strandcall.llm import byte_cnn, phrase_index, sentence_spans, simhash_trees
 from strandcall.llm.common import table
+from strandcall.llm.oracles import ORACLES
+
+
+def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = phrase_index.contamination(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +39,8 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_spans": op4_sentence_spans,
+    "op6_phrase_index": op6_phrase_index,
     "op7_simhash": op7_simhash,
     "op9_byte_cnn": op9_byte_cnn,
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
