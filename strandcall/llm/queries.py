@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcall.llm import byte_cnn, phrase_index, sentence_spans, simhash_trees
+from strandcall.llm import byte_cnn, mixing, phrase_index, sentence_spans, simhash_trees
 from strandcall.llm.common import table
 from strandcall.llm.oracles import ORACLES
 
@@ -24,6 +24,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_trees.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), budget=1.5, most=2)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that is left of it."""
     found = sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pareto_mix": op1_pareto_mix,
     "op4_sentence_spans": op4_sentence_spans,
     "op6_phrase_index": op6_phrase_index,
     "op7_simhash": op7_simhash,
