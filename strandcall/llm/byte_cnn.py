@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.llm.common import as_bytes, packed, ship, small_batches
+from strandcall.llm.common import as_bytes, modest_batches, packed, ship, small_batches
 
 CHUNK = 1024
 OVERLAP = 64
@@ -236,7 +236,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = modest_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), "doc_id")  # 2 * sample_rows rows at most
         .select("doc_id", F.col("label").cast("int"), "text")
@@ -258,7 +258,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     rows = packed(docs).select("row", F.col(f"row.{text_col}").cast("string").alias("text"))
     schema = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+    return modest_batches(rows).mapInArrow(run, schema)
 
 
 ship(__name__)

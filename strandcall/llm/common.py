@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+BATCH_ROWS = 512
 WHITE = "\\x20\\x09-\\x0D"
 ASCII_GAP = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
 
@@ -46,12 +47,23 @@ def row_key(id_col: str, text_col: str) -> dict[str, Column]:
     return {"id_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "h": text_hash(F.col(text_col))}
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python at most ``BATCH_ROWS`` at a time: texts are long.
+
+    This lowers the session's setting, which is per row count, if it is higher.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes."""
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Slices of few rows: what a task holds at once depends on few texts, not on a whole batch."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandcall.llm.common import packed, row_key, ship, small_batches, text_hash
+from strandcall.llm.common import modest_batches, packed, row_key, ship, small_batches, text_hash
 from strandcall.session import stage
 
 ENDS = frozenset(".!?…。！？")
@@ -50,21 +50,21 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
-def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[int], np.ndarray]:
+def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[bytes], np.ndarray]:
     """The hashes of all runs, and how many sentences each has; run ``i`` begins with sentence ``i``."""
     parts = sentences(text)
     total = np.cumsum([0, *map(len, parts)])
     stops = np.maximum(np.searchsorted(total, total[:-1] + least_words), np.arange(len(parts)) + least_sentences)
     stops = stops[stops <= len(parts)]  # they don't fall
     keys = [xxhash.xxh3_128_digest(" ".join(words)) for words in parts]
-    return [xxhash.xxh3_128_intdigest(b"".join(keys[i:j])) for i, j in enumerate(stops.tolist())], stops - np.arange(len(stops))
+    return [xxhash.xxh3_128_digest(b"".join(keys[i:j])) for i, j in enumerate(stops.tolist())], stops - np.arange(len(stops))
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
     """(hi, lo, doc_id, h, first, sentences): every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 64):
+        for batch in small_batches(batches):
             where, keys, first, size = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 found, lengths = runs(text or "", least_sentences, least_words)
@@ -73,7 +73,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
                 first.append(np.arange(len(found), dtype=np.int32))
                 size.append(lengths.astype(np.int32))
             where, first, size = map(np.concatenate, (where, first, size))
-            words = np.frombuffer(b"".join(k.to_bytes(16, "little") for k in keys), np.int64).reshape(-1, 2)
+            words = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             rows = batch.take(pa.array(where))
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, words.T), *rows.columns[:2], pa.array(first), pa.array(size)],
@@ -82,7 +82,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, sentences int")
+    return modest_batches(texts).mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, sentences int")
 
 
 def repeated_spans(
@@ -137,7 +137,7 @@ def remove_repeats(
     def cut(texts: pd.Series, numbers: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without(t, n) for t, n in zip(texts, numbers)], dtype=object)
 
-    rows = packed(docs, **row_key(id_col, text_col)).join(by_doc, ["id_key", "h"], "left")
+    rows = modest_batches(packed(docs, **row_key(id_col, text_col))).join(by_doc, ["id_key", "h"], "left")
     changed = cut(F.when(F.col("covered").isNotNull(), text), F.coalesce("covered", F.array().cast("array<int>")))
     return rows.select("row", F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(changed, text).alias("left"))
 

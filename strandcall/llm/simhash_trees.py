@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.llm.common import as_bytes, packed, row_key, ship, small_batches
+from strandcall.llm.common import as_bytes, modest_batches, packed, row_key, ship, small_batches
 from strandcall.llm.components import components
 from strandcall.session import stage
 
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [c.alias(k) for k, c in row_key(id_col, text_col).items()]
     texts = docs.select(F.col(id_col).alias("doc_id"), *columns, F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, id_key string, h long, fp long")
+    return modest_batches(texts).mapInArrow(run, f"doc_id {kind}, id_key string, h long, fp long")
 
 
 def _shifts(radius: int) -> list[tuple[int, ...]]:
