@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcall.llm import byte_cnn, mixing, phrase_index, sentence_spans, simhash_trees
+from strandcall.llm import (
+    byte_cnn,
+    license_automaton,
+    mixing,
+    phrase_index,
+    sentence_spans,
+    simhash_trees,
+    token_counts,
+)
 from strandcall.llm.common import table
 from strandcall.llm.oracles import ORACLES
 
@@ -29,6 +37,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that is left of it."""
     found = sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
@@ -42,11 +55,26 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score is the largest share of a template that a span covers; a phrase gives 0.9 at least."""
+    found = license_automaton.scan_licenses(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.col("spans.label"))))
+    share = F.coalesce(F.array_max(F.col("spans.share")), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        F.least(F.lit(1.0), F.greatest(share, F.when(F.col("n_base") > 0, 0.9).otherwise(0.0))).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_token_counts": op3_token_counts,
     "op4_sentence_spans": op4_sentence_spans,
     "op6_phrase_index": op6_phrase_index,
     "op7_simhash": op7_simhash,
     "op9_byte_cnn": op9_byte_cnn,
+    "op10_license_automaton": op10_license_automaton,
 }
 __all__ = ["ORACLES", "QUERIES"]
