@@ -14,12 +14,26 @@ from strandcall.llm import (
     phrase_index,
     sentence_spans,
     simhash_trees,
+    sketches,
     token_counts,
 )
 from strandcall.llm.common import table
 from strandcall.llm.oracles import ORACLES
 
 
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.fingerprints(table(spark, sf_dir, "documents"), words=5)
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrase_index.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -72,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op3_token_counts": op3_token_counts,
     "op4_sentence_spans": op4_sentence_spans,
+    "op5_scaled_sketch": op5_scaled_sketch,
     "op6_phrase_index": op6_phrase_index,
     "op7_simhash": op7_simhash,
     "op9_byte_cnn": op9_byte_cnn,
