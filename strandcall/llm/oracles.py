@@ -38,6 +38,32 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from docs left join words using (k) left join ids using (k)
 """
 
+OP8 = rf"""
+with parsed as (
+    select row_number() over () as k, page_id,
+        coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') as host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+    from pages
+), rules(host, path, verdict) as (
+    values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting as (
+    select k, r.host || r.path as rule, r.verdict,
+        row_number() over (partition by k order by length(r.host || r.path) desc, length(r.host) desc) as place
+    from parsed p join rules r
+        on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+), toxic as (
+    select distinct cast(doc_id as varchar) as number from labels where toxic = 1
+), listed as (
+    select distinct host, path from parsed join toxic on regexp_extract(path, '0*([0-9]+)(?:\.html?)?/?$', 1) = number
+)
+select page_id, p.host, p.path, f.rule,
+    coalesce(f.verdict, case when l.host is not null then 'block' else 'allow' end) as verdict
+from parsed p left join fitting f on p.k = f.k and f.place = 1
+    left join listed l on p.host = l.host and p.path = l.path
+"""
+
 ORACLES: dict[str, str] = {
     "op6_phrase_index": OP6,
+    "op8_url_bloom": OP8,
 }

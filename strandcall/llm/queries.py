@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandcall.llm import (
     byte_cnn,
+    host_paths,
     license_automaton,
     mixing,
     phrase_index,
@@ -16,6 +17,7 @@ from strandcall.llm import (
     simhash_trees,
     sketches,
     token_counts,
+    url_bloom,
 )
 from strandcall.llm.common import table
 from strandcall.llm.oracles import ORACLES
@@ -51,6 +53,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_paths.extract(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -62,6 +69,28 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_removed", F.char_length("left").cast("long").alias("n_chars"), F.col("left").alias("text"))
 
 
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op8_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the URLs of pages whose document (the last number of the path) is labelled toxic."""
+    pages = table(spark, sf_dir, "pages")
+    names = ("host", "path", "verdict")
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in URL_RULES])
+    rules = spark.range(1).select(F.inline(each))
+    host, path = url_bloom.host_and_path(F.col("url"))
+    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").cast("string").alias("number"))
+    number = F.regexp_extract("path", "0*([0-9]+)(?:\\.html?)?/?$", 1)
+    listed = pages.select(host.alias("host"), path.alias("path")).withColumn("number", number).join(toxic, "number", "left_semi")
+    return url_bloom.judge(pages, rules, listed).select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
@@ -84,11 +113,13 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_host_paths": op2_host_paths,
     "op3_token_counts": op3_token_counts,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_scaled_sketch": op5_scaled_sketch,
     "op6_phrase_index": op6_phrase_index,
     "op7_simhash": op7_simhash,
+    "op8_url_bloom": op8_url_bloom,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_license_automaton": op10_license_automaton,
 }
