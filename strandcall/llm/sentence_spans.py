@@ -74,9 +74,9 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
                 size.append(lengths.astype(np.int32))
             where, first, size = map(np.concatenate, (where, first, size))
             words = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            rows = batch.take(pa.array(where))
+            rows = batch.select([0, 1]).take(pa.array(where))
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, words.T), *rows.columns[:2], pa.array(first), pa.array(size)],
+                [*map(pa.array, words.T), *rows.columns, pa.array(first), pa.array(size)],
                 ["hi", "lo", "doc_id", "h", "first", "sentences"],
             )
 
