@@ -206,6 +206,17 @@ def key_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_packed(_cells(spark, sf_dir).where(F.col("l_quantity") > 45), SAMPLE_KEYS, context)
 
 
+def odd_name(gene: Column) -> Column:
+    """Gene names with a quote, two kinds of quotes, or a backslash."""
+    tail = F.substring(gene, -1, 1)
+    return (
+        F.when(tail == "1", F.concat(gene, F.lit("'x")))
+        .when(tail == "2", F.concat(gene, F.lit("'\"x")))
+        .when(tail == "3", F.concat(gene, F.lit("\\x\\")))
+        .otherwise(gene)
+    )
+
+
 def list_replies(gold: DataFrame) -> DataFrame:
     """Replies to the gene-list question: right for one region, lists swapped for the others."""
     up, down = F.col("upregulated"), F.col("downregulated")

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from strandcall.functions import prompts as P
+from strandcall.plans import reports as R
 from strandcall.vocab import CLASSES, DOWN, NONE_EXTRACTED, NONE_OTHER, UNCHANGED, UP, WHITESPACE
 
 SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 CELL_JOIN = """from lineitem join supplier on l_suppkey = s_suppkey
      join nation on s_nationkey = n_nationkey
      join region on n_regionkey = r_regionkey"""
+AUROC_HEAD = [
+    R.AUROC_TITLE,
+    *R.AUROC_KINDS["dif"],
+    f"{R.AUROC_RUNS_LINE}3",
+    R.AUROC_SHARE_LINE.format(share="20%"),
+    "",
+]
+REPORT_ROWS = [*CLASSES, NONE_EXTRACTED]
+REPORT_HEADER = " " * 28 + " precision    recall  f1-score   support"
 KEYS = "sample_id, pert, gene, cell_type"
 IDS = """concat_ws('-', cast(l_orderkey as varchar), cast(l_linenumber as varchar), cast(l_partkey as varchar)) as sample_id,
        concat('S', cast(l_suppkey as varchar)) as pert,
@@ -277,6 +287,27 @@ def lowest(source: str, columns: str, seed: int, fraction: float, minimum: int =
 where rn <= (select greatest(floor(count(*) * {fraction}::double), {minimum}) from {source}))"""
 
 
+def lowest_numbered(seed: int, wanted: str, columns: str) -> str:
+    """Rows numbered within their keys, in hash order, with their rank and how many are wanted."""
+    keys = ("pert", "gene", "cell_type", "occurrence")
+    numbered = """(select pert, gene, cell_type,
+       cast(row_number() over (partition by pert, gene, cell_type) - 1 as bigint) as occurrence from de)"""
+    return f"""select pert, gene, cell_type, occurrence{columns} from (select *, {wanted} as wanted,
+       row_number() over (order by {order_hash(seed, *keys)}, {", ".join(keys)}) as rn from {numbered})"""
+
+
+def scores_of_runs(by: str) -> str:
+    """AUROC of runs drawn by the sample keys and the occurrence, which is 0 as they identify rows."""
+    h = order_hash(88, "run", "sample_id", "pert", "gene", "cell_type", "0")
+    drawn = f"""(select * from (select *, row_number() over (partition by run order by {h}, {KEYS}) as rn
+ from res, (select unnest([1, 2, 3]) as run)) where rn <= (select floor(count(*) * 0.2::double) from res))"""
+    return auroc(scored(drawn, "dif", "run, cell_type, "), by)
+
+
+def strings(values: list[str]) -> str:
+    return "[" + ", ".join(text(v) for v in values) + "]"
+
+
 FIRST_USER = "list_filter(prompt, lambda m: m.role = 'user' and length(m.content) > 0)[1].content"
 USABLE = "list_filter(prompt, lambda m: m.role in ('system', 'user', 'assistant') and length(m.content) > 0)"
 USERS = "list_filter(prompt, lambda m: m.role = 'user')"
@@ -423,6 +454,11 @@ from (select doc_id, tag, {list_body('Upregulated')} as up, {list_body('Downregu
          when 3 then '<answer>upregulated: [''lower case key'']</answer>'
          else 'none' end as generated_text
 from documents)))""",
+    "gene_list_holdout": sql(
+        """select 'train' as split, pert, cell_type, cast(len(up) as integer) as n_up, cast(len(down) as integer) as n_down
+from lists""",
+        "lists",
+    ),
     "gene_list_answers": sql(
         "select pert, cell_type, cell_type = 'ASIA' or up = down as is_correct from lists", "lists"
     ),
@@ -603,6 +639,36 @@ from levels where level <> 'overall'""",
     "auroc_runs": sql(
         auroc(scored(runs_of(f" and solution in ('{UP}', '{DOWN}')"), "dir", "run, "), "run"), "res"
     ),
+    "auroc_text": sql(
+        f"""select 1 as section, cast(k - 1 as varchar) as position, head[k] as line
+from (select {strings(AUROC_HEAD)} as head, unnest([1, 2, 3, 4, 5, 6]) as k)
+union all select 2, '0', case when v > 0 then printf('Mean Overall AUROC across runs: %.4f (Std: %.4f, Valid Runs: %d/3)', m, s, v)
+       else {text(R.NO_AUROC)} end
+from (select avg(auroc) as m, stddev_pop(auroc) as s, count(auroc) as v from ({scores_of_runs('run')}))
+union all select 2, '1', concat({text(R.AUROC_EACH)}, string_agg(concat(chr(39), coalesce(printf('%.4f', auroc), 'N/A'), chr(39)), ', ' order by run), ']')
+from ({scores_of_runs('run')}) having count(auroc) > 0
+union all select 3, unnest(['0', '1']), unnest(['', {text(R.AUROC_CELLS_TITLE)}])
+union all select 4, cell_type, case when count(auroc) > 0 then
+       printf('  %s: %.4f (Std: %.4f, Valid Runs: %d/3)', cell_type, avg(auroc), stddev_pop(auroc), count(auroc))
+       else concat('  ', cell_type, ': Not calculable or no valid scores in any run.') end
+from ({scores_of_runs('run, cell_type')}) group by cell_type
+union all select 5, unnest(['0', '1']), unnest(['', {text(R.AUROC_END)}])""",
+        "res",
+    ),
+    "class_report_text": sql(
+        f"""select 1 as section, position, line from (
+select 'a' as position, {text(REPORT_HEADER)} as line
+union all select unnest(['a1', 'b09']), ''
+union all select concat('b0', list_position({strings(REPORT_ROWS)}, label) - 1),
+       concat(lpad(label, 28, ' '), printf(' %9.2f %9.2f %9.2f %9d', precision, recall, f1, support)) from class_scores
+union all select 'b10', concat(lpad('accuracy', 28, ' '), repeat(' ', 20),
+       printf(' %9.2f %9d', sum(tp)::double / sum(support), cast(sum(support) as bigint))) from class_scores
+union all select 'b11', concat(lpad('macro avg', 28, ' '),
+       printf(' %9.2f %9.2f %9.2f %9d', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint))) from class_scores
+union all select 'b12', concat(lpad('weighted avg', 28, ' '), printf(' %9.2f %9.2f %9.2f %9d', sum(precision * support) / sum(support),
+       sum(recall * support) / sum(support), sum(f1 * support) / sum(support), cast(sum(support) as bigint))) from class_scores)""",
+        "class_scores",
+    ),
     "auroc_summary": sql(
         f"""select cell_type, round(avg(auroc), 6) as mean_auroc, round(stddev_pop(auroc), 6) as std_auroc,
        cast(count(auroc) as bigint) as valid_runs, cast(3 as bigint) as runs
@@ -617,6 +683,20 @@ from ({auroc(scored(runs_of(), 'dif', 'run, cell_type, '), 'run, cell_type')}) g
 where solution in ('{UP}', '{DOWN}')""",
         "res",
     ),
+    "sample_duplicates": sql(
+        "select pert, gene, cell_type, occurrence from ("
+        + lowest_numbered(88, "(select greatest(floor(count(*) * 0.15::double), 1) from de)", ", rn, wanted")
+        + ") where rn <= wanted",
+        "de",
+    ),
+    "split_duplicates": sql(
+        lowest_numbered(
+            42,
+            "(select floor(count(*) * 0.9::double) from de)",
+            ", case when rn <= wanted then 'train' else 'val' end as part",
+        ),
+        "de",
+    ),
     "train_val_split": sql(
         f"""select {KEYS}, case when rn <= (select floor(count(*) * 0.9::double) from de) then 'train' else 'val' end as part
 from (select *, row_number() over (order by {order_hash(42, 'sample_id', 'pert', 'gene', 'cell_type')}, {KEYS}) as rn from de)""",

@@ -12,6 +12,7 @@ from strandcall.functions import prompts as P
 from strandcall.functions import text as X
 from strandcall.functions.labels import gold_trinary, label_text, pred_score
 from strandcall.operators import batching, curation, labelling, lists, metrics, sampling, splits
+from strandcall.operators.ordering import number_copies
 from strandcall.plans import datasets, evaluate, reports
 from strandcall.plans.training_set import sft_text
 from strandcall.session import new_folder, stage
@@ -162,6 +163,19 @@ def list_solution(spark, sf_dir):
     )
 
 
+@query
+def gene_list_holdout(spark, sf_dir):
+    """For gene lists, ``default`` names a cell line that is not there: train has all, test nothing."""
+    calls = A.directions(spark, sf_dir).withColumn("split", F.lit("train"))
+    found = [
+        datasets.gene_list_samples(calls, split, "default").select(
+            F.lit(split).alias("split"), "pert", "cell_type", F.size("upregulated").alias("n_up"), F.size("downregulated").alias("n_down")
+        )
+        for split in ("train", "test")
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query
 def list_prompts(spark, sf_dir):
     gold = lists.gene_lists(A.directions(spark, sf_dir))
@@ -187,7 +201,8 @@ def extract_gene_lists(spark, sf_dir):
 
 @query
 def gene_list_answers(spark, sf_dir):
-    gold = lists.gene_lists(A.directions(spark, sf_dir))
+    """Gene names hold both quotes and a backslash."""
+    gold = lists.gene_lists(A.directions(spark, sf_dir).withColumn("gene", A.odd_name(F.col("gene"))))
     answers = X.with_gene_lists(A.list_replies(gold)).drop("generated_text")
     return lists.same_lists(answers, gold, ["pert", "cell_type"]).select("pert", "cell_type", "is_correct")
 
@@ -303,12 +318,18 @@ def critic_join(spark, sf_dir):
     return joined.select("doc_id", "pert", "gene", "cell_type", "critic_text")
 
 
+def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with a response that the critic could not read, decided on ids."""
+    ids = A.table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).alias("batch_id"))
+    unread = A.critic(spark, sf_dir).where(F.col("critic_text") == "no tags").select("doc_id")
+    return curation.failed_batches(ids.join(unread, "doc_id"))
+
+
 @query
 def failed_batches(spark, sf_dir):
     generated = A.generated(spark, sf_dir).select("doc_id", "batch_id", "solution", "user_prompt", "generated_text")
     parsed = X.with_answer(generated).drop("generated_text")
-    joined = curation.attach_responses(parsed, A.critic(spark, sf_dir), ["doc_id"])
-    flagged = curation.fail_batches(joined, F.col("critic_text") == "no tags")
+    flagged = curation.with_failures(parsed, _failed(spark, sf_dir))
     chat = P.chat_prompt(F.lit("-"), F.col("user_prompt"))
     return metrics.with_correct(flagged).select(
         "doc_id",
@@ -322,9 +343,7 @@ def failed_batches(spark, sf_dir):
 
 @query
 def result_records(spark, sf_dir):
-    generated = A.generated(spark, sf_dir)
-    joined = curation.attach_responses(generated, A.critic(spark, sf_dir), ["doc_id"])
-    flagged = curation.fail_batches(joined, F.col("critic_text") == "no tags")
+    flagged = curation.with_failures(A.generated(spark, sf_dir), _failed(spark, sf_dir))
     chat = P.chat_prompt(F.lit("-"), F.col("user_prompt"))
     return evaluate.result_records(evaluate.parse_results(flagged).withColumn("prompt", chat))
 
@@ -353,11 +372,9 @@ def approval_summary(spark, sf_dir):
 
 @query
 def rejection_funnel(spark, sf_dir):
-    asked = A.generated(spark, sf_dir).join(
-        A.chats(spark, sf_dir).select("doc_id", X.first_user(F.col("prompt")).isNotNull().alias("has_query")), "doc_id"
-    )
-    judged = curation.judged(asked, A.critic(spark, sf_dir), "doc_id", keep=["has_query"])
-    return curation.rejection_funnel(judged, RATINGS, F.col("has_query"))
+    has_query = A.chats(spark, sf_dir).select("doc_id", X.first_user(F.col("prompt")).isNotNull().alias("has_query"))
+    judged = curation.judged(A.generated(spark, sf_dir), A.critic(spark, sf_dir), "doc_id", reasoning=False)
+    return curation.rejection_funnel(judged.join(has_query, "doc_id"), RATINGS, F.col("has_query"))
 
 
 @query
@@ -449,6 +466,19 @@ def auroc_runs(spark, sf_dir):
     return evaluate.auroc_runs(_stored_results(spark, sf_dir), "dir", SAMPLE_KEYS, SEED)
 
 
+@query
+def auroc_text(spark, sf_dir):
+    """The whole AUROC report; keys identify rows, so its rows are those of ``auroc_runs``."""
+    keys = SAMPLE_KEYS
+    found = evaluate.auroc_report(A.results(spark, sf_dir), "dif", keys, SEED)
+    return found.select("section", "position", "line")
+
+
+@query
+def class_report_text(spark, sf_dir):
+    return reports.class_report_lines(_parsed(spark, sf_dir))
+
+
 @query
 def auroc_summary(spark, sf_dir):
     runs = evaluate.auroc_runs(_stored_results(spark, sf_dir), "dif", SAMPLE_KEYS, SEED, by_cell=True)
@@ -479,6 +509,24 @@ def direction_stage(spark, sf_dir):
     return splits.filter_direction(sampled)
 
 
+GENE_KEYS = ("pert", "gene", "cell_type")
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(number_copies(A.calls(spark, sf_dir).select(*GENE_KEYS), GENE_KEYS), "numbered")
+
+
+@query
+def sample_duplicates(spark, sf_dir):
+    """Rows are drawn where keys repeat."""
+    return sampling.sample_exact(_numbered(spark, sf_dir), 0.15, SEED, [*GENE_KEYS, "occurrence"])
+
+
+@query
+def split_duplicates(spark, sf_dir):
+    return sampling.train_val_split(_numbered(spark, sf_dir), 0.9, 42, [*GENE_KEYS, "occurrence"])
+
+
 @query
 def train_val_split(spark, sf_dir):
     return sampling.train_val_split(_stored_keys(spark, sf_dir), 0.9, 42, SAMPLE_KEYS)

@@ -33,8 +33,8 @@ GIVEN = (
     "Explain why, as if you had to find this out yourself. "
 )
 EXAMPLE = (
-    "\nA well-formed reply:\n<think>Factor A switches on gene B in these cells, so less of A means less of B."
-    "</think><answer>downregulated</answer>"
+    "\nFor instance:\n<think>The silenced phosphatase normally keeps a kinase cascade quiet. The target is an early "
+    "response gene of that cascade, so it should rise.</think><answer>upregulated</answer>"
 )
 WORKED_EXAMPLE = (
     "\n\nA reply that a biologist would accept:\n<think>What does silencing ATF4 do to DDIT3 while unfolded proteins "
@@ -43,19 +43,13 @@ WORKED_EXAMPLE = (
     "cells make less DDIT3.</think><answer>downregulated</answer>"
 )
 CHECKLIST = (
-    "\n\nWork through these points before you conclude:\n"
-    "1. What does the silenced gene's product do?\n"
-    "2. In which pathways are the two genes found?\n"
-    "3. What happens to cells in which the silenced gene is lost, blocked or activated?\n"
-    "4. Does the silenced gene drive, relay or restrain a pathway of the target?\n"
-    "5. Which factors and stimuli control the target's locus?\n"
-    "6. Is a direct regulatory link between the two genes known?\n"
-    "7. How does the cell line change the picture?\n"
-    "8. Which compounds hit the silenced gene, and how do cells respond to them?\n"
-    "9. When after the knockdown would an effect be visible?\n"
-    "10. Which indirect effects or feedback loops could matter?\n"
-    "11. Which findings speak against your view?\n"
-    "Support each point with evidence."
+    "\n\nBefore you answer, settle three things.\n"
+    "Baseline: is the target expressed in this line at all, and what keeps it at that level?\n"
+    "Route: write down the shortest chain of known steps from the knockdown to the target, mark each step as "
+    "activating or inhibiting, and say which step you trust least.\n"
+    "Size: would what reaches the target stand out against cell-to-cell noise, or would a paralogue or a "
+    "compensating loop absorb it?\n"
+    "If no chain holds up, say so; that speaks for no change."
 )
 # What the model may say when a lookup tool is at hand.
 UNSURE = " (or: I do not know, I want to check pathways and interactions again)"
@@ -83,7 +77,7 @@ USER_TEMPLATES = {
 LIST_FORMAT = (
     "Between <answer> and </answer> write Upregulated: followed by the names in square brackets, then "
     "Downregulated: in the same way, separated by a semicolon and a space; an empty group is []. "
-    "Layout: <think>your reasoning</think><answer>Upregulated: ['GENE_A', 'GENE_B']; Downregulated: []</answer>"
+    "Layout: <think>your reasoning</think><answer>Upregulated: []; Downregulated: ['first symbol', 'second symbol']</answer>"
 )
 LIST_TEMPLATES = {
     "default": (

@@ -15,8 +15,10 @@ from strandcall.vocab import CLASSES, NO_REASONING, RATINGS, WHITESPACE
 # Patterns of the response format.
 TAG_PATTERN = r"(?isu)<{tag}>(.*?)</{tag}>"
 LIST_PATTERN = r"(?d){key}:\s*(\[.*?\])"
-ITEM_PATTERN = r"""'[^']*'|"[^"]*\""""
-LIST_BODY_PATTERN = r"""(?s)^\[\s*(?:(?:'[^']*'|"[^"]*")\s*(?:,\s*(?:'[^']*'|"[^"]*")\s*)*,?\s*)?\]$"""
+QUOTED = r"""(?:'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")"""
+ITEM_PATTERN = f"(?s){QUOTED}"
+LIST_BODY_PATTERN = rf"(?s)^\[\s*(?:{QUOTED}\s*(?:,\s*{QUOTED}\s*)*,?\s*)?\]$"
+ESCAPED = r"""\\(['"\\])"""
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -89,13 +91,12 @@ def with_think_answer(df: DataFrame, text: str = "generated_text") -> DataFrame:
     )
 
 
-def with_critic(df: DataFrame, text: str = "critic_text") -> DataFrame:
-    """Add ``critic_evaluation`` (null unless on the scale) and ``critic_reasoning``."""
-    tagged = compute_once(
-        df,
-        critic_reasoning=tag_text(F.col(text), "reasoning"),
-        _tag=F.lower(tag_text(F.col(text), "evaluation")),
-    )
+def with_critic(df: DataFrame, text: str = "critic_text", reasoning: bool = True) -> DataFrame:
+    """Add ``critic_evaluation`` (null unless on the scale) and, if asked for, ``critic_reasoning``."""
+    parsed = {"_tag": F.lower(tag_text(F.col(text), "evaluation"))}
+    if reasoning:
+        parsed = {"critic_reasoning": tag_text(F.col(text), "reasoning"), **parsed}
+    tagged = compute_once(df, **parsed)
     return tagged.withColumn("critic_evaluation", F.when(F.col("_tag").isin(*RATINGS), F.col("_tag"))).drop("_tag")
 
 
@@ -112,7 +113,7 @@ def _list_body(answer: Column, key: str) -> Column:
 
 def _items(body: Column) -> Column:
     quoted = F.regexp_extract_all(body, F.lit(ITEM_PATTERN), F.lit(0))
-    return F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    return F.transform(quoted, lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), ESCAPED, "$1"))
 
 
 def with_gene_lists(df: DataFrame, text: str = "generated_text", out: str = "gene_lists") -> DataFrame:

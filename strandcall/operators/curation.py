@@ -57,21 +57,26 @@ def attach_responses(samples: DataFrame, responses: DataFrame, keys: Sequence[st
     return samples.join(responses, list(keys), "left")
 
 
-def critic_verdicts(critic: DataFrame, key: str, text: str = "critic_text") -> DataFrame:
+def critic_verdicts(
+    critic: DataFrame, key: str, text: str = "critic_text", reasoning: bool = True
+) -> DataFrame:
     """Parsed critic responses without their text, ready to be joined."""
-    return with_critic(critic, text).select(
+    return with_critic(critic, text, reasoning).select(
         key,
         (F.col(text).isNotNull()).alias("has_critic"),
         "critic_evaluation",
-        "critic_reasoning",
+        *(["critic_reasoning"] if reasoning else []),
     )
 
 
-def judged(generated: DataFrame, critic: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+def judged(
+    generated: DataFrame, critic: DataFrame, key: str, keep: Sequence[str] = (), reasoning: bool = True
+) -> DataFrame:
     """Short judgement columns per sample: what was parsed on either side.
 
     Responses are parsed before the join and their texts dropped, unless named
-    in ``keep``, so the shuffle carries flags instead of documents.
+    in ``keep``, so the shuffle carries flags instead of documents. ``reasoning``
+    adds the critic's reasoning.
     """
     parsed = with_think_answer(generated)
     left = parsed.select(
@@ -82,7 +87,7 @@ def judged(generated: DataFrame, critic: DataFrame, key: str, keep: Sequence[str
         "generated_answer",
         "solution",
     )
-    return left.join(critic_verdicts(critic, key), key, "left").withColumn(
+    return left.join(critic_verdicts(critic, key, reasoning=reasoning), key, "left").withColumn(
         "has_critic", F.coalesce("has_critic", F.lit(False))
     )
 
@@ -157,14 +162,23 @@ def rejection_funnel(
     )
 
 
+def failed_batches(errors: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """The batches of these rows."""
+    return group_packed(errors, [batch]).withColumn("api_error", F.lit(True))
+
+
+def with_failures(df: DataFrame, failed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """``api_error`` on every row of a failed batch."""
+    return df.join(failed, batch, "left").withColumn("api_error", F.coalesce("api_error", F.lit(False)))
+
+
 def fail_batches(df: DataFrame, is_error: Column, batch: str = "batch_id") -> DataFrame:
     """One failed call fails its batch: ``api_error`` on every row of it.
 
-    The failed batches are a distinct list joined back, so rows with long texts
-    are not gathered per batch.
+    ``df`` is read twice; where it carries long texts, take ``failed_batches`` of a narrow
+    frame instead. Rows are not gathered per batch.
     """
-    failed = group_packed(df.where(is_error), [batch]).withColumn("api_error", F.lit(True))
-    return df.join(failed, batch, "left").withColumn("api_error", F.coalesce("api_error", F.lit(False)))
+    return with_failures(df, failed_batches(df.where(is_error), batch), batch)
 
 
 def with_context(samples: DataFrame, context: DataFrame, keys: Sequence[str]) -> DataFrame:

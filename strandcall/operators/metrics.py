@@ -218,18 +218,31 @@ def score_rows(results: DataFrame, stage: str) -> DataFrame:
     )
 
 
+def score_counts(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Positives ``p`` and negatives ``n`` per group and score."""
+    return scored.groupBy(*by, "score").agg(
+        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
+    )
+
+
 def auroc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve of ``score`` against ``y``, ties counted half.
 
-    Rows are counted per score first. The number of negatives below a score is a
-    running total over score buckets plus a running total inside the bucket, so
-    many different scores do not meet in one task. The arc tangent keeps the order
-    of any scores and maps them to some 3,000 buckets without looking at the data.
     Null when a group has a single class (or fewer than two rows).
     """
-    counts = scored.groupBy(*by, "score").agg(
-        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
-    )
+    return auroc_of_counts(score_counts(scored, by), by)
+
+
+def auroc_of_counts(score_table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """AUROC from ``score_counts`` of these or of finer groups.
+
+    The number of negatives below a score is a running total over score buckets
+    plus a running total inside the bucket, so that different scores do not meet in one
+    task. The arc tangent keeps the order of any scores and maps them to some 3,000
+    buckets without looking at the data; they are even for scores around 0
+    to 100, and scores far above share the last ones.
+    """
+    counts = score_table.groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     bucketed = counts.withColumn("bucket", F.floor(F.atan("score") * SCORE_BUCKETS))
     before = (Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(*before)

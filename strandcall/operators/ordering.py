@@ -53,6 +53,20 @@ def expand(df: DataFrame, first: Column, stop: Column, out: str, step: int = 409
     )
 
 
+def number_copies(df: DataFrame, keys: Sequence[str], out: str = "occurrence") -> DataFrame:
+    """Number the rows that share ``keys`` from 0, in the order of the other columns.
+
+    With ``out`` among its keys a sample draws rows even where keys repeat. Equal
+    rows are counted and written out again in blocks, so that a frequent row is
+    spread over the partitions.
+    """
+    columns = df.columns
+    rest = [c for c in columns if c not in keys] or list(keys)
+    before = Window.partitionBy(*keys).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+    counted = add_hash(collapse(df), 0, keys).withColumn("_from", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    return expand(counted, F.col("_from"), F.col("_from") + F.col("copies"), out).select(*columns, out)
+
+
 def run_starts(
     runs: DataFrame,
     copies: str,

@@ -1,8 +1,9 @@
 """Exact-size, repeatable samples.
 
-A sample of m rows is the m lowest rows of a seeded hash order. Two small jobs
-find the hash at which to cut (a histogram over hash prefixes, then the hashes of
-the one bucket the cut falls into); the sample itself is a filter on the hash.
+A sample of m rows is the m lowest rows of a seeded hash order. Three small jobs
+find the hash at which to cut (a histogram over hash prefixes, one over longer
+prefixes in the bucket that the cut falls into, then the hashes of its part at
+the cut); the sample itself is a filter on the hash.
 Nothing is sorted or sent to the driver but one cut per run.
 
 The input is read once per job: stage it first if it is expensive to compute.
@@ -20,7 +21,6 @@ from strandcall.operators.ordering import BUCKET_DIGITS, HASH, bucket_of, collap
 from strandcall.operators.splits import filter_direction
 
 RUN = "run"
-LARGE_BUCKET = 1_000_000  # a bucket with more rows is cut by a longer prefix first
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,6 @@ class Cut:
     present: int  # rows with exactly this hash
 
 
-def _with_runs(df: DataFrame, runs: int) -> DataFrame:
-    return df.withColumn(RUN, F.explode(F.array(*[F.lit(r) for r in range(1, runs + 1)])))
-
-
 def _wanted(total: Column, fraction: float, min_one: bool) -> Column:
     size = F.floor(total.cast("double") * F.lit(float(fraction)))
     return F.greatest(size, F.least(total, F.lit(1))) if min_one else size
@@ -68,8 +64,8 @@ def _same_prefix(prefixes: dict[int, str], digits: int) -> Column:
 def find_cuts(keyed: DataFrame, fraction: float, min_one: bool, wanted: dict[int, int] | None = None) -> list[Cut]:
     """Cuts of a frame with ``RUN`` and ``HASH``; at most one row per run is collected.
 
-    Positions are counted over hash prefixes, over longer prefixes where the
-    bucket at the cut is still large, and finally over the hashes of one bucket.
+    Positions are counted over hash prefixes, then over prefixes twice as long in
+    the bucket at the cut, then over the hashes of the bucket at this cut.
     """
     by_prefix = keyed.groupBy(RUN, bucket_of().alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(RUN))
@@ -85,10 +81,8 @@ def find_cuts(keyed: DataFrame, fraction: float, min_one: bool, wanted: dict[int
         left = _per_run({run: row["needed"] for run, row in at.items()}, 0).cast("bigint")
         return {row[RUN]: row for row in _crossing(counted.withColumn("wanted", left), "prefix").collect()}
 
-    digits, at = BUCKET_DIGITS, first
-    if max(row["n"] for row in at.values()) > LARGE_BUCKET:
-        at = crossing_in(at, digits, F.substring(HASH, 1, 2 * digits))
-        digits = 2 * digits
+    digits = 2 * BUCKET_DIGITS
+    at = crossing_in(first, BUCKET_DIGITS, F.substring(HASH, 1, digits))
     return [
         Cut(
             run=run,
@@ -135,11 +129,8 @@ def mark_lowest(keyed: DataFrame, columns: list[str], cuts: list[Cut], depth: in
     return marked.where(~at_cut).select(*columns, RUN, "kept").unionByName(tied)
 
 
-def _marked(
-    df: DataFrame, fraction: float, seed: int | str, keys: Sequence[str], min_one: bool, runs: int | None
-) -> DataFrame:
-    hashed_keys = list(keys) if runs is None else [F.col(RUN), *keys]
-    keyed = _with_runs(df, runs or 1).withColumn(HASH, hash_of(seed, hashed_keys))
+def _marked(df: DataFrame, fraction: float, seed: int | str, keys: Sequence[str], min_one: bool) -> DataFrame:
+    keyed = df.withColumn(RUN, F.lit(1)).withColumn(HASH, hash_of(seed, keys))
     return mark_lowest(keyed, df.columns, find_cuts(keyed, fraction, min_one))
 
 
@@ -147,7 +138,7 @@ def sample_exact(
     df: DataFrame, fraction: float, seed: int | str, keys: Sequence[str], min_one: bool = True
 ) -> DataFrame:
     """``int(n * fraction)`` rows, at least one of a non-empty table if ``min_one``."""
-    return _marked(df, fraction, seed, keys, min_one, None).where("kept").select(df.columns)
+    return _marked(df, fraction, seed, keys, min_one).where("kept").select(df.columns)
 
 
 def repeated_samples(
@@ -155,15 +146,22 @@ def repeated_samples(
 ) -> DataFrame:
     """``runs`` independent samples in one frame with a ``run`` column.
 
+    A row is hashed once for each run, but only runs that take it become rows.
     In stage ``dir`` each sample is narrowed to directions afterwards.
     """
-    sampled = _marked(df, fraction, seed, keys, True, runs).where("kept").select(RUN, *df.columns)
-    return filter_direction(sampled) if stage == "dir" else sampled
+    hashes = {run: hash_of(seed, [F.lit(run), *keys]) for run in range(1, runs + 1)}
+    each = [F.struct(F.lit(run).alias(RUN), h.alias(HASH)) for run, h in hashes.items()]
+    cuts = find_cuts(df.select(F.inline(F.array(*each))), fraction, True)
+    last = {cut.run: cut.last_hash for cut in cuts}
+    taking = [F.when(one[HASH] <= last[run], one) for run, one in zip(hashes, each) if run in last]
+    below = F.filter(F.array(*taking), lambda one: one.isNotNull()) if taking else F.array(*each[:0]).cast(f"array<struct<{RUN}:int,{HASH}:string>>")
+    kept = mark_lowest(df.select("*", F.inline(below)), df.columns, cuts).where("kept").select(RUN, *df.columns)
+    return filter_direction(kept) if stage == "dir" else kept
 
 
 def train_val_split(
     df: DataFrame, train_fraction: float, seed: int | str, keys: Sequence[str]
 ) -> DataFrame:
     """Add ``part``: exactly ``int(n * train_fraction)`` rows ``train``, the rest ``val``."""
-    marked = _marked(df, train_fraction, seed, keys, False, None)
+    marked = _marked(df, train_fraction, seed, keys, False)
     return marked.withColumn("part", F.when(F.col("kept"), "train").otherwise("val")).select(*df.columns, "part")

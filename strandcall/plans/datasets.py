@@ -49,10 +49,13 @@ def with_prompt(samples: DataFrame, mode: str = "default", tool: bool = False) -
 def gene_list_samples(
     directions: DataFrame, split: str | None = "train", test_lines: str | None = "none", mode: str = "default"
 ) -> DataFrame:
-    """One sample per perturbation and cell line: gold lists, solution text, chat prompt."""
+    """One sample per perturbation and cell line: gold lists, solution text, chat prompt.
+
+    Of the words for held-out lines only ``none`` means that there are none.
+    """
     up, down = F.col("upregulated"), F.col("downregulated")
     system = list_system_prompt(mode, list_payload(up, down))
-    return gene_lists(filter_holdout(directions, split, test_lines)).withColumns(
+    return gene_lists(filter_holdout(directions, split, test_lines, ("none",))).withColumns(
         {"solution_text": list_solution(up, down), "prompt": chat_prompt(system, list_user_prompt())}
     )
 

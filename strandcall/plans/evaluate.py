@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandcall.functions.text import last_content, last_user_excerpt, with_answer
 from strandcall.operators import metrics
 from strandcall.operators.batching import assign_batches
-from strandcall.operators.curation import attach_responses, fail_batches
+from strandcall.operators.curation import attach_responses, failed_batches, with_failures
+from strandcall.operators.ordering import number_copies
 from strandcall.operators.sampling import RUN, repeated_samples
 from strandcall.plans.reports import auroc_lines, class_report_lines, report_lines
 from strandcall.session import stage
@@ -48,9 +49,15 @@ def eval_requests(samples: DataFrame, size: int, seed: int) -> DataFrame:
 
 
 def answered_samples(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests with their responses; one missing response fails its batch."""
-    answered = attach_responses(requests, responses, ["sample_id"])
-    return fail_batches(answered, F.col("generated_text").isNull())
+    """Requests with their responses; one missing response fails its batch.
+
+    Failure is decided on ids alone, before the one join that carries texts.
+    """
+    has = responses.select("sample_id", F.col("generated_text").isNotNull().alias("answered"))
+    asked = attach_responses(requests.select("sample_id", "batch_id"), has, ["sample_id"])
+    failed = failed_batches(asked.where(~F.coalesce("answered", F.lit(False))))
+    flagged = with_failures(requests, failed)
+    return attach_responses(flagged, responses, ["sample_id"])
 
 
 def result_records(results: DataFrame) -> DataFrame:
@@ -103,9 +110,16 @@ def auroc_runs(
 def auroc_report(
     responses: DataFrame, stage_name: str, keys: tuple[str, ...], seed: int, runs: int = AUROC_RUNS
 ) -> DataFrame:
-    """Text lines of the summary over runs, from results parsed once."""
-    narrow = with_answer(responses).select(*{*keys, "cell_type"}, "solution", "extracted_answer")
-    results = stage(narrow, "results")
-    overall = auroc_runs(results, stage_name, keys, seed, runs)
-    cells = auroc_runs(results, stage_name, keys, seed, runs, by_cell=True)
-    return auroc_lines(metrics.auroc_summary(overall, runs), metrics.auroc_summary(cells, runs, ("cell_type",)))
+    """Text lines of the summary over runs, from results parsed once and sampled once.
+
+    Rows are drawn, not keys. Scores are counted per run and cell line; the
+    overall figures come from the same counts.
+    """
+    narrow = with_answer(responses).select(*dict.fromkeys([*keys, "cell_type"]), "solution", "extracted_answer")
+    results = stage(number_copies(narrow, keys), "results")
+    sampled = repeated_samples(results, runs, AUROC_FRACTION, seed, [*keys, "occurrence"], stage_name)
+    counts = stage(metrics.score_counts(metrics.score_rows(sampled, stage_name), (RUN, "cell_type")), "scores")
+    overall = metrics.auroc_of_counts(counts, (RUN,))
+    cells = metrics.auroc_of_counts(counts, (RUN, "cell_type"))
+    by_cell = metrics.auroc_summary(cells, runs, ("cell_type",))
+    return auroc_lines(metrics.auroc_summary(overall, runs), by_cell, overall, stage_name, runs, AUROC_FRACTION)

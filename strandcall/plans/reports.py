@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandcall.operators import metrics
+from strandcall.operators.metrics import REPORT_LABELS
 
 # Lines of the reports.
 OVERALL_TITLE = "--- Overall Evaluation Summary ---"
@@ -16,6 +17,25 @@ DISTRIBUTION_TITLE = "--- Predicted Answer Distribution (Model Output) ---"
 CELL_TITLE = "--- Accuracy by Cell Type ---"
 PERT_TITLE = "--- Accuracy by Perturbation ---"
 AUROC_TITLE = "--- AUROC Evaluation Summary ---"
+AUROC_KINDS = {
+    "dir": (
+        "Evaluation Type: Differentiating 'upregulated' vs 'downregulated'",
+        "Method: Random percentage subset taken from base, THEN subset filtered for up/down.",
+    ),
+    "dif": (
+        "Evaluation Type: Differentiating 'differentially expressed' (up/down) vs 'not differentially expressed'",
+        "Method: Random percentage subset taken from base.",
+    ),
+}
+AUROC_RUNS_LINE = "Number of AUROC runs (each with a fresh random subset): "
+AUROC_SHARE_LINE = "Initial subset size per run: {share} of available base AUROC data"
+AUROC_EACH = "Individual Overall AUROCs per run: ["
+NO_AUROC = "No valid Overall AUROC scores calculated across any run."
+AUROC_CELLS_TITLE = "Mean Per-Cell-Type AUROC across runs:"
+NO_CELLS = "  No per-cell-type AUROC data available or calculated."
+AUROC_END = "--- End of AUROC Evaluation ---"
+NO_REPORT = "  Not enough data to generate classification report."
+AVERAGES = ("accuracy", "macro avg", "weighted avg")
 
 
 def two_decimals(part: Column, whole: Column, scale: int = 100) -> Column:
@@ -72,37 +92,76 @@ def report_lines(results: DataFrame) -> DataFrame:
 
 
 def class_report_lines(results: DataFrame) -> DataFrame:
-    """Per class and average lines with two decimals."""
+    """The class report as text: header, classes, accuracy, averages; columns are aligned.
+
+    Accuracy has a single value. Without any row there is one line that says so.
+    """
+    width = max(map(len, (*REPORT_LABELS, *AVERAGES)))
     report = metrics.class_report(results)
-    rows = report.drop("tp").unionByName(metrics.class_report_averages(report))
-    return rows.select(
-        F.lit(1).alias("section"),
-        F.lpad(F.col("position").cast("string"), 2, "0").alias("position"),
-        F.format_string("%26s %.2f %.2f %.2f %d", "label", "precision", "recall", "f1", "support").alias("line"),
+    rows = report.drop("tp").unionByName(metrics.class_report_averages(report)).withColumn("all", F.max("support").over(Window.partitionBy()))
+    numbers = [F.format_string("%9.2f", c) for c in ("precision", "recall", "f1")]
+    blank = F.lit(" " * 9)
+    single = F.col("label") == "accuracy"
+    cells = [F.when(single, blank).otherwise(numbers[0]), F.when(single, blank).otherwise(numbers[1]), numbers[2]]
+    row = F.concat_ws(" ", F.lpad("label", width, " "), *cells, F.format_string("%9d", "support"))
+    lines = rows.where(F.col("all") > 0).select(
+        F.lit(1).alias("section"), F.concat(F.lit("b"), F.lpad(F.col("position").cast("string"), 2, "0")).alias("position"), row.alias("line")
     )
+    names = ("precision", "recall", "f1-score", "support")
+    header = " ".join([" " * width, *(f"{n:>9}" for n in names)])
+    some = report.agg((F.sum("support") > 0).alias("some"))
+    fixed = F.array(_line(1, F.lit("a"), F.lit(header)), _line(1, F.lit("a1"), F.lit("")), _line(1, F.lit("b09"), F.lit("")))
+    none = F.array(_line(1, F.lit("a"), F.lit(NO_REPORT)))
+    return some.select(F.inline(F.when(F.col("some"), fixed).otherwise(none))).unionByName(lines)
+
 
+def auroc_lines(overall: DataFrame, per_cell: DataFrame, per_run: DataFrame, stage: str, runs: int, fraction: float) -> DataFrame:
+    """The AUROC report as text.
 
-def auroc_lines(overall: DataFrame, per_cell: DataFrame) -> DataFrame:
-    """Lines of the AUROC summary over runs."""
+    ``overall`` and ``per_cell`` are summaries over runs, ``per_run`` has the value of
+    each run; a run without a row or a value is shown as such.
+    """
 
     def value(prefix: Column) -> Column:
-        return F.when(
-            F.col("valid_runs") > 0,
-            F.concat(
-                prefix,
-                F.format_string(
-                    ": %.4f (Std: %.4f, Valid Runs: %d/%d)", "mean_auroc", "std_auroc", "valid_runs", "runs"
-                ),
-            ),
-        ).otherwise(F.concat(prefix, F.lit(": Not calculable or no valid scores in any run.")))
+        return F.concat(
+            prefix,
+            F.format_string(": %.4f (Std: %.4f, Valid Runs: %d/%d)", "mean_auroc", "std_auroc", "valid_runs", "runs"),
+        )
+
+    kind, method = AUROC_KINDS["dir" if stage == "dir" else "dif"]
+    head = [AUROC_TITLE, kind, method, f"{AUROC_RUNS_LINE}{runs}", AUROC_SHARE_LINE.format(share=f"{fraction * 100:.0f}%"), ""]
+    texts = [_line(1, F.lit(str(k)), F.lit(t)) for k, t in enumerate(head)]
+    tail = [_line(3, F.lit("0"), F.lit("")), _line(3, F.lit("1"), F.lit(AUROC_CELLS_TITLE)), _line(5, F.lit("0"), F.lit("")), _line(5, F.lit("1"), F.lit(AUROC_END))]
+    fixed = overall.sparkSession.range(1).select(F.inline(F.array(*texts, *tail)))
 
-    title = overall.sparkSession.range(1).select(F.inline(F.array(_line(1, F.lit(""), F.lit(AUROC_TITLE)))))
-    mean = overall.select(
-        F.lit(2).alias("section"), F.lit("").alias("position"), value(F.lit("Mean Overall AUROC across runs")).alias("line")
+    shown = F.coalesce(F.format_string("%.4f", F.max("auroc")), F.lit("N/A"))
+    numbers = per_run.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
+    values = numbers.join(per_run.select("run", "auroc"), "run", "left").groupBy("run").agg(
+        F.concat(F.lit("'"), F.when(F.max("auroc").isNull(), F.lit("N/A")).otherwise(shown), F.lit("'")).alias("shown")
+    )
+    listed = values.agg(F.array_sort(F.collect_list(F.struct("run", "shown"))).alias("all"))  # a value for each run
+    summary = overall.agg(F.max(F.struct("valid_runs", "mean_auroc", "std_auroc", "runs")).alias("s")).select("s.*", F.lit(1).alias("one"))
+    both = summary.join(listed.withColumn("one", F.lit(1)), "one")  # one row each
+    is_valid = F.coalesce(F.col("valid_runs") > 0, F.lit(False))
+    mean = both.select(
+        F.inline(
+            F.when(
+                is_valid,
+                F.array(
+                    _line(2, F.lit("0"), value(F.lit("Mean Overall AUROC across runs"))),
+                    _line(2, F.lit("1"), F.concat(F.lit(AUROC_EACH), F.array_join("all.shown", ", "), F.lit("]"))),
+                ),
+            ).otherwise(F.array(_line(2, F.lit("0"), F.lit(NO_AUROC))))
+        )
     )
     cells = per_cell.select(
-        F.lit(3).alias("section"),
-        F.col("cell_type").alias("position"),
-        value(F.concat(F.lit("  "), F.col("cell_type"))).alias("line"),
+        F.lit(4).alias("section"),
+        F.coalesce("cell_type", F.lit("")).alias("position"),
+        F.when(F.col("valid_runs") > 0, value(F.concat(F.lit("  "), F.col("cell_type"))))
+        .otherwise(F.concat(F.lit("  "), F.col("cell_type"), F.lit(": Not calculable or no valid scores in any run.")))
+        .alias("line"),
+    )
+    no_cells = per_cell.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0).select(
+        F.lit(4).alias("section"), F.lit("").alias("position"), F.lit(NO_CELLS).alias("line")
     )
-    return title.unionByName(mean).unionByName(cells)
+    return fixed.unionByName(mean).unionByName(cells).unionByName(no_cells)

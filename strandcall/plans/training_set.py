@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from strandcall.functions.prompts import sft_messages
 from strandcall.functions.text import render_chat
+from strandcall.operators.ordering import number_copies
 from strandcall.operators.sampling import train_val_split
+from strandcall.session import stage
 
 # Share and seed of the training part.
 TRAIN_SHARE = 0.9
 SEED = 42
 
+OCCURRENCE = "occurrence"
+
 
 def sft_text(examples: DataFrame, express_type: str = "dif", target: str = "cot") -> DataFrame:
     """Add ``text``: the rendered system, user and assistant turns."""
@@ -27,10 +31,12 @@ def training_set(
 ) -> DataFrame:
     """``text`` and ``part`` of every example.
 
-    The split is decided on the keys; the text is rendered in the last
-    projection. Feed it stored examples, as they are read three times.
+    Rows are split, not keys: examples that share the keys are numbered first,
+    and the numbered examples are stored, as the split reads them several times.
+    The text is rendered in the last projection.
     """
-    split = train_val_split(examples, TRAIN_SHARE, SEED, keys)
+    numbered = stage(number_copies(examples, keys, OCCURRENCE), "examples")
+    split = train_val_split(numbered, TRAIN_SHARE, SEED, [*keys, OCCURRENCE])
     return sft_text(split, express_type, target).select(*keys, F.col("text"), "part")
 
 

@@ -97,9 +97,12 @@ def test_report_text(source):
     assert "  Predicted as 'None/Other': 3 times (50.00%)" in lines
     assert lines[lines.index("--- Accuracy by Cell Type ---") + 1 :][:2] == ["  h: 20.00% (1/5)", "  k: 66.67% (2/3)"]
     assert lines[-1] == "  C: 0.00% (0/3)"
-    classes = [r.line.split() for r in class_report_lines(source).orderBy("position").collect()]
-    assert classes[0] == ["upregulated", "0.50", "0.25", "0.33", "4"]
-    assert classes[-1][-4:] == ["0.62", "0.38", "0.46", "8"] or classes[-1][0] == "weighted"
+    text = [r.line for r in class_report_lines(source).orderBy("position").collect()]
+    assert text[0].split() == ["precision", "recall", "f1-score", "support"] and text[1] == ""
+    assert text[2].split() == ["upregulated", "0.50", "0.25", "0.33", "4"]
+    assert text[6] == "" and text[7].split()[0] == "accuracy" and len(text[7].split()) == 3
+    assert text[-1].split()[:2] == ["weighted", "avg"] and text[-1].split()[-1] == "8"
+    assert {len(t) for t in text if t} == {len(text[0])}
 
 
 def test_two_decimals(spark):
@@ -158,7 +161,20 @@ def test_summary_leaves_out_invalid_runs(spark, rows):
     )
     assert rows(M.auroc_summary(runs, 3, ("cell_type",))) == [("h", None, None, 0, 3), ("k", 0.6, 0.1, 2, 3)]
     overall = M.auroc_summary(runs.where("cell_type = 'k'"), 3)
-    report = auroc_lines(overall, M.auroc_summary(runs, 3, ("cell_type",)))
+    by_cell = M.auroc_summary(runs, 3, ("cell_type",))
+    report = auroc_lines(overall, by_cell, runs.where("cell_type = 'k'"), "dir", 3, 0.2)
     lines = [r.line for r in report.orderBy("section", "position").collect()]
-    assert lines[1] == "Mean Overall AUROC across runs: 0.6000 (Std: 0.1000, Valid Runs: 2/3)"
-    assert lines[2] == "  h: Not calculable or no valid scores in any run."
+    assert lines[0] == "--- AUROC Evaluation Summary ---"
+    assert lines[3:6] == [
+        "Number of AUROC runs (each with a fresh random subset): 3",
+        "Initial subset size per run: 20% of available base AUROC data",
+        "",
+    ]
+    assert lines[6] == "Mean Overall AUROC across runs: 0.6000 (Std: 0.1000, Valid Runs: 2/3)"
+    assert lines[7] == "Individual Overall AUROCs per run: ['0.5000', '0.7000', 'N/A']"
+    assert lines[10] == "  h: Not calculable or no valid scores in any run."
+    assert lines[-1] == "--- End of AUROC Evaluation ---"
+    none = auroc_lines(M.auroc_summary(runs.limit(0), 3), by_cell.limit(0), runs.limit(0), "dif", 3, 0.2)
+    lines = [r.line for r in none.orderBy("section", "position").collect()]
+    assert "No valid Overall AUROC scores calculated across any run." in lines
+    assert "  No per-cell-type AUROC data available or calculated." in lines

@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from strandcall.catalog.oracles import ORACLES
+from strandcall.catalog.queries import REGISTRY as QUERIES
 from tests.conftest import SF_DIR
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
-
 
 def normal(value):
     return round(value, 6) if isinstance(value, float) else value
@@ -15,6 +14,7 @@ def normal(value):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):

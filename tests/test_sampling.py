@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandcall.operators import sampling as S
 from strandcall.operators.batching import assign_batches, assign_shard, preview
-from strandcall.operators.ordering import with_row_index
+from strandcall.operators.ordering import number_copies, with_row_index
 
 
 def md5(*parts):
@@ -37,10 +37,17 @@ def test_sample_is_the_head_of_the_hash_order(numbers, fraction):
     assert sorted(r.id for r in again.collect()) == sorted(want)
 
 
-def test_large_buckets_are_cut_twice(numbers, copies, monkeypatch):
-    plain = [sorted(S.sample_exact(df, 0.4, 3, [k]).collect()) for df, k in ((numbers, "id"), (copies, "key"))]
-    monkeypatch.setattr(S, "LARGE_BUCKET", 0)
-    assert plain == [sorted(S.sample_exact(df, 0.4, 3, [k]).collect()) for df, k in ((numbers, "id"), (copies, "key"))]
+def test_rows_are_drawn_where_keys_repeat(spark):
+    """100 keys with ten copies each, and one key with 30 % of the rows."""
+    rows = spark.range(1000).select((F.col("id") % 100).cast("string").alias("key"), (F.col("id") % 3).alias("v"))
+    numbered = number_copies(rows, ["key"])
+    assert sorted((r.key, r.occurrence) for r in numbered.collect()) == sorted((str(k), n) for k in range(100) for n in range(10))
+    drawn = Counter(r.key for r in S.sample_exact(numbered, 0.15, 88, ["key", "occurrence"]).collect())
+    assert sum(drawn.values()) == 150 and len(drawn) > 60 and max(drawn.values()) < 8
+    hot = rows.withColumn("key", F.when(F.col("key") < "37", "hot").otherwise(F.col("key")))
+    share = hot.where("key = 'hot'").count() / 1000
+    drawn = Counter(r.key for r in S.sample_exact(number_copies(hot, ["key"]), 0.5, 88, ["key", "occurrence"]).collect())
+    assert abs(drawn["hot"] / 500 - share) < 0.06
 
 
 def test_minimum(numbers):
