@@ -19,6 +19,7 @@ from strandcall.llm.common import WHITE, row_key
 from strandcall.session import stage
 
 BUCKETS = 1 << 16
+WIDE = 1 << 8  # buckets that are counted together first
 SEED = "mix"
 SOURCE = ["no_source", "source"]
 
@@ -103,6 +104,17 @@ def expected_copies(grades: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _crossing(ranges: DataFrame, at: str) -> DataFrame:
+    """Of each source the first range at whose end ``rest`` words are reached, with the words ``before`` it.
+
+    A source has at most ``WIDE`` ranges here; ``ahead`` words stand in front of all.
+    """
+    upto = Window.partitionBy(*SOURCE).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.withColumn("before", F.col("ahead") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    reached = before.where(F.col("before") + F.col("words") >= F.col("rest"))
+    return reached.groupBy(*SOURCE).agg(F.min(F.struct(at, "before", "rest")).alias("cut")).select(*SOURCE, "cut.*")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: DataFrame | None = None, budget: float = 1.5, most: int = 2,
@@ -130,18 +142,13 @@ def mix(
         "doc_id", "id_key", "h", *SOURCE, "size", "draw", "source_size", "target",
         F.floor("copies").cast("long").alias("whole"), F.when(part > 0, odds / (1 + odds)).alias("order"),
     ).withColumn("bucket", F.floor(F.col("order") * BUCKETS).cast("int"))
-    sums = drawn.groupBy(*SOURCE, "bucket").agg(
-        F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.max("target").alias("target")
-    )
-    by = Window.partitionBy(*SOURCE)
-    upto = by.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    drawable = F.when(F.col("bucket").isNotNull(), F.col("words")).otherwise(0)
-    cuts = sums.select(
-        *SOURCE, "bucket", drawable.alias("words"),
-        F.coalesce(F.sum(drawable).over(upto), F.lit(0)).alias("before"),
-        (F.col("target") - F.sum("sure").over(by)).alias("rest"),
-    ).where(F.col("bucket").isNotNull() & (F.col("before") + F.col("words") >= F.col("rest")))
-    cuts = cuts.groupBy(*SOURCE).agg(F.min(F.struct("bucket", "before", "rest")).alias("cut"))
+    counted = stage(drawn.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.max("target").alias("target")), "order")
+    wide = F.floor(F.col("bucket") / WIDE).alias("wide")
+    by_wide = counted.groupBy(*SOURCE, wide).agg(F.sum("words").alias("words"), F.sum("sure").alias("sure"), F.max("target").alias("target"))
+    rest = by_wide.withColumn("rest", F.col("target") - F.sum("sure").over(Window.partitionBy(*SOURCE))).where(F.col("wide").isNotNull())
+    found = _crossing(rest.withColumn("ahead", F.lit(0)), "wide").withColumnRenamed("before", "ahead")
+    fine = counted.withColumn("wide", F.floor(F.col("bucket") / WIDE)).join(found.select(*SOURCE, "wide", "ahead", "rest"), [*SOURCE, "wide"])
+    cuts = _crossing(fine, "bucket").select(*SOURCE, F.struct("bucket", "before", "rest").alias("cut"))
     placed = drawn.join(stage(cuts, "cuts"), SOURCE, "left")
     at_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
     below = F.coalesce(F.col("bucket") < F.coalesce("cut.bucket", F.lit(BUCKETS)), F.lit(False))
