@@ -206,6 +206,35 @@ def key_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_packed(_cells(spark, sf_dir).where(F.col("l_quantity") > 45), SAMPLE_KEYS, context)
 
 
+# Column orders of the files in a tree of calls; Africa has no partner, America lacks a column.
+TREE = {
+    "de": {
+        ("pert", "gene", "label", "split"): ("ASIA", "AFRICA"),
+        ("split", "label", "note", "gene", "pert"): ("MIDDLE EAST",),
+        ("gene", "label", "pert"): ("EUROPE",),
+        ("pert", "label"): ("AMERICA",),
+    },
+    "dir": {("label", "gene", "pert"): ("ASIA", "MIDDLE EAST", "EUROPE", "AMERICA")},
+}
+
+
+def csv_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Write calls and directions as one CSV file per cell line, named after it."""
+    tables = {"de": calls(spark, sf_dir).withColumn("note", F.lit('a, "b"')), "dir": directions(spark, sf_dir)}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for kind, orders in TREE.items():
+        for number, (columns, cells) in enumerate(orders.items()):
+            parts = f"{folder}/parts/{kind}{number}"
+            rows = tables[kind].where(F.col("cell_type").isin(*cells)).repartition("cell_type")
+            writer = rows.select("cell_type", *columns).write.partitionBy("cell_type")
+            writer.option("header", True).option("escape", '"').csv(parts)
+            system = hadoop.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+            for cell in cells:
+                for found in system.globStatus(hadoop.Path(f"{parts}/cell_type={cell}/part-*.csv")):
+                    system.rename(found.getPath(), hadoop.Path(f"{folder}/{cell}-{kind}.csv"))
+    return folder
+
+
 def odd_name(gene: Column) -> Column:
     """Gene names with a quote, two kinds of quotes, or a backslash."""
     tail = F.substring(gene, -1, 1)

@@ -716,6 +716,36 @@ where row_index // 32 < (select count(*) // 32 from gen)""",
     ),
     "preview": sql(f"select {KEYS}, solution, extracted_answer from res order by {KEYS} limit 10", "res"),
     # streams
+    # files
+    "csv_calls": sql(
+        """select pert, gene, label::double as label, case when cell_type <> 'EUROPE' then split end as split, cell_type
+from de where cell_type <> 'AMERICA'""",
+        "de",
+    ),
+    "csv_manifest": """select r_name as cell_type, case when r_name in ('AFRICA', 'AMERICA') then 'skipped' else 'ok' end as status,
+       case r_name when 'AFRICA' then 'no direction file' when 'AMERICA' then 'call file lacks gene' end as reason from region""",
+    "csv_pairs": sql(
+        """select 'de' as kind, cell_type, cast(count(*) as bigint) as n from de where cell_type in ('EUROPE', 'MIDDLE EAST') group by all
+union all select 'dir', cell_type, cast(count(*) as bigint) from dir where cell_type in ('EUROPE', 'MIDDLE EAST') group by all""",
+        "de",
+        "dir",
+    ),
+    "csv_single": sql("select pert, gene, cast(label as varchar) as label from dir where cell_type = 'EUROPE'", "dir"),
+    "csv_exclusions": sql("select * from excl", "excl"),
+    "examples_round_trip": sql(
+        """select pert, gene, cell_type, solution as true_answer, cast(count(*) as bigint) as n,
+       cast(sum(length(generated_text)) as bigint) as response_chars from accepted group by all""",
+        "accepted",
+    ),
+    "results_round_trip": sql(f"select {KEYS}, solution, extracted_answer from res", "res"),
+    "empty_reason": sql(
+        """select cast((select count(distinct split) from de) as bigint) as n_splits, split,
+       case when exists (select 1 from de where de.split = s.split) then 'ok'
+            else concat('dataset is empty: no row in split ', split) end as said
+from (select unnest(['train', 'test', 'holdout']) as split) s""",
+        "de",
+    ),
+    # streams
     "stream_approval": f"""select cast(count(*) as bigint) as processed,
        cast(count(*) filter (where event_type = 'purchase') as bigint) as approved,
        {pct("count(*) filter (where event_type = 'purchase')", 'count(*)')} as approval_pct from events""",

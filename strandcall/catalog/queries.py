@@ -16,6 +16,8 @@ from strandcall.operators.ordering import number_copies
 from strandcall.plans import datasets, evaluate, reports
 from strandcall.plans.training_set import sft_text
 from strandcall.session import new_folder, stage
+from strandcall.sources import calls as calls_files
+from strandcall.sources import sinks
 from strandcall.streaming import running
 
 TEST_LINES = "ASIA, europe"
@@ -555,11 +557,93 @@ def preview(spark, sf_dir):
     return batching.preview(_parsed(spark, sf_dir).select(*SAMPLE_KEYS, "solution", "extracted_answer"), 10, SAMPLE_KEYS)
 
 
+# --- files ------------------------------------------------------------------------
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    return A.csv_tree(spark, sf_dir, new_folder(spark, "tree"))
+
+
+@query
+def csv_calls(spark, sf_dir):
+    """All call files of a tree, in several column orders, one without ``split``."""
+    return calls_files.read_calls(spark, _tree(spark, sf_dir), "de").select("pert", "gene", "label", "split", "cell_type")
+
+
+@query
+def csv_manifest(spark, sf_dir):
+    return calls_files.pair_manifest(spark, _tree(spark, sf_dir)).select("cell_type", "status", "reason")
+
+
+@query
+def csv_pairs(spark, sf_dir):
+    """Rows per cell line and file of the pairs that a holdout leaves for training."""
+    pair = calls_files.read_pairs(spark, _tree(spark, sf_dir), "train", "asia")
+    counted = [df.groupBy("cell_type").count().select(F.lit(kind).alias("kind"), "cell_type", F.col("count").alias("n")) for kind, df in zip(("de", "dir"), pair)]
+    return counted[0].unionByName(counted[1])
+
+
+@query
+def csv_single(spark, sf_dir):
+    return calls_files.read_single(spark, f"{_tree(spark, sf_dir)}/EUROPE-dir.csv").select("pert", "gene", "label")
+
+
+@query
+def csv_exclusions(spark, sf_dir):
+    target = new_folder(spark, "used")
+    A.used(spark, sf_dir).withColumn("note", F.lit('said "no",\nleft')).write.option("header", True).option("escape", '"').csv(target)
+    return calls_files.read_exclusions(spark, target)
+
+
+@query
+def examples_round_trip(spark, sf_dir):
+    """Accepted examples written as CSV and read again."""
+    target = new_folder(spark, "examples")
+    accepted = _accepted(spark, sf_dir)
+    layout = accepted.withColumns({"true_answer": F.col("solution"), "assistant_response": F.col("generated_text")})
+    names = [c for c in curation.EXAMPLE_COLUMNS if c in layout.columns]
+    sinks.write_examples(layout.withColumns({c: F.lit(None).cast("string") for c in curation.EXAMPLE_COLUMNS if c not in names}), target, "csv")
+    return calls_files.read_examples(spark, target).groupBy("pert", "gene", "cell_type", "true_answer").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("assistant_response")).alias("response_chars")
+    )
+
+
+@query
+def results_round_trip(spark, sf_dir):
+    """Results written as JSON lines and read again; missing answers stay missing."""
+    target = new_folder(spark, "results")
+    narrow = _parsed(spark, sf_dir).select(*SAMPLE_KEYS, "solution", "extracted_answer")
+    sinks.write_results(narrow, target)
+    return spark.read.schema(narrow.schema).json(target)
+
+
+@query
+def empty_reason(spark, sf_dir):
+    """What the check for rows says of each split of the calls."""
+    calls = A.calls(spark, sf_dir)
+
+    def said(split: str) -> str:
+        try:
+            splits.require_rows(splits.filter_split(calls, split), f"no row in split {split}")
+        except ValueError as error:
+            return str(error)
+        return "ok"
+
+    names = [(split, said(split)) for split in ("train", "test", "holdout")]
+    each = F.array(*[F.struct(F.lit(a).alias("split"), F.lit(b).alias("said")) for a, b in names])
+    return calls.select("split").distinct().agg(F.count(F.lit(1)).alias("n_splits")).select("n_splits", F.inline(each))
+
+
 # --- streams ----------------------------------------------------------------------
 
 
+FILES_PER_BATCH = 1000
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(A.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """Files of a table; a backlog is worked off in micro-batches of bounded size."""
+    source = spark.readStream.schema(A.SCHEMAS[name]).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 @query
@@ -567,7 +651,7 @@ def stream_approval(spark, sf_dir):
     totals = running.running_approval(_stream(spark, sf_dir, "events"), F.col("event_type") == "purchase")
     target = new_folder(spark, "approval")
     running.finish(running.write_snapshot(totals, target, new_folder(spark, "approval-log")))
-    return spark.read.schema(totals.schema).parquet(target)
+    return running.read_snapshot(totals, target)
 
 
 @query
@@ -587,4 +671,4 @@ def stream_curation(spark, sf_dir):
     totals = running.running_approval(judged, curation.acceptable(RATINGS))
     target = new_folder(spark, "curation")
     running.finish(running.write_snapshot(totals, target, new_folder(spark, "curation-log")))
-    return spark.read.schema(totals.schema).parquet(target)
+    return running.read_snapshot(totals, target)

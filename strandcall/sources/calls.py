@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,15 +62,24 @@ def cell_of(path: str, kind: str) -> str:
     return os.path.basename(path)[: -len(SUFFIX[kind])]
 
 
-def call_files(spark: SparkSession, folder: str, kind: str) -> list[CallFile]:
-    paths = list_files(spark, folder, kind)
-    if not paths:
-        raise ValueError(f"no *{SUFFIX[kind]} files found in {folder}")
+def _with_headers(spark: SparkSession, paths: list[str], kind: str) -> list[CallFile]:
+    """Open the first line of these files, several at a time."""
     with ThreadPoolExecutor(HEADER_READERS) as pool:
         headers = list(pool.map(lambda p: header_of(spark, p), paths))
     return [CallFile(p, cell_of(p, kind), h) for p, h in zip(paths, headers)]
 
 
+def _call_paths(spark: SparkSession, folder: str, kind: str) -> list[str]:
+    paths = list_files(spark, folder, kind)
+    if not paths:
+        raise ValueError(f"no *{SUFFIX[kind]} files found in {folder}")
+    return paths
+
+
+def call_files(spark: SparkSession, folder: str, kind: str) -> list[CallFile]:
+    return _with_headers(spark, _call_paths(spark, folder, kind), kind)
+
+
 def _read_group(spark: SparkSession, files: list[CallFile], kind: str) -> DataFrame:
     header = files[0].header
     schema = T.StructType([T.StructField(c, TYPES.get(c, T.StringType())) for c in header])
@@ -120,12 +130,19 @@ def pair_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([row for row, _, _ in _pairs(spark, folder)], MANIFEST_SCHEMA)
 
 
-def _pairs(spark: SparkSession, folder: str) -> list[tuple[tuple, CallFile, CallFile | None]]:
-    calls = call_files(spark, folder, "de")
-    partners = {f.cell_type: f for f in (call_files(spark, folder, "dir") if list_files(spark, folder, "dir") else [])}
+def _pairs(
+    spark: SparkSession, folder: str, wanted: Callable[[str], bool] = lambda cell: True
+) -> list[tuple[tuple, CallFile, CallFile | None]]:
+    """Pairs of the wanted cell lines; files of others, and files without a partner, are listed but not opened."""
+    calls = {cell_of(p, "de"): p for p in _call_paths(spark, folder, "de")}
+    partners = {cell_of(p, "dir"): p for p in list_files(spark, folder, "dir")}
+    cells = [cell for cell in calls if wanted(cell)]
+    paired = [cell for cell in cells if cell in partners]
+    call_of = dict(zip(paired, _with_headers(spark, [calls[c] for c in paired], "de")))
+    partner_of = dict(zip(paired, _with_headers(spark, [partners[c] for c in paired], "dir")))
     pairs = []
-    for call in calls:
-        partner = partners.get(call.cell_type)
+    for cell in cells:
+        call, partner = call_of.get(cell) or CallFile(calls[cell], cell, ()), partner_of.get(cell)
         if partner is None:
             reason = "no direction file"
         elif call.missing:
@@ -135,7 +152,7 @@ def _pairs(spark: SparkSession, folder: str) -> list[tuple[tuple, CallFile, Call
         else:
             reason = None
         status = "skipped" if reason else "ok"
-        row = (call.cell_type, call.path, partner.path if partner else None, status, reason)
+        row = (cell, call.path, partner.path if partner else None, status, reason)
         pairs.append((row, call, partner))
     return pairs
 
@@ -166,10 +183,10 @@ def read_pairs(
     """
     lines = parse_cell_lines(test_lines, keywords)
     chosen = []
-    for (cell, _, _, status, reason), call, partner in _pairs(spark, folder):
+    for (cell, _, _, status, reason), call, partner in _pairs(spark, folder, lambda cell: _wanted(cell, split, lines)):
         if status != "ok":
             warnings.warn(f"cell line {cell} skipped: {reason}", stacklevel=2)
-        elif _wanted(cell, split, lines):
+        else:
             chosen.append((call, partner))
     return (
         _read_files(spark, [c for c, _ in chosen], "de"),
@@ -192,12 +209,17 @@ def read_single(spark: SparkSession, path: str, split: str | None = None) -> Dat
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct keys of used examples; a missing or incomplete file excludes nothing."""
+    """Distinct keys of used examples; a missing or incomplete file excludes nothing.
+
+    Any other error is raised: used rows must not slip in because a file can't be read.
+    """
     schema = ", ".join(f"{c} string" for c in SAMPLE_KEYS)
     try:
         header = header_of(spark, path)
-    except Exception as error:
-        warnings.warn(f"exclusion file {path} cannot be read, nothing is excluded: {error}", stacklevel=2)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"exclusion file {path} is not there, nothing is excluded", stacklevel=2)
         return spark.createDataFrame([], schema)
     if not require_columns(header, SAMPLE_KEYS, path, "skip"):
         return spark.createDataFrame([], schema)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from strandcall.operators.metrics import percent
@@ -27,13 +28,14 @@ def _trigger(interval: str | None) -> dict[str, object]:
 def write_snapshot(
     totals: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Keep the latest totals at ``path``; a replayed batch overwrites the same row.
+    """Write the totals after each micro-batch to a folder of its own below ``path``.
 
-    Without an ``interval`` the query handles what is there and ends.
+    A replayed batch overwrites its folder, and no reader ever finds ``path`` without the
+    totals before. Without an ``interval`` the query handles what is there and ends.
     """
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
     return (
         totals.writeStream.outputMode("complete")
@@ -44,6 +46,15 @@ def write_snapshot(
     )
 
 
+def read_snapshot(totals: DataFrame, path: str) -> DataFrame:
+    """The latest complete totals."""
+    spark = totals.sparkSession
+    schema = T.StructType([*totals.schema, T.StructField(BATCH, T.LongType())])
+    stored = spark.read.schema(schema).option("basePath", path).parquet(path)
+    latest = stored.agg(F.max(BATCH)).first()[0]
+    return stored.where(F.col(BATCH) == latest).drop(BATCH)
+
+
 def stream_results(
     results: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:

@@ -34,7 +34,7 @@ def test_running_approval(spark, inbox, tmp_path, rows):
         parsed = with_answer(stream(spark, inbox))
         totals = K.running_approval(parsed, F.col("extracted_answer") == F.col("solution"))
         K.finish(K.write_snapshot(totals, str(tmp_path / "totals"), str(tmp_path / "log")))
-        return rows(spark.read.parquet(str(tmp_path / "totals")), "processed", "approved", "approval_pct")
+        return rows(K.read_snapshot(totals, str(tmp_path / "totals")), "processed", "approved", "approval_pct")
 
     def batch():
         parsed = with_answer(spark.read.schema(SCHEMA).parquet(inbox))
