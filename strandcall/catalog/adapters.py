@@ -206,6 +206,14 @@ def key_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_packed(_cells(spark, sf_dir).where(F.col("l_quantity") > 45), SAMPLE_KEYS, context)
 
 
+def with_gaps(df: DataFrame) -> DataFrame:
+    """Keys with gaps: no perturbation where the gene ends in 3, no gene where it ends in 8 or 9."""
+    tail = F.substring("gene", -1, 1)
+    return df.withColumns(
+        {"pert": F.when(tail != "3", F.col("pert")), "gene": F.when(~tail.isin("8", "9"), F.col("gene"))}
+    )
+
+
 # Column orders of the files in a tree of calls; Africa has no partner, America lacks a column.
 TREE = {
     "de": {

@@ -304,6 +304,15 @@ def scores_of_runs(by: str) -> str:
     return auroc(scored(drawn, "dif", "run, cell_type, "), by)
 
 
+def gaps(source: str) -> str:
+    return f"""(select * replace (case when right(gene, 1) <> '3' then pert end as pert,
+       case when right(gene, 1) not in ('8', '9') then gene end as gene) from {source})"""
+
+
+FAILING = """(select *, coalesce(answer = solution, false) as ok from (select *, sample_id like '%7' as bad,
+       case when sample_id not like '%7' then extracted_answer end as answer from res))"""
+
+
 def strings(values: list[str]) -> str:
     return "[" + ", ".join(text(v) for v in values) + "]"
 
@@ -716,6 +725,57 @@ where row_index // 32 < (select count(*) // 32 from gen)""",
     ),
     "preview": sql(f"select {KEYS}, solution, extracted_answer from res order by {KEYS} limit 10", "res"),
     # streams
+    # missing keys, failed calls, single classes
+    "failed_overall": sql(
+        f"""select cast(count(*) filter (where ok) as bigint) as correct, cast(count(*) filter (where not bad) as bigint) as evaluated,
+       {pct('count(*) filter (where ok)', 'count(*) filter (where not bad)')} as accuracy_pct from {FAILING}""",
+        "res",
+    ),
+    "failed_rollup": sql(
+        f"""select level, group_key, correct, evaluated, {pct('correct', 'evaluated')} as accuracy_pct from (
+select 'overall' as level, null as group_key, cast(count(*) filter (where ok) as bigint) as correct,
+       cast(count(*) filter (where not bad) as bigint) as evaluated from {FAILING}
+union all select 'cell_type', cell_type, cast(count(*) filter (where ok) as bigint), cast(count(*) as bigint) from {FAILING} group by cell_type
+union all select 'pert', pert, cast(count(*) filter (where ok) as bigint), cast(count(*) as bigint) from {FAILING} group by pert)""",
+        "res",
+    ),
+    "failed_distribution": sql(
+        f"""select word as answer, n, evaluated, {pct('n', 'evaluated')} as pct from (
+select word, cast((select count(*) from {FAILING} where coalesce(answer, '{NONE_OTHER}') = word) as bigint) as n,
+       cast((select count(*) from {FAILING} where not bad) as bigint) as evaluated
+from (select unnest({strings([*CLASSES, NONE_OTHER])}) as word))""",
+        "res",
+    ),
+    "failed_confusion": sql(
+        f"""select solution, coalesce(answer, '{NONE_EXTRACTED}') as predicted, cast(count(*) as bigint) as n
+from {FAILING} group by all""",
+        "res",
+    ),
+    "missing_keys_labels": sql(
+        f"""select c.cell_type, case when c.label = 0 then 0 when d.label = 0 then 1 when d.label = 1 then 2 else 0 end as label,
+       cast(count(*) as bigint) as n
+from {gaps('de')} c left join {gaps('dir')} d on c.pert is not distinct from d.pert
+     and c.gene is not distinct from d.gene and c.cell_type = d.cell_type group by all""",
+        "de",
+        "dir",
+    ),
+    "missing_keys_excluded": sql(
+        f"""select cell_type, cast(count(*) as bigint) as n_excluded
+from {gaps('de')} join (select distinct pert, gene, cell_type from {gaps('(select * from de where l_quantity > 45)')})
+     using (pert, gene, cell_type) group by cell_type""",
+        "de",
+    ),
+    "missing_keys_lists": sql(
+        f"""select pert, cell_type, cast(count(distinct gene) filter (where label = 1) as integer) as n_up,
+       cast(count(distinct gene) filter (where label = 0) as integer) as n_down
+from {gaps('dir')} where pert is not null group by pert, cell_type""",
+        "dir",
+    ),
+    "auroc_one_class": sql(
+        f"""{auroc(scored("(select * replace (case when cell_type = 'ASIA' then 'upregulated' else solution end as solution) from res)", "dir", "cell_type, "), "cell_type")}
+union all by name select 'nothing' as cell_type, null::double as auroc, 0::bigint as positives, 0::bigint as negatives""",
+        "res",
+    ),
     # files
     "csv_calls": sql(
         """select pert, gene, label::double as label, case when cell_type <> 'EUROPE' then split end as split, cell_type

@@ -557,6 +557,66 @@ def preview(spark, sf_dir):
     return batching.preview(_parsed(spark, sf_dir).select(*SAMPLE_KEYS, "solution", "extracted_answer"), 10, SAMPLE_KEYS)
 
 
+# --- missing keys, failed calls, single classes -------------------------------------
+
+
+def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in which one call in ten has failed and has no answer."""
+    bad = F.col("sample_id").endswith("7")
+    return _parsed(spark, sf_dir).select(
+        *SAMPLE_KEYS, "solution", F.when(~bad, F.col("extracted_answer")).alias("extracted_answer"), bad.alias("api_error")
+    )
+
+
+@query
+def failed_rollup(spark, sf_dir):
+    """Failed calls are outside the overall denominator and inside those of the groups."""
+    return metrics.accuracy_rollup(_failing(spark, sf_dir))
+
+
+@query
+def failed_overall(spark, sf_dir):
+    return metrics.accuracy(_failing(spark, sf_dir))
+
+
+@query
+def failed_distribution(spark, sf_dir):
+    return metrics.prediction_distribution(_failing(spark, sf_dir))
+
+
+@query
+def failed_confusion(spark, sf_dir):
+    return metrics.confusion(_failing(spark, sf_dir))
+
+
+@query
+def missing_keys_labels(spark, sf_dir):
+    """Missing keys match each other in the label join."""
+    calls, directions = (A.with_gaps(df(spark, sf_dir)) for df in (A.calls, A.directions))
+    return labelling.ternary_label_counts(calls, directions)
+
+
+@query
+def missing_keys_excluded(spark, sf_dir):
+    """Missing keys match nothing in the exclusion."""
+    return labelling.excluded_counts(A.with_gaps(A.calls(spark, sf_dir)), A.with_gaps(A.used(spark, sf_dir)))
+
+
+@query
+def missing_keys_lists(spark, sf_dir):
+    found = lists.gene_lists(A.with_gaps(A.directions(spark, sf_dir)))
+    return found.select("pert", "cell_type", F.size("upregulated").alias("n_up"), F.size("downregulated").alias("n_down"))
+
+
+@query
+def auroc_one_class(spark, sf_dir):
+    """A cell line with one class has no value; so has a stage without rows."""
+    results = _parsed(spark, sf_dir).withColumn("solution", F.when(F.col("cell_type") == "ASIA", "upregulated").otherwise(F.col("solution")))
+    by_cell = metrics.auroc(metrics.score_rows(results, "dir"), ("cell_type",))
+    nothing = metrics.auroc(metrics.score_rows(results.where("cell_type = 'nowhere'"), "dir"))
+    return by_cell.unionByName(nothing.select(F.lit("nothing").alias("cell_type"), "*"))
+
+
 # --- files ------------------------------------------------------------------------
 
 
