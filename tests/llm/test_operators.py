@@ -210,10 +210,10 @@ def test_sketches_merge_and_contain(spark):
 
 
 def test_phrases_near_each_other(spark):
-    docs = spark.createDataFrame([(1, "x omega psi chi y"), (2, "chi " + "z " * 40 + "omega"), (3, "nothing")], "doc_id long, text string")
-    items = spark.createDataFrame([("i", "omega psi chi")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x omega psi y"), (2, "psi " + "z " * 40 + "omega"), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "omega psi")], "item_id string, text string")
     index = phrase_index.PhraseIndex(docs, items)
-    assert [(r.id_key, r.start, r.size) for r in index.exact().collect()] == [("1", 1, 3)]
+    assert [(r.id_key, r.start, r.size) for r in index.exact().collect()] == [("1", 1, 2)]
     assert {r.id_key for r in index.near(terms=2, span=5).collect()} == {"1"}
     assert {r.id_key for r in index.near(terms=2, span=50).collect()} == {"1", "2"}
 
@@ -233,9 +233,10 @@ def test_network_tells_junk_and_does_not_depend_on_blocks():
     texts = [t.encode() for t in good + bad]
     labels = np.r_[np.ones(len(good)), np.zeros(len(bad))]
     cut = [[t[a : a + byte_cnn.CHUNK] for a in np.arange(byte_cnn.chunk_count(len(t))) * byte_cnn.STEP] for t in texts]
-    net = byte_cnn.train(cut[::2], labels[::2])
+    learnt = np.arange(len(texts)) % 3 > 0
+    net = byte_cnn.train([c for c, x in zip(cut, learnt) if x], labels[learnt])
     scores = byte_cnn.Scorer(net).scores(texts)
-    assert ((scores[1::2] >= 0.7) == (labels[1::2] == 1)).mean() > 0.97
+    assert ((scores[~learnt] >= 0.7) == (labels[~learnt] == 1)).mean() > 0.97
     long_text = b" ".join(texts) * 20
     alone = byte_cnn.Scorer(net).scores([long_text])[0]
     assert byte_cnn.Scorer(net).scores([b"", long_text, texts[0]])[1] == pytest.approx(alone)
