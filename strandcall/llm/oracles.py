@@ -4,6 +4,68 @@ from __future__ import annotations
 
 from strandcall.llm.common import LOWER, UPPER
 
+OP1 = r"""
+with docs as (
+    select row_number() over () as k, doc_id, source, coalesce(cast(doc_id as varchar), '') as id,
+        cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+        substr(md5(concat('mix|', coalesce(cast(doc_id as varchar), ''), '|', md5(coalesce(text, '')))), 1, 13) as draw
+    from documents
+), sized as (
+    select *, (cast(cast('0x' || draw as bigint) as double) + 0.5) / 4503599627370496.0::double as u,
+        4 + case when size > 0 then length(bin(size)) else 0 end as grade
+    from docs
+), sources as (
+    select source, cast(sum(size) as bigint) as source_size,
+        [3, 1, 2][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
+    from sized group by source
+), stops as (
+    select *, source_size * 2 as most,
+        cast(sum(source_size) over () as bigint)::double * 1.5::double as budget,
+        cast(coalesce(sum(source_size * 2) over before, 0) as bigint) as stopped,
+        cast(sum(weight) over () - coalesce(sum(weight) over before, 0) as bigint) as sharing
+    from sources
+    window before as (order by (source_size * 2)::double / weight, source is null, source
+                      rows between unbounded preceding and 1 preceding)
+), levels as (
+    select *, (budget - stopped) / sharing::double as level from stops
+), targets as (
+    select source, source_size, least(coalesce((
+        select level from levels where level * weight <= most order by stopped, level limit 1
+    ) * weight, most::double), most::double) as target
+    from levels
+), grades as (
+    select source, grade, cast(sum(size) as bigint) as words from sized group by source, grade
+), open_grades as (
+    select g.*, t.source_size, t.target,
+        cast(coalesce(sum(words) over before, 0) as bigint) as filled,
+        cast(sum(words * grade) over (partition by g.source) - coalesce(sum(words * grade) over before, 0) as bigint) as free
+    from grades g join targets t on g.source is not distinct from t.source
+    window before as (partition by g.source order by grade desc rows between unbounded preceding and 1 preceding)
+), rates as (
+    select *, case when free > 0 then (target - filled * 2) / free::double end as rate from open_grades
+), copied as (
+    select *, case when target > 0 then least(coalesce(min(
+        case when rate * grade <= 2 then {'f': filled, 'g': -grade, 'rate': rate} end
+    ) over (partition by source).rate * grade, 2.0::double), 2.0::double) else 0.0::double end as expected
+    from rates
+), drawn as (
+    select s.*, c.source_size, c.target, cast(floor(expected) as bigint) as whole, expected - floor(expected) as part
+    from sized s join copied c on s.source is not distinct from c.source and s.grade = c.grade
+), ordered as (
+    select *, u / (1 - u) * ((1 - part) / part) as odds,
+        target - sum(size * whole) over (partition by source) as rest
+    from drawn
+), placed as (
+    select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), draw, id
+        rows between unbounded preceding and 1 preceding), 0) + size / 2 <= rest as more
+    from ordered where part > 0
+    union all select *, false from ordered where part = 0
+)
+select doc_id, size, source_size, target, cast(size * (whole + more::bigint) as bigint) as taken, source,
+    cast(whole + more::bigint as bigint) as copies
+from placed
+"""
+
 OP6 = rf"""
 with docs as (
     select row_number() over () as k, doc_id,
@@ -64,6 +126,7 @@ from parsed p left join fitting f on p.k = f.k and f.place = 1
 """
 
 ORACLES: dict[str, str] = {
+    "op1_pareto_mix": OP1,
     "op6_phrase_index": OP6,
     "op8_url_bloom": OP8,
 }
