@@ -122,8 +122,8 @@ def mix(
     """(doc_id, id_key, h, source, size, source_size, target, copies long) of every row, copies 0 included.
 
     ``weights`` has (source, weight); sources without a weight get none, and without ``weights``
-    3, 1, 2 repeat. A null source is a source. Texts without words have the size 0
-    and are drawn like others without counting. Rows that repeat id and text draw
+    3, 1, 2 repeat. A null source is a source. Texts without words have the size 0:
+    they get their whole copies and are not drawn. Rows that repeat id and text draw
     alike and are cut like other ties, one by one. An empty table gives no rows.
     """
     rows = stage(sized(docs, id_col, text_col, source_col), "sizes")
@@ -140,7 +140,7 @@ def mix(
     odds = F.col("u") / (1 - F.col("u")) * ((1 - part) / part)
     drawn = rows.join(grades, [*SOURCE, "grade"]).select(
         "doc_id", "id_key", "h", *SOURCE, "size", "draw", "source_size", "target",
-        F.floor("copies").cast("long").alias("whole"), F.when(part > 0, odds / (1 + odds)).alias("order"),
+        F.floor("copies").cast("long").alias("whole"), F.when((part > 0) & (F.col("size") > 0), odds / (1 + odds)).alias("order"),
     ).withColumn("bucket", F.floor(F.col("order") * BUCKETS).cast("int"))
     counted = stage(drawn.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.max("target").alias("target")), "order")
     wide = F.floor(F.col("bucket") / WIDE).alias("wide")

@@ -58,8 +58,8 @@ with docs as (
 ), placed as (
     select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), draw, id
         rows between unbounded preceding and 1 preceding), 0) + size / 2 <= rest as more
-    from ordered where part > 0
-    union all select *, false from ordered where part = 0
+    from ordered where part > 0 and size > 0
+    union all select *, false from ordered where part = 0 or size = 0
 )
 select doc_id, size, source_size, target, cast(size * (whole + more::bigint) as bigint) as taken, source,
     cast(whole + more::bigint as bigint) as copies
