@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandcall.llm.common import LOWER, UPPER, modest_batches, ship, small_batches
+from strandcall.session import stage
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -280,6 +281,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """
     rank = F.struct("votes", (-F.length("path")).alias("short"), "path")
     winners = host_votes(pages, url_col, html_col).groupBy("host").agg(F.max(rank).alias("best")).select(F.col("host"), F.col("best.path").alias("path"))
+    winners = stage(winners, "host-paths")  # its size is known then: pages are shuffled only if hosts are too many to send round
     rows = pages.select(F.struct("*").alias("row"), host_of(F.col(url_col)).alias("host")).join(winners, "host", "left")
     rows = rows.select("row", "host", "path", F.col(f"row.{html_col}").cast("string").alias("html"))
 
