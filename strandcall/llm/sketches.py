@@ -18,6 +18,7 @@ from strandcall.session import stage
 
 SCALE = 8  # one hash in so many is kept
 BLANK = " \t\n\x0b\f\r"
+PARTS = 8  # for each shuffle partition: tasks get several small parts, and so about as much
 NULL_BITS = 8  # rows without an id are dealt out by so many bits of their text's hash
 
 
@@ -109,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", text_hash(F.col("text")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both, order = in_circle(rows, parts)
     both = with_sketch(both, "text", "sketch", words, scale)
     both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
