@@ -393,6 +393,17 @@ from (select *, coalesce(number in (0, 1), false) as good from
       (select *, try_cast(label as double) as number from
        (select case l_linenumber when 1 then '1' when 2 then '0' when 3 then '1.0' when 4 then 'x' when 5 then '2'
                     when 7 then '0.0' end as label from de)))
+group by all""",
+        "de",
+    ),
+    "label_truncation": sql(
+        """select case when good then cast(cast(trunc(number) as integer) as varchar) else label end as label,
+       case when good then 'kept' when number is null then 'not a number' else 'not 0 or 1' end as reason,
+       cast(count(*) as bigint) as n
+from (select *, coalesce(trunc(number) in (0, 1), false) as good from
+      (select *, try_cast(label as double) as number from
+       (select case l_linenumber when 1 then '1' when 2 then '0' when 3 then '1.0' when 4 then 'x' when 5 then '1.5'
+                    when 7 then '0.7' end as label from de)))
 group by all""",
         "de",
     ),
@@ -529,6 +540,9 @@ left join (select concat('S', cast(s_suppkey as varchar)) as pert, s_name as con
        case when len(prompt) > 1 then coalesce(prompt[-1].content, '') else '' end as last_content from valid""",
         "valid",
     ),
+    "generation_prompts": sql(
+        f"select doc_id, concat({chat_text('tags')}, chr(10), '<|assistant|>', chr(10)) as chat from valid", "valid"
+    ),
     "render_chat": sql(
         " union all ".join(
             f"select doc_id, '{style}' as style, {chat_text(style)} as chat from valid"

@@ -105,6 +105,13 @@ def label_validity(spark, sf_dir):
     return labelling.label_report(A.raw_calls(spark, sf_dir))
 
 
+@query
+def label_truncation(spark, sf_dir):
+    """With truncation 1.5 is 1 and 0.7 is 0."""
+    odd = F.when(F.col("label") == "2", "1.5").when(F.col("label") == "0.0", "0.7").otherwise(F.col("label"))
+    return labelling.label_report(A.raw_calls(spark, sf_dir).withColumn("label", odd), truncate=True)
+
+
 @query
 def label_words(spark, sf_dir):
     return A.directions(spark, sf_dir).select(
@@ -297,6 +304,13 @@ def last_user_message(spark, sf_dir):
     )
 
 
+@query
+def generation_prompts(spark, sf_dir):
+    """Chats that end with the cue for the assistant."""
+    chats = splits.valid_prompts(A.chats(spark, sf_dir))
+    return chats.select("doc_id", X.render_chat(F.col("prompt"), "tags", cue=True).alias("chat"))
+
+
 @query
 def render_chat(spark, sf_dir):
     styles = [

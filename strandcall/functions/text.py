@@ -212,8 +212,8 @@ def last_content(msgs: Column) -> Column:
     return F.when(F.size(msgs) > 1, F.coalesce(last, F.lit(""))).otherwise(F.lit(""))
 
 
-def render_chat(msgs: Column, style: str = "tags") -> Column:
-    """Flatten messages to one text.
+def render_chat(msgs: Column, style: str = "tags", cue: bool = False) -> Column:
+    """Flatten messages to one text; ``cue`` ends ``tags`` with the line that asks the assistant to go on.
 
     ``blocks``: ``[ROLE]`` line, content, blank line. ``joined``: contents with a
     space between. ``tags``: ``<|role|>`` line before each content.
@@ -228,7 +228,8 @@ def render_chat(msgs: Column, style: str = "tags") -> Column:
     if style == "joined":
         return F.array_join(F.transform(msgs, lambda m: m["content"]), " ")
     if style == "tags":
-        return F.array_join(
+        turns = F.array_join(
             F.transform(msgs, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])), "\n"
         )
+        return F.concat(turns, F.lit("\n<|assistant|>\n")) if cue else turns
     raise ValueError(f"unknown chat style: {style}")

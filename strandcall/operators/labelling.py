@@ -24,35 +24,44 @@ def _label_number() -> Column:
     return F.expr("try_cast(label as double)")
 
 
-def _usable_label() -> Column:
-    return F.coalesce(_label_number().isin(0.0, 1.0), F.lit(False))
+def _whole_label(truncate: bool) -> Column:
+    """The label as a whole number, cut off toward zero if asked for; null if there is none."""
+    number = _label_number()
+    if truncate:
+        number = F.when(F.abs(number) < 1e9, number.cast("int").cast("double"))
+    return number
+
 
+def _usable_label(truncate: bool = False) -> Column:
+    return F.coalesce(_whole_label(truncate).isin(0.0, 1.0), F.lit(False))
 
-def label_report(df: DataFrame) -> DataFrame:
+
+def label_report(df: DataFrame, truncate: bool = False) -> DataFrame:
     """Rows by label text and verdict: ``kept``, ``not a number``, ``not 0 or 1``."""
-    number = _label_number()
+    number, usable = _label_number(), _usable_label(truncate)
     reason = F.when(number.isNull() | F.isnan(number), "not a number").otherwise("not 0 or 1")
     kept = number.cast("int").cast("string")
     return df.groupBy(
-        F.when(_usable_label(), kept).otherwise(F.col("label").cast("string")).alias("label"),
-        F.when(_usable_label(), "kept").otherwise(reason).alias("reason"),
+        F.when(usable, kept).otherwise(F.col("label").cast("string")).alias("label"),
+        F.when(usable, "kept").otherwise(reason).alias("reason"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def valid_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def valid_labels(df: DataFrame, truncate: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split off rows whose label is not 0 or 1.
 
+    ``truncate`` cuts fractions off first, so that 1.5 counts as 1 and 0.7 as 0.
     Returns the clean rows (label int, keys string) and a count of rejects by
     label text and reason.
     """
-    clean = df.where(_usable_label()).withColumns(
+    clean = df.where(_usable_label(truncate)).withColumns(
         {
             "pert": F.col("pert").cast("string"),
             "gene": F.col("gene").cast("string"),
             "label": _label_number().cast("int"),
         }
     )
-    return clean, label_report(df.where(~_usable_label()))
+    return clean, label_report(df.where(~_usable_label(truncate)), truncate)
 
 
 def collapse_directions(directions: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from strandcall.functions import text as X
 from strandcall.functions.text import list_solution, with_gene_lists
 from strandcall.operators.lists import gene_lists, genes_by_pert, same_lists
 
@@ -59,3 +61,11 @@ def test_gold_list_answers_are_recognised(spark, rows):
     assert same_lists(with_gene_lists(answers), gold, ["pert", "cell_type"]).where(~F.col("is_correct")).count() == 0
     wrong = with_gene_lists(answers.withColumn("generated_text", F.lit("<answer>Upregulated: ['?']</answer>")))
     assert same_lists(wrong, gold, ["pert", "cell_type"]).where("is_correct").count() == 0
+
+
+@pytest.mark.parametrize("names", [["plain"], ["it's"], ['say "x"'], ["a\\b"], ["\\"], ["'\"\\", "x"], []])
+def test_solutions_read_back(spark, names):
+    df = spark.createDataFrame([(names, list(reversed(names)))], "up array<string>, down array<string>")
+    text = df.select("up", "down", X.list_solution(F.col("up"), F.col("down")).alias("generated_text"))
+    row = X.with_gene_lists(text).first()
+    assert (row.gene_lists.upregulated, row.gene_lists.downregulated) == (row.up, row.down)
