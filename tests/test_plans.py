@@ -77,7 +77,7 @@ def test_evaluate(spark, tree):
     assert report.statistics.where(F.col("line").contains("Total Samples Evaluated: 100")).count() == 1
     assert report.class_lines.count() == 10
     lines = [r.line for r in evaluate.auroc_report(responses, "dif", SAMPLE_KEYS, 1).orderBy("section", "position").collect()]
-    assert lines[0] == "--- AUROC Evaluation Summary ---" and len(lines) == 4
+    assert lines[0] == "--- AUROC Evaluation Summary ---" and len(lines) == 13
 
 
 def test_prompts_do_not_cross_a_shuffle(spark, tree):
