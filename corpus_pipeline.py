@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without sentences of passages that stood before; ``n_chars`` follows the text."""
+    """All documents, without the words of passages that stood before; ``n_chars`` follows the text."""
     return sentence_spans.deduplicated(docs)
 
 
@@ -58,7 +58,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: The classifier's scores, SimHash and the sentence runs have no counterpart in SQL.
+#: The classifier's scores, SimHash and the word runs have no counterpart in SQL.
 ORACLE_SQL = None
 
 

@@ -1,11 +1,14 @@
-"""Removal of passages that repeat, by sliding runs of sentences.
-
-A text is cut into sentences at closing marks and line ends. A sentence of more
-than ``LONG`` words is cut further, behind words that their own hash picks out,
-so that an unpunctuated passage is cut alike wherever it stands. Every sentence
-begins a run: as few sentences as hold ``least_sentences`` and ``least_words``.
-Runs are hashed (128 bits) and joined globally; all sentences under a run that
-stood somewhere before, in the order of (id, text hash, place), are removed.
+"""Removal of passages that repeat, by sliding runs of words.
+
+A text is cut at every word, so that a passage is cut alike wherever it stands and
+whatever stands around it; a run begins at every word and holds ``least_words``. All
+words under a run that stood somewhere before, in the order of (id, text hash, place),
+are removed, up to both ends of the passage.
+
+Not every run has to be shuffled. The smallest hash of ``SEED`` consecutive words in a run is
+its seed; equal runs have equal seeds, and about one word in seven begins one. Seeds
+are joined globally first, and only runs whose seed stands in another place too are hashed
+(128 bits) and joined. This leaves out no run that repeats.
 """
 
 from __future__ import annotations
@@ -23,72 +26,142 @@ from pyspark.sql import functions as F
 from strandcall.llm.common import modest_batches, packed, row_key, ship, small_batches, text_hash
 from strandcall.session import stage
 
-ENDS = frozenset(".!?…。！？")
 WORD = re.compile(r"\S+")
-LONG = 24
+SEED = 8
 BUCKETS = 1 << 16
 HOT = 8
 SALTS = 64
-PICK = 8  # one word in so many ends a part of a long sentence
-
-
-def sentences(text: str) -> list[list[str]]:
-    """Sentences as lists of words in lower case. A sentence ends with its line, or with a word that ends in a closing mark."""
-    found = []
-    for line in text.lower().split("\n"):
-        words = line.split()
-        first = 0
-        for stop in [k for k, word in enumerate(words, 1) if word[-1] in ENDS] + [len(words)]:
-            if stop - first > LONG:
-                for k in range(first, stop - 1):
-                    if xxhash.xxh32_intdigest(words[k].encode()) % PICK == 0:
-                        found.append(words[first : k + 1])
-                        first = k + 1
-            if stop > first:
-                found.append(words[first:stop])
-                first = stop
-    return found
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32))
+
+
+class Digests(dict):
+    """128-bit hashes of words."""
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = xxhash.xxh3_128_digest(word.encode())
+        return found
+
+
+def word_hashes(text: str, known: Digests) -> np.ndarray:
+    """Two 64-bit hashes of each word in lower case."""
+    return np.frombuffer(b"".join(map(known.__getitem__, text.lower().split())), np.uint64).reshape(-1, 2)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    found = (a * MIX[0]) ^ b
+    found ^= found >> MIX[2]
+    found *= MIX[1]
+    return found ^ (found >> MIX[2])
+
+
+def joined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, put together from runs of 1, 2, 4 and so on."""
+    whole, at, step, n = None, 0, 1, len(hashes)
+    while step <= size:
+        if size & step:
+            left = max(0, n - at - step + 1)
+            whole = hashes if whole is None else _mixed(whole[:left], hashes[at : at + left])
+            at += step
+        hashes = _mixed(hashes[:-step], hashes[step:])
+        step *= 2
+    return whole
+
+
+def sliding(values: np.ndarray, width: int, which: np.ufunc) -> np.ndarray:
+    """The least or largest of every ``width`` consecutive values, of which there are so many at least."""
+    step = 1
+    while 2 * step <= width:
+        values = which(values[:-step], values[step:])
+        step *= 2
+    more = width - step
+    return which(values[: len(values) - more], values[more:]) if more else values
+
+
+def run_size(least_sentences: int, least_words: int) -> int:
+    """Words of a run; as texts are cut at every word, each may count as a part of a sentence."""
+    return max(least_sentences, least_words, 1)
 
 
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[bytes], np.ndarray]:
-    """The hashes of all runs, and how many sentences each has; run ``i`` begins with sentence ``i``."""
-    parts = sentences(text)
-    total = np.cumsum([0, *map(len, parts)])
-    stops = np.maximum(np.searchsorted(total, total[:-1] + least_words), np.arange(len(parts)) + least_sentences)
-    stops = stops[stops <= len(parts)]  # they don't fall
-    keys = [xxhash.xxh3_128_digest(" ".join(words)) for words in parts]
-    return [xxhash.xxh3_128_digest(b"".join(keys[i:j])) for i, j in enumerate(stops.tolist())], stops - np.arange(len(stops))
+    """The hashes of all runs, and how many words each has; run ``i`` begins with word ``i``."""
+    size, hashes = run_size(least_sentences, least_words), word_hashes(text, Digests())
+    keys = [key.tobytes() for key in joined(hashes, size)] if len(hashes) >= size else []
+    return keys, np.full(len(keys), size)
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
-    """(hi, lo, doc_id, h, first, sentences): every run of every text."""
+def seeds(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of ``SEED`` consecutive words at every word, and the seed of every run."""
+    short = min(SEED, size)
+    near = joined(np.ascontiguousarray(hashes[:, 0]), short)
+    return near, sliding(near, size - short + 1, np.minimum)
+
+
+def counted_seeds(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct seeds of a text, and in how many places each stands; equal ones in a run all count."""
+    near, least = seeds(hashes, size)
+    width = len(near) - len(least) + 1
+    beside = np.zeros(width - 1, np.uint64)
+    return np.unique(near[near == sliding(np.concatenate([beside, least, beside]), width, np.maximum)], return_counts=True)
+
+
+def text_seeds(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(seed, places, id_key, h): the distinct seeds of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            where, keys, first, size = [], [], [], []
+            known, where, found, places = Digests(), [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                found, lengths = runs(text or "", least_sentences, least_words)
-                keys += found
-                where.append(np.full(len(found), k))
-                first.append(np.arange(len(found), dtype=np.int32))
-                size.append(lengths.astype(np.int32))
-            where, first, size = map(np.concatenate, (where, first, size))
-            words = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            rows = batch.select([0, 1]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, words.T), *rows.columns, pa.array(first), pa.array(size)],
-                ["hi", "lo", "doc_id", "h", "first", "sentences"],
-            )
+                hashes = word_hashes(text or "", known)
+                if len(hashes) >= size:
+                    values, counts = counted_seeds(hashes, size)
+                    found.append(values)
+                    places.append(counts)
+                    where.append(np.full(len(values), k))
+            if found:
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))]
+                rows = batch.select([0, 1]).take(pa.array(np.concatenate(where)))
+                yield pa.RecordBatch.from_arrays([*columns, *rows.columns], ["seed", "places", "id_key", "h"])
+
+    texts = docs.select(*[c.alias(k) for k, c in row_key(id_col, text_col).items()], F.col(text_col).cast("string").alias("text"))
+    return modest_batches(texts).mapInArrow(run, "seed long, places int, id_key string, h long")
+
+
+def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
+    """(hi, lo, doc_id, h, first, again): every run whose seed stands in two places; ``again`` if rows repeat its id and text."""
+    size = run_size(least_sentences, least_words)
+    found = stage(text_seeds(docs, id_col, text_col, size), "seeds")
+    key = F.xxhash64("id_key", "h")
+    places = found.groupBy("seed").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max("places").alias("places"))
+    repeated = stage(places.where((F.col("a") != F.col("b")) | (F.col("places") > 1)).select("seed"), "repeated-seeds")
+    by_doc = found.join(repeated, "seed").groupBy("id_key", "h").agg(F.collect_set("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
+    by_doc = stage(by_doc.select("id_key", "h", "seeds", (F.col("n") > F.size("seeds")).alias("again")), "seeds-by-text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 32):
+            known, where, keys, first = Digests(), [], [], []
+            for k, text in enumerate(batch.column(3).to_pylist()):
+                hashes = word_hashes(text, known)
+                wanted = np.asarray(batch.column(4)[k].values).view(np.uint64)
+                at = np.flatnonzero(np.isin(seeds(hashes, size)[1], wanted))
+                keys.append(joined(hashes, size)[at].view(np.int64))
+                where.append(np.full(len(at), k))
+                first.append(at.astype(np.int32))
+            if keys:
+                words = np.ascontiguousarray(np.concatenate(keys).T)
+                rows = batch.select([0, 1, 2]).take(pa.array(np.concatenate(where)))
+                columns = [*map(pa.array, words), *rows.columns[:2], pa.array(np.concatenate(first)), rows.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["hi", "lo", "doc_id", "h", "first", "again"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return modest_batches(texts).mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, sentences int")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in row_key(id_col, text_col).items()])
+    texts = modest_batches(texts).join(by_doc, ["id_key", "h"]).select("doc_id", "h", "again", "text", "seeds")
+    return texts.mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, again boolean")
 
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 20
 ) -> DataFrame:
-    """(id_key, h, first, sentences) of all runs that are not the first of their kind.
+    """(id_key, h, first, words) of all runs that are not the first of their kind.
 
     One shuffle deals runs out by hash. Hashes are counted in ``BUCKETS`` buckets
     before; in buckets far above the mean the runs of a hash are first dealt
@@ -96,28 +169,32 @@ def repeated_spans(
     other firsts. Rows that repeat id and text are one document. Null ids come last.
     """
     found = stage(spans(docs, id_col, text_col, least_sentences, least_words), "spans")
+    found = found.where(~F.col("again")).unionByName(found.where("again").distinct())
     found = found.withColumn("bucket", F.pmod("hi", F.lit(BUCKETS)).cast("int"))
     counts = stage(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "span-counts")
     mean = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > HOT * max(mean / BUCKETS, 100)).select("bucket", F.lit(True).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))).otherwise(0).alias("salt")
-    dealt = found.join(F.broadcast(hot), "bucket", "left").select("hi", "lo", salt, "hot", "doc_id", "h", "first", "sentences")  # hot: BUCKETS rows at most
+    dealt = found.join(F.broadcast(hot), "bucket", "left").select("hi", "lo", salt, "hot", "doc_id", "h", "first")  # hot: BUCKETS rows at most
     place = [F.col("doc_id").asc_nulls_last(), "h", "first"]
     ranked = dealt.withColumn("rank", F.rank().over(Window.partitionBy("hi", "lo", "salt").orderBy(*place)))
-    ranked = stage(ranked.where((F.col("rank") > 1) | F.col("hot")), "ranked-spans")
+    ranked = ranked.where((F.col("rank") > 1) | F.col("hot"))
+    hashes = {k: F.when(F.col("hot"), F.col(k)) for k in ("hi", "lo")}  # only hot runs are compared again
+    ranked = stage(ranked.withColumns(hashes), "ranked-spans")
     firsts = ranked.where(F.col("rank") == 1).withColumn("rank", F.rank().over(Window.partitionBy("hi", "lo").orderBy(*place)))
     later = ranked.unionByName(firsts).where(F.col("rank") > 1)
-    return later.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "h", "first", "sentences")
+    return later.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "h", "first", F.lit(run_size(least_sentences, least_words)).alias("words"))
 
 
 def without(text: str, covered: list[int]) -> str:
-    """The text without the sentences of these numbers and the white space after them."""
-    places = [p.start() for p in WORD.finditer(text)]
-    parts, gone = sentences(text), set(covered)
-    at = np.cumsum([0, *map(len, parts)])
-    starts = [places[k] for k in at[:-1]] + [len(text)]
-    left = "".join(text[starts[k] : starts[k + 1]] for k in range(len(parts)) if k not in gone)
-    return text[: starts[0]] + (left.rstrip() if len(parts) - 1 in gone else left)
+    """The text without the words of these numbers and the white space after them."""
+    starts = [p.start() for p in WORD.finditer(text)]
+    gone = np.zeros(len(starts), bool)
+    gone[covered] = True
+    turns = np.flatnonzero(np.diff(gone)) + 1
+    limits = [*(starts[k] for k in [0, *turns.tolist()]), len(text)]
+    left = "".join(text[limits[k] : limits[k + 1]] for k in range(int(gone[0]), len(limits) - 1, 2))
+    return text[: starts[0]] + (left.rstrip() if gone[-1] else left)
 
 
 def remove_repeats(
@@ -125,21 +202,27 @@ def remove_repeats(
 ) -> DataFrame:
     """(row, n_removed long, left string): each row of ``docs`` as a struct, and its text without repeated passages.
 
+    ``n_removed`` counts words.
     ``left`` is the text itself where nothing repeats (null stays null) and may
     become empty; no row is dropped.
     """
     found = repeated_spans(docs, id_col, text_col, least_sentences, least_words)
-    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("first"), F.col("first") + F.col("sentences") - 1))))
-    by_doc = found.groupBy("id_key", "h").agg(covered.alias("covered"))
+    by_doc = stage(found.groupBy("id_key", "h").agg(F.collect_set("first").alias("firsts")), "repeats-by-text")
     text = F.col(f"row.{text_col}").cast("string")
+    size = run_size(least_sentences, least_words)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else without(t, n) for t, n in zip(texts, numbers)], dtype=object)
+    @F.pandas_udf("n long, left string")
+    def cut(texts: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, numbers in zip(texts, firsts):
+            covered = np.unique(np.add.outer(numbers, np.arange(size))) if len(numbers) else []
+            rows.append((len(covered), t if t is None or not len(covered) else without(t, covered)))
+        return pd.DataFrame(rows, columns=["n", "left"])
 
     rows = modest_batches(packed(docs, **row_key(id_col, text_col))).join(by_doc, ["id_key", "h"], "left")
-    changed = cut(F.when(F.col("covered").isNotNull(), text), F.coalesce("covered", F.array().cast("array<int>")))
-    return rows.select("row", F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(changed, text).alias("left"))
+    changed = cut(F.when(F.col("firsts").isNotNull(), text), F.coalesce("firsts", F.array().cast("array<int>")))
+    rows = rows.withColumn("cut", changed)
+    return rows.select("row", F.col("cut.n").alias("n_removed"), F.coalesce("cut.left", text).alias("left"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

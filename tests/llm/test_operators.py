@@ -111,6 +111,31 @@ def test_repeated_passage_goes_from_the_second_document(spark, odd_docs):
     assert left[2].endswith("Then it stops.")
 
 
+def test_planted_passages_go_whole(spark):
+    """Against all 20-word runs as tuples: nothing that stood before is left, nothing else goes."""
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ando", "eri", "ilu", "ost", "una")]
+    text = lambda n, marks: [w + "." * int(rng.random() < marks) for w in rng.choice(words, n)]
+    around = lambda passage, marks: text(rng.integers(0, 60), marks) + passage + text(rng.integers(0, 60), marks)
+    tail = [f"s{i}" for i in range(20)] + [f"t{i}" for i in range(20)] + "a b c d e f. g h i j k l.".split()
+    tail[19] += "."
+    tail[39] += "."
+    docs = [around(passage, marks) for marks in (0, 0.1, 0.5) for passage in [text(51, marks) for _ in range(8)] for _ in range(3)]
+    docs += [tail, text(9, 0.1) + tail, ["to"] * 70, tail + text(30, 0), text(19, 0), docs[0][:19]]
+    seen, want = set(), {}
+    for k, d in enumerate(docs):
+        gone = set()
+        for i in range(len(d) - 19):
+            run = tuple(d[i : i + 20])
+            gone |= set(range(i, i + 20)) if run in seen else set()
+            seen.add(run)
+        want[k] = (len(gone), " ".join(w for i, w in enumerate(d) if i not in gone))
+    rows = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)] + [(1, " ".join(docs[1]))] * 3, "doc_id long, text string")
+    found = [(r.row.doc_id, (r.n_removed, r.left)) for r in sentence_spans.remove_repeats(rows).collect()]
+    assert len(found) == len(docs) + 3 and all(want[k] == v for k, v in found)
+    assert want[1][0] >= 51 and want[len(docs) - 5][0] == 52
+
+
 def test_hot_hashes_are_salted_without_a_change(spark, odd_docs, monkeypatch):
     want = sorted(map(repr, sentence_spans.repeated_spans(odd_docs).collect()))
     monkeypatch.setattr(sentence_spans, "HOT", 0)
