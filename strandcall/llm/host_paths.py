@@ -1,9 +1,10 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Every page is parsed and its containers are scored: a block gives the length of its
-text, without links, to the container around it, and half of it to the next. The
-page votes with these scores for tag-class paths, in which digits are
-generalised. Spark sums the votes of a host; its pages are then parsed
+text, without links, to the container around it, and half of it to the next. From the
+best tag-class path, in which digits are generalised, the page climbs to the lowest one that
+holds nearly all text outside asides and links, the headings, and the article or main
+element around it. It votes for that path. Spark sums the votes of a host; its pages are then parsed
 again and the text under the winning path is taken. A page without that path uses
 its own best container.
 """
@@ -56,6 +57,7 @@ DIGITS = re.compile(r"\d+")
 OPEN, CLOSE, TEXT = 0, 1, 2
 CORE = frozenset(("article", "main", "h1", "body"))
 MAIN_SHARE = 0.6
+NEARLY_ALL = 0.98
 
 
 class Page:
@@ -171,16 +173,28 @@ class Page:
             node = self.parents[node]
         return ">".join(reversed(names))
 
+    def _block(self, node: int) -> tuple[int, bool]:
+        """The block around an element, and whether a link lies between."""
+        linked = False
+        while node > 0 and self.tags[node] not in BLOCKS:
+            linked = linked or self.tags[node] == "a"
+            node = self.parents[node]
+        return node, linked
+
     def scores(self) -> dict[int, float]:
         """What each container gets from the blocks in it."""
         found: dict[int, float] = {}
+        self.main: dict[int, int] = {}  # text that counts, by element
+        self.heads: dict[int, int] = {}  # that of main headings, linked too
         for node, size in self.own.items():
-            linked, at = False, node
-            while at > 0 and self.tags[at] not in BLOCKS:
-                linked = linked or self.tags[at] == "a"
-                at = self.parents[at]
-            if linked or self.covered[node] or not size:
+            at, linked = self._block(node)
+            if self.covered[node] or not size:
                 continue
+            if self.tags[at] == "h1":
+                self.heads[node] = size
+            if linked:
+                continue
+            self.main[node] = size
             share = float(size)
             if self.tags[at] not in CONTAINERS:
                 at = self.parents[at]
@@ -195,13 +209,35 @@ class Page:
         return found
 
     def votes(self) -> dict[str, float]:
-        """Shares of the page's scores by path."""
+        """The page's vote, for the path that it climbs to; none without text."""
         scores = self.scores()
-        whole, found = sum(scores.values()), {}
+        if not scores:
+            return {}
+        numbers: dict[tuple[int, str], int] = {}  # of paths
+        number = [numbers.setdefault((-1, "#"), 0)]
+        for node in range(1, len(self.tags)):
+            number.append(numbers.setdefault((number[self.parents[node]], self.names[node]), len(numbers)))
+        above = [parent for parent, _ in numbers]
+        shared: dict[int, float] = {}
         for node, score in scores.items():
-            path = self.path(node)
-            found[path] = found.get(path, 0.0) + score / whole
-        return found
+            shared[number[node]] = shared.get(number[node], 0.0) + score
+        held = []
+        for sizes in (self.main, self.heads):
+            total = [0] * len(numbers)
+            for node, size in sizes.items():
+                total[number[node]] += size
+            for k in range(len(total) - 1, 0, -1):
+                total[above[k]] += total[k]
+            held.append(total)
+        main, heads = held
+        first = {k: node for node, k in reversed(list(enumerate(number)))}
+        at = max(shared, key=lambda k: (shared[k], -k))
+        while at > 0 and (main[at] < NEARLY_ALL * main[0] or heads[at] < heads[0]):
+            at = above[at]
+        up = at
+        while up > 0 and self.tags[first[up]] not in ("article", "main"):
+            up = above[up]
+        return {self.path(first[up if up > 0 else at]): 1.0}
 
     def blocks(self, roots: set[int]) -> list[str]:
         """Blocks of text under these elements, without asides."""

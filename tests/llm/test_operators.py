@@ -339,3 +339,22 @@ def test_hosts_agree_on_a_path(spark):
 
     pages = spark.createDataFrame([(k, "http://h/x", usual) for k in range(5)] + [(9, "http://H/y", short)], "page_id long, url string, html string")
     assert {r.row.page_id: r.text for r in extract(pages).collect()}[9] == "ok"
+
+
+def test_text_beside_the_longest_blocks_stays(spark):
+    from strandcall.llm.host_paths import extract
+
+    part = lambda tag, n: f"<{tag}><p>{'word ' * n}</p></{tag.split()[0]}>"
+    inner = {
+        "sections": f"<article><h1>T</h1><p>{'intro ' * 60}</p>{part('section', 225)}{part('section', 200)}</article>",
+        "classes": f"<article>{part('div class=intro', 140)}{part('div class=text', 180)}</article>",
+        "divs": f"<div class=page><h1>T</h1>{part('div class=text', 2000)}</div><div class=x><p>x</p></div>",
+    }
+    rows = [(k, f"http://{name}/{k}", f"<body><nav>menu</nav>{page}<footer>end</footer></body>") for name, page in inner.items() for k in range(3)]
+    found = {(r.host, r.text) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    words = lambda word, n: " ".join([word] * n)
+    assert found == {
+        ("sections", "\n".join(["T", words("intro", 60), words("word", 225), words("word", 200)])),
+        ("classes", "\n".join([words("word", 140), words("word", 180)])),
+        ("divs", "\n".join(["T", words("word", 2000)])),
+    }
