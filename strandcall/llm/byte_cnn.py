@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandcall.llm.common import as_bytes, modest_batches, packed, ship, small_batches
+from strandcall.llm.common import as_bytes, modest_batches, packed, ship, small_batches, text_hash
 
 CHUNK = 1024
 OVERLAP = 64
@@ -211,7 +211,7 @@ def fit(
     """Train on at most ``sample_rows`` labelled documents of each class, ``sample_chunks`` chunks of each.
 
     The sample is the first in a hash order of the ids; chunks are spread evenly
-    over the whole text. Held-out ids, null and contradictory labels are not
+    over the whole text. Of rows that repeat an id that of the smallest text hash is taken. Held-out ids, null and contradictory labels are not
     learnt. Without documents of both classes the score is the same for all: the share of
     label 1, or 1 if nothing is labelled.
     """
@@ -233,14 +233,16 @@ def fit(
             texts = [t or b"" for t in as_bytes(batch.column(2))]
             starts = [np.unique(np.linspace(0, chunk_count(len(t)) - 1, sample_chunks).astype(int)) * STEP for t in texts]
             parts = [[t[a : a + CHUNK] for a in s] for t, s in zip(texts, starts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "label", "h", "chunks"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
     texts = modest_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), "doc_id")  # 2 * sample_rows rows at most
-        .select("doc_id", F.col("label").cast("int"), "text")
-        .mapInArrow(cut, f"doc_id {kind}, label int, chunks array<binary>")
+        .select("doc_id", F.col("label").cast("int"), "text", text_hash(F.col("text")).alias("h"))
+        .mapInArrow(cut, f"doc_id {kind}, label int, h long, chunks array<binary>")
+        .groupBy("doc_id", "label").agg(F.min(F.struct("h", "chunks")).alias("least"))
+        .select("doc_id", "label", "least.chunks")
         .collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.chunks))

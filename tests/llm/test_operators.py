@@ -274,6 +274,16 @@ def test_classifier_on_held_out_rows(spark):
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_one_row_of_each_picked_id_is_learnt(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(byte_cnn, "train", lambda chunks, labels: learnt.append((chunks, list(labels))))
+    ids = [r.id for r in spark.range(40).where(~byte_cnn.held_out("id")).limit(6).collect()]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids] + [(ids[0], f"other {k % 7}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    byte_cnn.fit(docs, labels)
+    assert len(learnt[0][0]) == 6 and sorted(learnt[0][1]) == [0, 0, 0, 1, 1, 1]
+
+
 def test_license_phrases(spark, folder, docs):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = []
