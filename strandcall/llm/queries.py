@@ -12,6 +12,7 @@ from strandcall.llm import (
     host_paths,
     license_automaton,
     mixing,
+    pair_index,
     phrase_index,
     sentence_spans,
     simhash_trees,
@@ -111,6 +112,17 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and its ids decoded again."""
+    found = pair_index.decode(pair_index.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"), "byte_bpe_50k.json")
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_host_paths": op2_host_paths,
@@ -122,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_bloom": op8_url_bloom,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_license_automaton": op10_license_automaton,
+    "op11_pair_index": op11_pair_index,
 }
 __all__ = ["ORACLES", "QUERIES"]
