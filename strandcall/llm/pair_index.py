@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from strandcall.llm.common import ship
 
-SLICE = 1 << 24  # characters of text that are encoded together
+SLICE = 1 << 23  # characters of text that are encoded together
 PIECE = 1 << 20  # a longer text is split into words in pieces of about this length
-KNOWN = 1 << 24  # characters of words that are remembered from slice to slice
+KNOWN = 1 << 23  # characters of words that are remembered from slice to slice
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GONE = -1
 
@@ -257,7 +257,8 @@ def lengths(column: pa.Array) -> np.ndarray:
 
 
 def encode(
-    docs: DataFrame, model: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", path: str | None = None
+    docs: DataFrame, model: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
     """(doc_id, ids binary): each row's tokens as little-endian unsigned 32-bit integers, as token files hold them.
 
@@ -265,20 +266,28 @@ def encode(
     names another file there. No tokens are added, cut off or filled up; an added token's
     string in a text is that token, as the library's default has it. Null and empty texts have no
     tokens. Rows are encoded one by one: repeated rows, null ids and ties alike, and an empty table gives
-    no rows. A text may have any length; its task holds it as a whole.
-    """
+    no rows. A text may have any length; its task holds it as a whole. ``decoded`` adds what ``decode`` gives
+    for the ids, in the same Python worker.
+    """
+    names = ["doc_id", "ids", "text"] if decoded else ["doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(file_of(model, path))
         for whole in batches:
             for batch in slices(whole, lengths(whole.column(1)), SLICE):
                 found = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-                ids = pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+                columns = [batch.column(0), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())]
+                if decoded:
+                    columns.append(texts_of(bpe, columns[1]))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, ids binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, ids binary" + ", text string" * decoded)
+
+
+def texts_of(bpe: ByteBpe, ids: pa.Array) -> pa.Array:
+    return pa.array([bpe.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in ids.to_pylist()], pa.string())
 
 
 def decode(encoded: DataFrame, model: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
@@ -288,8 +297,7 @@ def decode(encoded: DataFrame, model: str = "byte_bpe_50k.json", path: str | Non
         bpe = vocabulary(file_of(model, path))
         for whole in batches:
             for batch in slices(whole, lengths(whole.column(1)), SLICE):
-                texts = [bpe.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts_of(bpe, batch.column(1))], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")

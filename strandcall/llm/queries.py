@@ -114,7 +114,7 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and its ids decoded again."""
-    found = pair_index.decode(pair_index.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"), "byte_bpe_50k.json")
+    found = pair_index.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", decoded=True)
     return found.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -78,3 +78,11 @@ def test_op11(spark, odd_dir, library, where):
         want.append((d.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
     found = [tuple(r) for r in QUERIES["op11_pair_index"](spark, folder).collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_stored_ids_are_decoded(spark, odd_docs):
+    """Ids written and read again give the texts, nulls as empty ones."""
+    encoded = pair_index.encode(odd_docs)
+    alone = pair_index.decode(encoded).collect()
+    assert sorted(map(repr, alone)) == sorted(map(repr, pair_index.encode(odd_docs, decoded=True).collect()))
+    assert sorted((r.doc_id or -1, r.text) for r in alone) == sorted((r.doc_id or -1, r.text or "") for r in odd_docs.collect())
