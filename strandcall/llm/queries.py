@@ -19,6 +19,7 @@ from strandcall.llm import (
     sketches,
     token_counts,
     url_bloom,
+    whitening,
 )
 from strandcall.llm.common import table
 from strandcall.llm.oracles import ORACLES
@@ -123,6 +124,10 @@ def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_host_paths": op2_host_paths,
@@ -135,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_cnn": op9_byte_cnn,
     "op10_license_automaton": op10_license_automaton,
     "op11_pair_index": op11_pair_index,
+    "op12_bidiagonal_whitening": op12_bidiagonal_whitening,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +76,20 @@ def odd_labels(spark):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+@pytest.fixture(scope="session")
+def odd_vectors(spark):
+    """Nulls, NaN, infinity, another length, repeated rows, ties, zero vectors, null ids and labels; 40 plain rows."""
+    rng = random.Random(4)
+    draw = lambda: [rng.gauss(0, 0.2) for _ in range(6)]
+    twice = draw()
+    rows = [(k, draw(), k % 4) for k in range(100, 140)]
+    rows += [(0, twice, 1), (0, twice, 1), (50, twice, 1), (51, twice, 1), (200, twice, 2), (250, [0.0] * 6, 1), (251, [0.0] * 6, 2)]
+    rows += [(150, draw(), 3), (350, draw(), 0), (350, draw(), 1), (None, draw(), 1), (None, draw(), 2), (400, draw(), None)]
+    rows += [(450, None, 1), (500, [None] + [0.1] * 5, 1), (550, [float("nan")] + [0.1] * 5, 1), (600, [float("-inf")] + [0.1] * 5, 2)]
+    rows += [(650, [0.1] * 4, 1), (700, [], 1)]
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, vector string, n int")
+
+
 def stored(folder, **tables):
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}.parquet")
@@ -81,12 +97,13 @@ def stored(folder, **tables):
 
 
 @pytest.fixture(scope="session")
-def odd_dir(tmp_path_factory, odd_docs, items, odd_pages, odd_labels):
+def odd_dir(tmp_path_factory, odd_docs, items, odd_pages, odd_labels, odd_vectors):
     folder = tmp_path_factory.mktemp("odd")
-    return stored(folder, documents=odd_docs, benchmark=items, pages=odd_pages, labels=odd_labels)
+    return stored(folder, documents=odd_docs, benchmark=items, pages=odd_pages, labels=odd_labels, embeddings=odd_vectors)
 
 
 @pytest.fixture(scope="session")
-def empty_dir(tmp_path_factory, odd_docs, items, odd_pages, odd_labels):
+def empty_dir(tmp_path_factory, odd_docs, items, odd_pages, odd_labels, odd_vectors):
     folder = tmp_path_factory.mktemp("empty")
-    return stored(folder, documents=odd_docs.limit(0), benchmark=items.limit(0), pages=odd_pages.limit(0), labels=odd_labels.limit(0))
+    tables = {"documents": odd_docs, "benchmark": items, "pages": odd_pages, "labels": odd_labels, "embeddings": odd_vectors}
+    return stored(folder, **{name: df.limit(0) for name, df in tables.items()})

@@ -31,7 +31,10 @@ def spark_rows(df):
     return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr), names
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+OF_VECTORS = ("op12_bidiagonal_whitening", "op13_anchor_lists")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(OF_VECTORS)))
 def test_odd_rows_are_all_answered(spark, odd_dir, odd_docs, odd_pages, name):
     found = QUERIES[name](spark, odd_dir).collect()
     assert len(found) == (odd_pages if name in ("op2_host_paths", "op8_url_bloom") else odd_docs).count()
