@@ -125,8 +125,43 @@ from parsed p left join fitting f on p.k = f.k and f.place = 1
     left join listed l on p.host = l.host and p.path = l.path
 """
 
+OP13 = """
+with finite as (
+    select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding
+    from embeddings
+    where label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+), lengths as (
+    select len(embedding) as size from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+    group by len(embedding) order by count(*) desc, size desc limit 1
+), vectors as (
+    select id, label, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as vector
+    from finite where len(embedding) = (select size from lengths)
+), anchors as (
+    select row_number() over () as k, * from (select distinct id, label, vector from vectors where id % 50 = 0)
+), scored as (
+    select k, a.id as anchor_id, b.id as other, a.label = b.label as alike, a.id is distinct from b.id as apart,
+        cast(list_dot_product(a.vector, b.vector) as bigint) as score
+    from anchors a, vectors b
+), positives as (
+    select k, anchor_id, other as positive_id, score as positive_score,
+        row_number() over (partition by k order by score desc, other nulls last) as place
+    from scored where alike and apart
+    qualify place <= 5
+), ranked as (
+    select p.anchor_id, p.positive_id, n.other as negative_id, p.positive_score, n.score as negative_score,
+        row_number() over (partition by p.k, p.place order by n.score desc, n.other nulls last) as rank
+    from positives p join scored n
+        on p.k = n.k and not n.alike and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1,
     "op6_phrase_index": OP6,
     "op8_url_bloom": OP8,
+    "op13_anchor_lists": OP13,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcall.llm import (
+    anchor_lists,
     byte_cnn,
     host_paths,
     license_automaton,
@@ -128,6 +129,12 @@ def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
 
+def op13_anchor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return anchor_lists.hard_negatives(rows, anchor=F.col("vec_id") % 50 == 0, label_col=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_host_paths": op2_host_paths,
@@ -141,5 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_automaton": op10_license_automaton,
     "op11_pair_index": op11_pair_index,
     "op12_bidiagonal_whitening": op12_bidiagonal_whitening,
+    "op13_anchor_lists": op13_anchor_lists,
 }
 __all__ = ["ORACLES", "QUERIES"]
