@@ -33,8 +33,8 @@ def importance(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0) + 4
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, id_key, h, no_source, source, size, grade, u): what the choice depends on, without texts.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(doc_id, id_key, h, no_source, source, size, grade, u, draw) and ``more``: what the choice depends on, without texts.
 
     ``u`` in (0, 1) comes from md5 of id and text, so that reruns agree.
     """
@@ -48,6 +48,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         size_of(text).alias("size"),
         ((F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)).alias("u"),
         digits.alias("draw"),
+        *more,
     )
     return rows.withColumn("grade", importance(F.col("size")))
 
@@ -115,33 +116,21 @@ def _crossing(ranges: DataFrame, at: str) -> DataFrame:
     return reached.groupBy(*SOURCE).agg(F.min(F.struct(at, "before", "rest")).alias("cut")).select(*SOURCE, "cut.*")
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: DataFrame | None = None, budget: float = 1.5, most: int = 2,
-) -> DataFrame:
-    """(doc_id, id_key, h, source, size, source_size, target, copies long) of every row, copies 0 included.
-
-    ``weights`` has (source, weight); sources without a weight get none, and without ``weights``
-    3, 1, 2 repeat. A null source is a source. Texts without words have the size 0:
-    they get their whole copies and are not drawn. Rows that repeat id and text draw
-    alike and are cut like other ties, one by one. An empty table gives no rows.
-    """
-    rows = stage(sized(docs, id_col, text_col, source_col), "sizes")
+def _decided(rows: DataFrame, weights: DataFrame | None, budget: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """What the rows of ``sized`` take: expected copies of each grade of a source, and where its sample ends."""
     by_grade = stage(rows.groupBy(*SOURCE, "grade").agg(F.sum("size").alias("words")), "grades")
     sources = by_grade.groupBy(*SOURCE).agg(F.sum("words").alias("source_size"))
     if weights is None:
-        sources = cyclic_weights(sources)
+        weighed, rest = cyclic_weights(sources), None
     else:
-        given = weights.select(F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("weight").cast("long").alias("weight"))
-        sources = sources.join(given, SOURCE)
-    grades = by_grade.join(targets(sources, budget, most), SOURCE)
-    grades = stage(expected_copies(grades, most).drop("words", "weight"), "copies")
-    part = F.col("copies") - F.floor("copies")
-    odds = F.col("u") / (1 - F.col("u")) * ((1 - part) / part)
-    drawn = rows.join(grades, [*SOURCE, "grade"]).select(
-        "doc_id", "id_key", "h", *SOURCE, "size", "draw", "source_size", "target",
-        F.floor("copies").cast("long").alias("whole"), F.when((part > 0) & (F.col("size") > 0), odds / (1 + odds)).alias("order"),
-    ).withColumn("bucket", F.floor(F.col("order") * BUCKETS).cast("int"))
+        name = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
+        given = weights.where(F.col("weight") > 0).select(F.col("source").isNull().alias("no_source"), name, F.col("weight").cast("long").alias("weight"))
+        weighed, rest = sources.join(given, SOURCE), sources.join(given, SOURCE, "left_anti")
+    wanted = targets(weighed, budget, most).drop("weight")
+    if rest is not None:
+        wanted = wanted.unionByName(rest.withColumn("target", F.lit(0.0)))
+    grades = stage(expected_copies(by_grade.join(wanted, SOURCE), most).drop("words"), "copies")
+    drawn = _drawn(rows, grades)
     counted = stage(drawn.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.max("target").alias("target")), "order")
     wide = F.floor(F.col("bucket") / WIDE).alias("wide")
     by_wide = counted.groupBy(*SOURCE, wide).agg(F.sum("words").alias("words"), F.sum("sure").alias("sure"), F.max("target").alias("target"))
@@ -149,7 +138,21 @@ def mix(
     found = _crossing(rest.withColumn("ahead", F.lit(0)), "wide").withColumnRenamed("before", "ahead")
     fine = counted.withColumn("wide", F.floor(F.col("bucket") / WIDE)).join(found.select(*SOURCE, "wide", "ahead", "rest"), [*SOURCE, "wide"])
     cuts = _crossing(fine, "bucket").select(*SOURCE, F.struct("bucket", "before", "rest").alias("cut"))
-    placed = drawn.join(stage(cuts, "cuts"), SOURCE, "left")
+    return grades, stage(cuts, "cuts")
+
+
+def _drawn(rows: DataFrame, grades: DataFrame) -> DataFrame:
+    """Adds what each row gets for sure, and its place in the order of its source."""
+    part = F.col("copies") - F.floor("copies")
+    odds = F.col("u") / (1 - F.col("u")) * ((1 - part) / part)
+    drawn = rows.join(grades, [*SOURCE, "grade"])
+    drawn = drawn.withColumn("whole", F.floor("copies").cast("long")).withColumn("order", F.when((part > 0) & (F.col("size") > 0), odds / (1 + odds)))
+    return drawn.drop("copies").withColumn("bucket", F.floor(F.col("order") * BUCKETS).cast("int"))
+
+
+def _taken(rows: DataFrame, grades: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds ``copies``. Rows meet small tables only; those of the bucket at a cut are sorted by source."""
+    placed = _drawn(rows, grades).join(cuts, SOURCE, "left")
     at_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
     below = F.coalesce(F.col("bucket") < F.coalesce("cut.bucket", F.lit(BUCKETS)), F.lit(False))
     inside = Window.partitionBy(*SOURCE).orderBy("order", "draw", "id_key", "h").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,16 +160,36 @@ def mix(
     parts = placed.where(~at_cut).withColumn("more", below).unionByName(
         placed.where(at_cut).withColumn("more", middle <= F.col("cut.rest"))
     )
-    return parts.select(
-        "doc_id", "id_key", "h", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
-        (F.col("whole") + F.col("more").cast("long")).alias("copies"),
-    )
+    return parts.withColumn("copies", F.col("whole") + F.col("more").cast("long"))
+
 
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: DataFrame | None = None, budget: float = 1.5, most: int = 2,
+) -> DataFrame:
+    """(doc_id, id_key, h, source, size, source_size, target, copies long) of every row, copies 0 included.
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str = "copy", **how: object) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; ``copy_col`` counts the copies of an id and text from 1."""
-    found = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0)
-    copies = found.groupBy("id_key", "h").agg(F.sum("copies").cast("int").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in row_key(id_col, text_col).items()])
-    rows = rows.join(copies, ["id_key", "h"]).dropDuplicates(["id_key", "h"])
-    return rows.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy_col))
+    ``weights`` has (source, weight); sources without a weight above 0 get no copies, and without ``weights``
+    3, 1, 2 repeat. A null source is a source. Texts without words have the size 0:
+    they get their whole copies and are not drawn. Rows that repeat id and text draw
+    alike and are cut like other ties, one by one. An empty table gives no rows.
+    """
+    rows = stage(sized(docs, id_col, text_col, source_col), "sizes")
+    return _taken(rows, *_decided(rows, weights, budget, most)).select(
+        "doc_id", "id_key", "h", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "copies"
+    )
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str = "copy",
+    weights: DataFrame | None = None, budget: float = 1.5, most: int = 2,
+) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it; ``copy_col`` numbers the copies of a row from 1.
+
+    A column of that name in ``docs`` is replaced. The row itself goes through the mix, so rows that agree in id
+    and text keep their other columns, and texts are not shuffled but at the cuts.
+    """
+    decided = _decided(stage(sized(docs, id_col, text_col, source_col), "sizes"), weights, budget, most)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != copy_col.lower()]).alias("row")
+    taken = _taken(sized(docs, id_col, text_col, source_col, whole), *decided).where(F.col("copies") > 0)
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy_col))

@@ -5,7 +5,7 @@ shorter). Word frequencies over the whole corpus, in ``BUCKETS`` hash buckets,
 tell which two words of each window are rarest. The postings (word, document,
 position) of these words are stored in the shared folder; the lists of an
 item's words, each moved back by the word's place in the item, are intersected
-per document, and what is left is compared word by word. All of it is DataFrame
+per document, and what is left is compared place by place. All of it is DataFrame
 code.
 """
 
@@ -93,23 +93,23 @@ class PhraseIndex:
         )
 
     def exact(self) -> DataFrame:
-        """(id_key, h, item_id, start, size): every occurrence of every window, ``start`` in words of the document."""
+        """(id_key, h, item_id, start, size): the stretches that occurrences of an item's windows cover, at each offset.
+
+        Every place of a candidate is compared by itself, as a row, so that the work is in proportion to
+        the candidates' words: a text is never held beside each of its candidates. Places that agree
+        make runs, and a run as long as a window is covered by windows.
+        """
         found = stage(self.candidates(), "candidates")
-        named = found.select("id_key", "h").distinct()
-        texts = self.docs.join(named, ["id_key", "h"], "left_semi").distinct()
-        texts = texts.select("id_key", "h", F.transform(raw_words(F.col("text")), lowered).alias("words"))
-        phrases = self.words.groupBy("item", "item_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("phrase"))
-        phrases = phrases.select("item", "item_id", F.col("phrase.word").alias("phrase"))
-        both = texts.join(found, ["id_key", "h"]).join(phrases, "item")
-        size = F.least(F.col("n"), F.lit(self.window)).cast("int")
-        fits = F.filter(
-            F.sequence(F.lit(0), (F.col("n") - size).cast("int")),
-            lambda s: (F.col("offset") + s >= 0)
-            & (F.slice("words", F.greatest(F.col("offset") + s + 1, F.lit(1)), size) == F.slice("phrase", s + 1, size)),
-        )
-        return both.select("id_key", "h", "item_id", "offset", size.alias("size"), F.explode(fits).alias("s")).select(
-            "id_key", "h", "item_id", (F.col("offset") + F.col("s")).cast("int").alias("start"), "size"
-        )
+        texts = self.docs.join(found.select("id_key", "h").distinct(), ["id_key", "h"], "left_semi").distinct()
+        spread = texts.select("id_key", "h", F.posexplode(raw_words(F.col("text"))).alias("at", "raw"))
+        spread = spread.select("id_key", "h", "at", lowered(F.col("raw")).alias("word"))
+        phrases = self.words.select("item", "item_id", "place", "word")
+        asked = found.join(phrases, "item").withColumn("at", F.col("offset") + F.col("place")).where(F.col("at") >= 0)
+        alike = asked.join(spread, ["id_key", "h", "at", "word"], "left_semi")
+        one = ["id_key", "h", "item", "item_id", "offset", "n"]
+        run = F.col("place") - F.row_number().over(Window.partitionBy(*one).orderBy("place"))
+        runs = alike.withColumn("run", run).groupBy(*one, "run").agg(F.min("at").alias("start"), F.count(F.lit(1)).cast("int").alias("size"))
+        return runs.where(F.col("size") >= F.least(F.col("n"), F.lit(self.window))).select("id_key", "h", "item_id", "start", "size")
 
     def near(self, terms: int, span: int) -> DataFrame:
         """(id_key, h, item_id, start, terms): places from which ``span`` words hold so many different rare words of an item, in any order."""

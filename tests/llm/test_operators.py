@@ -178,6 +178,27 @@ def test_mix_repeats_rows_and_follows_weights(spark, odd_docs):
     assert all(r.copy in (1, 2, 3, 4) for r in rows)
 
 
+def test_rows_keep_their_own_copies(spark):
+    """Rows of one id and text under two sources, with a column ``copy``; copies are those of ``mix``."""
+    rows = [(1, "one row", "a", "x"), (1, "one row", "b", "y"), (2, "two words here", "a", "z"), (2, "two words here", "a", "z"), (3, None, "b", "w")]
+    rows += [(k, "some words " * (k % 5), "ab"[k % 2], str(k)) for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Copy string")
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "copy"]
+    count = lambda found: {k: sum(r[1] for r in found if r[0] == k) for k in {r[0] for r in found if r[1]}}
+    got = count([((r.doc_id, r.source), 1) for r in mixed.collect()])
+    assert got == count([((r.doc_id, r.source), r.copies) for r in mixing.mix(docs).collect()])
+    assert all(r.copy in (1, 2) for r in mixed.collect())
+
+
+def test_weights_of_zero_take_nothing(spark, odd_docs):
+    weights = spark.createDataFrame([("a", 0), ("b", None), ("c", 2)], "source string, weight long")
+    found = mixing.mix(odd_docs, weights=weights).collect()
+    assert len(found) == odd_docs.count()
+    assert {r.source for r in found if r.copies} == {"c"}
+    assert all((r.target == 0) == (r.source != "c") for r in found)
+
+
 def test_long_documents_are_drawn_more_often(spark):
     """Inclusion follows the expected copies: grade over grade, over many draws."""
     docs = spark.range(4000).selectExpr("id doc_id", "repeat('w ', if(id % 2 = 0, 2, 256)) text", "'s' source")
@@ -243,6 +264,22 @@ def test_phrases_near_each_other(spark):
     assert {r.id_key for r in index.near(terms=2, span=50).collect()} == {"1", "2"}
 
 
+@pytest.mark.parametrize("n", [20_000, 80_000, 320_000])
+def test_one_word_items_take_linear_room(spark, n):
+    """A window of one word, and one of four equal words, in a text that repeats it; the session has little memory."""
+    docs = spark.createDataFrame([(1, "the " * n), (2, "a the b the the the the")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the the the the"), (3, "none")], "item_id long, text string")
+    found = {r.row.doc_id: r for r in phrase_index.contamination(docs, items).collect()}
+    assert (found[1].n_hit, found[1].n_items) == (n, 2)
+    assert (found[2].n_hit, found[2].n_items) == (5, 2)
+
+
+def test_many_terms_are_shuffled_without_a_change(spark, monkeypatch, folder):
+    want = sorted(map(repr, QUERIES["op6_phrase_index"](spark, folder).collect()))
+    monkeypatch.setattr(phrase_index, "SMALL_TERMS", 0)
+    assert sorted(map(repr, QUERIES["op6_phrase_index"](spark, folder).collect())) == want
+
+
 def test_bloom_filter_loses_nothing(spark):
     keys = spark.range(2000).selectExpr("concat('uhost/', id) key")
     asked = spark.range(20000).selectExpr("concat('uhost/', id) key")
