@@ -127,8 +127,8 @@ def generated(spark: SparkSession, sf_dir: str, documents: DataFrame | None = No
     )
 
 
-def critic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Critic responses; documents without a label have none."""
+def critic(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
+    """Critic responses to (stored or streamed) labels; documents without a label have none."""
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     text = (
         F.when(
@@ -140,7 +140,8 @@ def critic(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("toxic") == 0, "<evaluation>[bad]</evaluation>")
         .otherwise("no tags")
     )
-    return table(spark, sf_dir, "labels").select("doc_id", text.alias("critic_text"))
+    labels = table(spark, sf_dir, "labels") if labels is None else labels
+    return labels.select("doc_id", text.alias("critic_text"))
 
 
 def list_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

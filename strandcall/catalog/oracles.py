@@ -659,6 +659,12 @@ from levels where level <> 'overall'""",
     "auroc_dif": sql(auroc(scored("res", "dif")), "res"),
     "auroc_dir": sql(auroc(scored("res", "dir")), "res"),
     "auroc_by_cell": sql(auroc(scored("res", "dif", "cell_type, "), "cell_type"), "res"),
+    "auroc_narrow": auroc(
+        """select l_linestatus as cell_type, case when l_returnflag = 'R' then 1 else 0 end as y,
+       5000.0::double + cast((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 1000003 as double) / 1000003.0::double as score
+from lineitem where l_returnflag <> 'N'""",
+        "cell_type",
+    ),
     "auroc_runs": sql(
         auroc(scored(runs_of(f" and solution in ('{UP}', '{DOWN}')"), "dir", "run, "), "run"), "res"
     ),
@@ -712,6 +718,14 @@ where solution in ('{UP}', '{DOWN}')""",
         + ") where rn <= wanted",
         "de",
     ),
+    "sample_hot_key": sql(
+        f"""select pert, gene, cell_type, occurrence from (
+select *, row_number() over (order by {order_hash(88, 'pert', 'occurrence')}, pert, occurrence) as place from (
+select *, row_number() over (partition by pert order by gene, cell_type) - 1 as occurrence from (
+select case when cast(split_part(sample_id, '-', 1) as bigint) % 2 = 0 then 'HOT' else pert end as pert, gene, cell_type from de)))
+where place <= (select greatest(floor(count(*) * 0.15::double), 1) from de)""",
+        "de",
+    ),
     "split_duplicates": sql(
         lowest_numbered(
             42,
@@ -824,6 +838,26 @@ from (select unnest(['train', 'test', 'holdout']) as split) s""",
        cast(count(*) filter (where event_type = 'purchase') as bigint) as approved,
        {pct("count(*) filter (where event_type = 'purchase')", 'count(*)')} as approval_pct from events""",
     "stream_results": sql("select * from levels", "levels"),
+    "stream_batches": sql(
+        f"""select doc_id, batch_id, bad as api_error, case when not bad then x end as extracted_answer,
+       not bad and coalesce(x = solution, false) as is_correct,
+       case when bad then concat(left(user_prompt, 200), '... (API Call Failed)') end as failed_prompt
+from (select g.*, {first_class('g.tag')} as x,
+             max(case when c.critic_text = 'no tags' then 1 else 0 end) over (partition by batch_id) = 1 as bad
+      from gen_tag g left join critic c on g.doc_id = c.doc_id)""",
+        "gen_tag",
+        "critic",
+    ),
+    "stream_snapshots": sql(
+        f"""select case when grouping(cell_type) = 1 and grouping(pert) = 1 then 'overall'
+            when grouping(cell_type) = 0 then 'cell_type' else 'pert' end as level,
+       coalesce(cell_type, pert) as group_key,
+       cast(count(*) filter (where ok) as bigint) as correct, cast(count(*) as bigint) as evaluated,
+       {pct('count(*) filter (where ok)', 'count(*)')} as accuracy_pct, batches
+from hit join (select unnest([3, 6, 8]) as batches) b on cast(split_part(sample_id, '-', 1) as bigint) % 8 < batches
+group by grouping sets ((batches), (batches, cell_type), (batches, pert))""",
+        "hit",
+    ),
     "stream_curation": sql(
         f"""select cast(count(*) as bigint) as processed, cast(count(*) filter (where approved) as bigint) as approved,
        {pct('count(*) filter (where approved)', 'count(*)')} as approval_pct from judged""",

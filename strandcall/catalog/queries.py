@@ -18,7 +18,7 @@ from strandcall.plans.training_set import sft_text
 from strandcall.session import new_folder, stage
 from strandcall.sources import calls as calls_files
 from strandcall.sources import sinks
-from strandcall.streaming import running
+from strandcall.streaming import counted, replies, running
 
 TEST_LINES = "ASIA, europe"
 RATINGS = ("excellent", "good")
@@ -473,6 +473,19 @@ def auroc_by_cell(spark, sf_dir):
     return metrics.auroc(metrics.score_rows(_parsed(spark, sf_dir), "dif"), ("cell_type",))
 
 
+@query
+def auroc_narrow(spark, sf_dir):
+    """Scores that all lie between 5000 and 5001, nearly all of them different."""
+    line = A.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "N")
+    mixed = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31) % 1000003
+    scored = line.select(
+        F.col("l_linestatus").alias("cell_type"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        (F.lit(5000.0) + mixed.cast("double") / F.lit(1000003.0)).alias("score"),
+    )
+    return metrics.auroc(scored, ("cell_type",))
+
+
 def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(_parsed(spark, sf_dir).select(*SAMPLE_KEYS, "solution", "extracted_answer"), "results")
 
@@ -538,6 +551,15 @@ def sample_duplicates(spark, sf_dir):
     return sampling.sample_exact(_numbered(spark, sf_dir), 0.15, SEED, [*GENE_KEYS, "occurrence"])
 
 
+@query
+def sample_hot_key(spark, sf_dir):
+    """Half of all rows share one perturbation; rows are numbered and drawn in it as in others."""
+    even = F.substring_index("sample_id", "-", 1).cast("bigint") % 2 == 0
+    calls = A.calls(spark, sf_dir).select(F.when(even, "HOT").otherwise(F.col("pert")).alias("pert"), "gene", "cell_type")
+    numbered = stage(number_copies(calls, ["pert"]), "numbered")
+    return sampling.sample_exact(numbered, 0.15, SEED, ["pert", "occurrence"])
+
+
 @query
 def split_duplicates(spark, sf_dir):
     return sampling.train_val_split(_numbered(spark, sf_dir), 0.9, 42, [*GENE_KEYS, "occurrence"])
@@ -746,3 +768,48 @@ def stream_curation(spark, sf_dir):
     target = new_folder(spark, "curation")
     running.finish(running.write_snapshot(totals, target, new_folder(spark, "curation-log")))
     return running.read_snapshot(totals, target)
+
+
+def _batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = A.table(spark, sf_dir, "documents")
+    return documents.groupBy(F.floor(F.col("doc_id") / 32).alias("batch_id")).agg(F.count(F.lit(1)).alias("batch_size"))
+
+
+@query
+def stream_batches(spark, sf_dir):
+    """What ``failed_batches`` says, from requests and replies that arrive as streams."""
+    asked = A.generated(spark, sf_dir, _stream(spark, sf_dir, "documents")).select("doc_id", "batch_id", "solution", "user_prompt")
+    judged = A.table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("judged", F.lit(True))
+    asked = asked.join(_batch_sizes(spark, sf_dir), "batch_id").join(judged, "doc_id", "left")
+    excerpt = X.last_user_excerpt(P.chat_prompt(F.lit("-"), F.col("user_prompt")))
+    requests = replies.request_events(asked, "batch_id", "doc_id", F.col("batch_size"), F.col("solution"), excerpt, F.coalesce("judged", F.lit(False)))
+    said = X.with_answer(A.generated(spark, sf_dir, _stream(spark, sf_dir, "documents")))
+    generator = replies.reply_events(said, "generator", "batch_id", "doc_id", F.col("generated_text").isNull(), F.col("extracted_answer"))
+    read = A.critic(spark, sf_dir, _stream(spark, sf_dir, "labels")).withColumn("batch_id", F.floor(F.col("doc_id") / 32))
+    critic = replies.reply_events(read, "critic", "batch_id", "doc_id", F.col("critic_text") == "no tags")
+    closed = replies.closed_batches(requests, generator, critic)
+    target = new_folder(spark, "batches")
+    running.finish(running.stream_results(closed, target, new_folder(spark, "batches-log")))
+    answered = running.stored_results(closed, target).where(F.col("kind") == replies.ANSWERED)
+    return metrics.with_correct(answered).select(
+        F.col("sample_id").cast("bigint").alias("doc_id"), "batch_id", "api_error", "extracted_answer", "is_correct", F.col("excerpt").alias("failed_prompt")
+    )
+
+
+PARTS, FILES, EVERY = 8, 4, 3
+
+
+@query
+def stream_snapshots(spark, sf_dir):
+    """Accuracy of the snapshot after every third of eight micro-batches, and of the final counts."""
+    results = _parsed(spark, sf_dir).select(*SAMPLE_KEYS, "solution", "extracted_answer")
+    part = F.substring_index("sample_id", "-", 1).cast("bigint") % PARTS
+    inbox, target = new_folder(spark, "inbox"), new_folder(spark, "counts")
+    stored = stage(results.withColumn("part", part), "results")
+    for k in range(PARTS):  # files arrive in this order, as many for each micro-batch
+        stored.where(F.col("part") == k).drop("part").repartition(FILES).write.mode("append").parquet(inbox)
+    arriving = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", FILES).parquet(inbox)
+    final = counted.finish(counted.stream_counts(arriving, target, new_folder(spark, "counts-log"), EVERY), spark, target)
+    kept = counted.snapshots(spark, target)
+    levels = [metrics.accuracy_rollup(kept.where(F.col("batches") == k)).withColumn("batches", F.lit(k)) for k in range(EVERY, PARTS, EVERY)]
+    return splits.union_cells(*levels, metrics.accuracy_rollup(final).withColumn("batches", F.lit(PARTS)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandcall.functions.labels import UNRESOLVED, gold_binary, pred_score
+from strandcall.operators.ranges import with_range
 from strandcall.vocab import CLASSES, NONE_EXTRACTED, NONE_OTHER
 
 REPORT_LABELS = (*CLASSES, NONE_EXTRACTED)
@@ -206,9 +207,6 @@ def class_report_averages(report: DataFrame) -> DataFrame:
 
 # --- AUROC ---------------------------------------------------------------------
 
-SCORE_BUCKETS = 1024
-
-
 def score_rows(results: DataFrame, stage: str) -> DataFrame:
     """Binary gold and score; rows without a binary gold are dropped."""
     return (
@@ -236,14 +234,14 @@ def auroc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auroc_of_counts(score_table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """AUROC from ``score_counts`` of these or of finer groups.
 
-    The number of negatives below a score is a running total over score buckets
-    plus a running total inside the bucket, so that different scores do not meet in one
-    task. The arc tangent keeps the order of any scores and maps them to some 3,000
-    buckets without looking at the data; they are even for scores around 0
-    to 100, and scores far above share the last ones.
+    The number of negatives below a score is a running total over ranges of scores
+    plus a running total inside the range, so that different scores do not meet in one
+    task. The ranges are cut at quantiles of the counted scores, found by a sketch in the same
+    query, so that each holds about as many different scores as any other, wherever they lie.
     """
     counts = score_table.groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    bucketed = counts.withColumn("bucket", F.floor(F.atan("score") * SCORE_BUCKETS))
+    whole = counts.where(F.col("p") + F.col("n") >= 0)  # all of them; with the columns that are counted anyway, so that one shuffle serves both
+    bucketed = with_range(counts, "score", "bucket", whole)
     before = (Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(*before)
     across = Window.partitionBy(*by).orderBy("bucket").rowsBetween(*before)

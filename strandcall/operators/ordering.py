@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandcall.session import stage
+
 HASH = "_hash"
 BUCKET_DIGITS = 4  # 65,536 buckets: the size table is at most that long per group
 
@@ -58,13 +60,22 @@ def number_copies(df: DataFrame, keys: Sequence[str], out: str = "occurrence") -
 
     With ``out`` among its keys a sample draws rows even where keys repeat. Equal
     rows are counted and written out again in blocks, so that a frequent row is
-    spread over the partitions.
+    spread over the partitions. The counted rows are stored in ranges of (keys, other columns):
+    a frequent key spans many ranges, which are numbered side by side, each
+    from the number of rows in the ranges in front of it. Use it on narrow frames.
     """
     columns = df.columns
     rest = [c for c in columns if c not in keys] or list(keys)
-    before = Window.partitionBy(*keys).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
-    counted = add_hash(collapse(df), 0, keys).withColumn("_from", F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    return expand(counted, F.col("_from"), F.col("_from") + F.col("copies"), out).select(*columns, out)
+    ranged = add_hash(collapse(df), 0, keys).repartitionByRange(*keys, *rest)
+    placed = stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges").withColumn("_key", F.struct(*keys))
+    before = (Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_key", "_range").agg(F.sum("copies").alias("_size"))
+    across = Window.partitionBy("_key").orderBy("_range").rowsBetween(*before)
+    offsets = sizes.select("_key", "_range", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_key", "_range").orderBy(*rest).rowsBetween(*before)
+    inside = placed.withColumn("_within", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    started = inside.join(offsets, ["_key", "_range"]).withColumn("_from", F.col("_offset") + F.col("_within"))
+    return expand(started, F.col("_from"), F.col("_from") + F.col("copies"), out).select(*columns, out)
 
 
 def run_starts(

@@ -16,6 +16,8 @@ TRAIN_SHARE = 0.9
 SEED = 42
 
 OCCURRENCE = "occurrence"
+ROW = "_row"
+BLOCK = 4096  # copies of a row that are written out together
 
 
 def sft_text(examples: DataFrame, express_type: str = "dif", target: str = "cot") -> DataFrame:
@@ -31,13 +33,20 @@ def training_set(
 ) -> DataFrame:
     """``text`` and ``part`` of every example.
 
-    Rows are split, not keys: examples that share the keys are numbered first,
-    and the numbered examples are stored, as the split reads them several times.
+    Rows are split, not keys: examples that share the keys are numbered first. Numbering and
+    split see keys and a hash of the row only; texts are shuffled once, by this hash,
+    to meet the number of copies that go to either part. ``examples`` is read twice.
     The text is rendered in the last projection.
     """
-    numbered = stage(number_copies(examples, keys, OCCURRENCE), "examples")
+    named = examples.withColumn(ROW, F.md5(F.to_json(F.struct(*examples.columns))))
+    numbered = stage(number_copies(named.select(*keys, ROW), keys, OCCURRENCE), "examples")
     split = train_val_split(numbered, TRAIN_SHARE, SEED, [*keys, OCCURRENCE])
-    return sft_text(split, express_type, target).select(*keys, F.col("text"), "part")
+    copies = split.groupBy(ROW, "part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(BLOCK).cast("bigint")))
+    blocks = copies.select(ROW, "part", "_n", starts.alias("_from"))
+    texts = named.dropDuplicates([ROW]).join(blocks, ROW)
+    once = sft_text(texts, express_type, target).select(*keys, "text", "part", F.least(F.col("_n") - F.col("_from"), F.lit(BLOCK)).alias("_n"))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*keys, "text", "part")
 
 
 def write_training_set(frame: DataFrame, path: str) -> None:
