@@ -345,6 +345,17 @@ def list_items(body: str) -> str:
     return f"array_to_string(regexp_extract_all({body}, '''([^'']*)''', 1), ',')"
 
 
+MODES = [*P.SYSTEM_TEMPLATES, "no such mode"]
+
+
+def prompt_of(template: str) -> str:
+    return render(template, pert="pert", gene="gene", cell_type="cell_type", answer="solution")
+
+
+def by_mode(prompt) -> str:
+    return "case mode " + " ".join(f"when '{m}' then {prompt_of(prompt(m))}" for m in P.SYSTEM_TEMPLATES) + " end"
+
+
 def modes(names, prompt) -> str:
     return " union all ".join(f"select doc_id, '{m}' as mode, {prompt(m)} as prompt from gen" for m in names)
 
@@ -748,6 +759,20 @@ from (select doc_id, pert, row_number() over (order by {order_hash(42, 'doc_id')
 where row_index // 32 < (select count(*) // 32 from gen)""",
         "gen",
     ),
+    "prompts_by_mode": sql(
+        f"""select doc_id, mode, {by_mode(P.system_template)} as system, {by_mode(P.user_template)} as "user",
+       case when mode = 'no such mode' then 'unknown prompt mode: no such mode' end as problem
+from (select *, ({strings(MODES)})[doc_id % {len(MODES)} + 1] as mode from gen)""",
+        "gen",
+    ),
+    "examples_store": sql(
+        """select model, 'create' as script, split_name, pert, cast(count(*) as bigint) as n,
+       cast(sum(length(generated_text)) as bigint) as response_chars
+from accepted join (values ('first', 'default', 2), ('second', 'asia', 1)) v(model, split_name, step) on doc_id % step = 0
+group by all""",
+        "accepted",
+    ),
+    "shard_files": sql(f"select {KEYS}, ({INDEXED}) % 4 as shard from de", "de"),
     "shards": sql(
         f"select *, row_index % 4 as shard from (select {KEYS}, {INDEXED} as row_index from de)", "de"
     ),

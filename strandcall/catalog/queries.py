@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcall.catalog import adapters as A
+from strandcall.functions import prompt_table
 from strandcall.functions import prompts as P
 from strandcall.functions import text as X
 from strandcall.functions.labels import gold_trinary, label_text, pred_score
@@ -17,7 +18,7 @@ from strandcall.plans import datasets, evaluate, reports
 from strandcall.plans.training_set import sft_text
 from strandcall.session import new_folder, stage
 from strandcall.sources import calls as calls_files
-from strandcall.sources import sinks
+from strandcall.sources import sinks, store
 from strandcall.streaming import counted, replies, running
 
 TEST_LINES = "ASIA, europe"
@@ -259,6 +260,16 @@ def user_prompts(spark, sf_dir):
     return _samples(spark, sf_dir).select("doc_id", F.inline(F.array(*modes)))
 
 
+@query
+def prompts_by_mode(spark, sf_dir):
+    """Rows of all ten modes, and of one that no template has, in one table."""
+    names = F.array(*map(F.lit, [*P.SYSTEM_TEMPLATES, "no such mode"]))
+    mode = F.get(names, (F.col("doc_id") % (len(P.SYSTEM_TEMPLATES) + 1)).cast("int"))
+    samples = _samples(spark, sf_dir).select("doc_id", "pert", "gene", "cell_type", "solution", mode.alias("mode"))
+    found = prompt_table.with_prompts(samples, prompt_table.template_table(spark))
+    return found.select("doc_id", "mode", "system", "user", "problem")
+
+
 @query
 def critic_prompts(spark, sf_dir):
     parsed = X.with_think_answer(A.generated(spark, sf_dir)).where(F.col("generated_thinking").isNotNull())
@@ -704,6 +715,31 @@ def examples_round_trip(spark, sf_dir):
     )
 
 
+@query
+def examples_store(spark, sf_dir):
+    """Three example sets; one is written again with fewer rows, and takes the place of the first."""
+    base = new_folder(spark, "store")
+    accepted = _accepted(spark, sf_dir)
+    layout = accepted.withColumns({"true_answer": F.col("solution"), "assistant_response": F.col("generated_text")})
+    missing = {c: F.lit(None).cast("string") for c in curation.EXAMPLE_COLUMNS if c not in layout.columns}
+    layout = stage(layout.withColumns(missing).select("doc_id", *curation.EXAMPLE_COLUMNS), "accepted")
+    store.store_examples(layout, base, "first", "create")
+    store.store_examples(layout, base, "second", "create", "asia")
+    store.store_examples(layout.where(F.col("doc_id") % 2 == 0), base, "first", "create")
+    kept = store.stored_examples(spark, base, script="create")
+    return kept.groupBy("model", "script", "split_name", "pert").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("assistant_response")).alias("response_chars")
+    )
+
+
+@query
+def shard_files(spark, sf_dir):
+    """Every rank's folder, read by itself."""
+    target = new_folder(spark, "shards")
+    store.write_shards(A.calls(spark, sf_dir).select(*SAMPLE_KEYS), target, WORLD, SEED, SAMPLE_KEYS)
+    return splits.union_cells(*[store.read_shard(spark, target, k).withColumn("shard", F.lit(k).cast("bigint")) for k in range(WORLD)])
+
+
 @query
 def results_round_trip(spark, sf_dir):
     """Results written as JSON lines and read again; missing answers stay missing."""
