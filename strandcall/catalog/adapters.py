@@ -239,8 +239,34 @@ def csv_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
             writer.option("header", True).option("escape", '"').csv(parts)
             system = hadoop.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
             for cell in cells:
-                for found in system.globStatus(hadoop.Path(f"{parts}/cell_type={cell}/part-*.csv")):
-                    system.rename(found.getPath(), hadoop.Path(f"{folder}/{cell}-{kind}.csv"))
+                found = system.globStatus(hadoop.Path(f"{parts}/cell_type={cell}/part-*.csv"))
+                target = hadoop.Path(f"{folder}/{cell}-{kind}.csv")
+                if len(found) > 1 or any(not system.rename(f.getPath(), target) for f in found):
+                    raise OSError(f"{cell}-{kind}.csv is not one file")
+    return folder
+
+
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell_type, value): calls as CSV lines; those of genes that end in 7 lack a field, in 8 have one too many."""
+    tail = F.substring("gene", -1, 1)
+    short, whole = F.concat_ws(",", F.coalesce("pert", F.lit("")), F.coalesce("gene", F.lit(""))), F.col("label").cast("string")
+    value = F.when(tail == "7", short).when(tail == "8", F.concat_ws(",", short, whole, F.lit('"x, ""y"""'))).otherwise(F.concat_ws(",", short, whole))
+    return calls(spark, sf_dir).where("label is not null").select("cell_type", value.alias("value"))
+
+
+def ragged_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """One file for each cell line with lines of ``ragged_lines`` under a header."""
+    lines = ragged_lines(spark, sf_dir)
+    heads = lines.select("cell_type").distinct().select("cell_type", F.lit("pert,gene,label").alias("value"), F.lit(0).alias("at"))
+    rows = lines.withColumn("at", F.lit(1)).unionByName(heads).repartition("cell_type").sortWithinPartitions("cell_type", "at")
+    rows.select("cell_type", "value").write.partitionBy("cell_type").text(f"{folder}/parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in heads.collect():  # cell lines
+        found = system.globStatus(hadoop.Path(f"{folder}/parts/cell_type={row.cell_type}/part-*.txt"))
+        target = hadoop.Path(f"{folder}/{row.cell_type}-de.csv")
+        if len(found) != 1 or not system.rename(found[0].getPath(), target):
+            raise OSError(f"{row.cell_type}-de.csv is not one file")
     return folder
 
 

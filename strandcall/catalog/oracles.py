@@ -837,6 +837,20 @@ from de where cell_type <> 'AMERICA'""",
     ),
     "csv_manifest": """select r_name as cell_type, case when r_name in ('AFRICA', 'AMERICA') then 'skipped' else 'ok' end as status,
        case r_name when 'AFRICA' then 'no direction file' when 'AMERICA' then 'call file lacks gene' end as reason from region""",
+    "csv_corrupt": sql(
+        """select cell_type, cast(count(*) as bigint) as n_rows, cast(count(*) filter (right(gene, 1) = '7') as bigint) as n_short,
+       cast(count(*) filter (right(gene, 1) = '8') as bigint) as n_long,
+       cast(count(*) filter (coalesce(right(gene, 1), '') not in ('7', '8')) as bigint) as n_kept,
+       cast(count(*) filter (coalesce(right(gene, 1), '') not in ('7', '8')) as bigint) as n_labels,
+       cast(sum(label) filter (coalesce(right(gene, 1), '') not in ('7', '8')) as double) as label_sum
+from de where label is not null group by cell_type""",
+        "de",
+    ),
+    "holdout_by_table": sql(
+        """select cell_type, case when lower(cell_type) like '%a' then 'test' else 'train' end as part, cast(count(*) as bigint) as n
+from de group by all""",
+        "de",
+    ),
     "csv_pairs": sql(
         """select 'de' as kind, cell_type, cast(count(*) as bigint) as n from de where cell_type in ('EUROPE', 'MIDDLE EAST') group by all
 union all select 'dir', cell_type, cast(count(*) as bigint) from dir where cell_type in ('EUROPE', 'MIDDLE EAST') group by all""",

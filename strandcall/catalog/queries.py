@@ -682,6 +682,26 @@ def csv_manifest(spark, sf_dir):
     return calls_files.pair_manifest(spark, _tree(spark, sf_dir)).select("cell_type", "status", "reason")
 
 
+@query
+def csv_corrupt(spark, sf_dir):
+    """Rows of every file, those with too few and too many fields, and what a reader keeps that drops them."""
+    folder = A.ragged_tree(spark, sf_dir, new_folder(spark, "ragged"))
+    kept = calls_files.read_calls(spark, folder, "de", ragged="drop").groupBy("cell_type")
+    kept = kept.agg(F.count(F.lit(1)).alias("n_kept"), F.count("label").alias("n_labels"), F.sum("label").alias("label_sum"))
+    return calls_files.file_report(spark, folder, "de").select("cell_type", "n_rows", "n_short", "n_long").join(kept, "cell_type", "left")
+
+
+@query
+def holdout_by_table(spark, sf_dir):
+    """Rows per cell line and part, held out by a stored table of lines; calls lie in folders by cell line."""
+    calls, lines = new_folder(spark, "calls"), new_folder(spark, "lines")
+    A.calls(spark, sf_dir).write.partitionBy("cell_type").parquet(calls)
+    A.calls(spark, sf_dir).select(F.lower("cell_type").alias("line")).where("line like '%a' or line is null").distinct().write.parquet(lines)
+    stored, held = spark.read.parquet(calls), spark.read.parquet(lines)
+    parts = [splits.holdout_by_lines(stored, part, held).withColumn("part", F.lit(part)) for part in ("train", "test")]
+    return parts[0].unionByName(parts[1]).groupBy("cell_type", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def csv_pairs(spark, sf_dir):
     """Rows per cell line and file of the pairs that a holdout leaves for training."""

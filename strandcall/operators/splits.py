@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandcall.session import stage
 from strandcall.vocab import DOWN, UP
 
 # Holdout settings that mean "no holdout".
@@ -69,6 +70,28 @@ def filter_holdout(
     return df.where(F.lit(False))
 
 
+def holdout_by_lines(df: DataFrame, split: str | None, lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """``filter_holdout`` with the held-out lines as a table (column ``line``, any case, nulls and repeats don't count).
+
+    ``cells`` has the cell lines of ``df`` in ``cell_type``, one a row or more; without it they are taken from ``df``, of which
+    only that column is read. The wanted ones are staged first and meet ``df`` in one semi join, so that of a table in
+    folders by ``cell_type`` the folders of other lines are not opened if the wanted ones are few enough for Spark to send
+    round. An empty table of lines holds nothing out: ``test`` keeps no row then, ``train`` all. As in
+    ``filter_holdout``, rows without a cell line belong to no part.
+    """
+    if split is None:
+        return df
+    if split not in ("train", "test"):
+        warnings.warn(f"split '{split}' is unknown to the cell-line holdout, nothing is loaded", stacklevel=2)
+        return df.where(F.lit(False))
+    held = lines.select(F.lower("line").alias("_line")).where("_line is not null").distinct()
+    cells = (df if cells is None else cells).select(F.col("cell_type").alias("_cell")).where("_cell is not null").distinct()
+    wanted = cells.join(held, F.lower("_cell") == F.col("_line"), "left_semi" if split == "test" else "left_anti")
+    # Spark prunes folders only by a side with a comparison in its filter; this one holds for every name.
+    wanted = stage(wanted, "cell-lines").where(F.length("_cell") >= 0)
+    return df.join(wanted, F.col("cell_type") == F.col("_cell"), "left_semi")
+
+
 def holdout_cells(df: DataFrame, test_lines: str | None) -> DataFrame:
     """Part (``train`` or ``test``) of every cell line that occurs in ``df``."""
     lines = parse_cell_lines(test_lines)

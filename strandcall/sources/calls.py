@@ -9,13 +9,14 @@ schema. Only file names and header lines reach the driver.
 from __future__ import annotations
 
 import os
+import re
 import warnings
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,8 @@ TYPES = {"pert": T.StringType(), "gene": T.StringType(), "label": T.DoubleType()
 HEADER_READERS = 16
 
 CALL_SCHEMA = "pert string, gene string, label double, split string, cell_type string, has_split boolean"
-MANIFEST_SCHEMA = "cell_type string, de_path string, dir_path string, status string, reason string"
+UNQUOTED = '(^|,)(?:"[^"]*+")++'  # a quoted field; what is left of a line has only the commas between fields
+RAGGED = "_ragged"
 
 
 @dataclass(frozen=True)
@@ -80,31 +82,35 @@ def call_files(spark: SparkSession, folder: str, kind: str) -> list[CallFile]:
     return _with_headers(spark, _call_paths(spark, folder, kind), kind)
 
 
-def _read_group(spark: SparkSession, files: list[CallFile], kind: str) -> DataFrame:
+def _read_group(spark: SparkSession, files: list[CallFile], kind: str, ragged: str) -> DataFrame:
     header = files[0].header
-    schema = T.StructType([T.StructField(c, TYPES.get(c, T.StringType())) for c in header])
+    drop = ragged == "drop"
+    schema = T.StructType([T.StructField(c, T.StringType() if drop else TYPES.get(c, T.StringType())) for c in header])
+    reader = spark.read.option("header", True).option("escape", '"')
+    if drop:  # only a wrong number of fields is marked in a schema of texts, and only if all of them are parsed
+        schema = schema.add(RAGGED, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", RAGGED).option("columnPruning", False)
     # File names are URL-encoded; a plus sign is a plus sign there.
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    rows = reader.schema(schema).csv([f.path for f in files])
+    if drop:  # the second condition never holds; Spark refuses a count that looks at the mark alone
+        rows = rows.where(F.col(RAGGED).isNull() | (F.length("pert") < 0))
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .csv([f.path for f in files])
-        .select(
-            *[c for c in (*REQUIRED, *OPTIONAL) if c in header],
+        rows.select(
+            *[F.col(c).try_cast(TYPES[c]).alias(c) if drop else c for c in (*REQUIRED, *OPTIONAL) if c in header],
             F.regexp_replace(name, rf"{SUFFIX[kind]}$", "").alias("cell_type"),
             F.lit("split" in header).alias(HAS_SPLIT),
         )
     )
 
 
-def _read_files(spark: SparkSession, files: Iterable[CallFile], kind: str) -> DataFrame:
+def _read_files(spark: SparkSession, files: Iterable[CallFile], kind: str, ragged: str = "keep") -> DataFrame:
     groups: dict[tuple[str, ...], list[CallFile]] = {}
     for file in files:
         groups.setdefault(file.header, []).append(file)
     if not groups:
         return spark.createDataFrame([], CALL_SCHEMA)
-    union = union_cells(*[_read_group(spark, group, kind) for group in groups.values()])
+    union = union_cells(*[_read_group(spark, group, kind, ragged) for group in groups.values()])
     if "split" not in union.columns:
         union = union.withColumn("split", F.lit(None).cast("string"))
     return union.select("pert", "gene", "label", "split", "cell_type", HAS_SPLIT)
@@ -122,12 +128,66 @@ def require_columns(columns: Iterable[str], required: Iterable[str], source: str
     return False
 
 
+def file_report(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(cell_type, path, header, n_rows, n_short, n_long) of every file of one kind, as one job over all of them.
+
+    The first line that isn't blank is the header; rows with fewer or more fields than it are counted. The scan shrinks
+    to one row for each file and number of fields before it is shuffled; no path reaches the driver.
+    A file of blank lines has no header and no rows, one of no bytes is not listed by Spark. Quoted fields don't span lines, as in ``read_calls``.
+    """
+    glob = f"*{SUFFIX[kind]}"
+    # File names are URL-encoded; a plus sign is a plus sign there.
+    key, path = F.col("_metadata.file_path").alias("key"), F.url_decode(F.replace(F.col("key"), F.lit("+"), F.lit("%2B")))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(key)
+    lines = spark.read.option("pathGlobFilter", glob).text(folder).where(F.trim("value") != "")
+    bare = F.regexp_replace("value", UNQUOTED, "$1")
+    fields = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","))) + 1
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    counted = lines.select(key, fields.alias("fields"), place.alias("place")).groupBy("key", "fields")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    files = counted.groupBy("key").agg(
+        F.min(F.struct("first", "fields")).alias("top"), F.collect_list(F.struct("fields", "n")).alias("sizes")
+    )  # as many sizes as there are numbers of fields
+
+    def rows(wanted: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter("sizes", lambda s: wanted(s["fields"])), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+    found = listed.join(files, "key", "left").withColumn("width", F.col("top.fields"))
+    names = F.split(F.col("top.first.value"), ",")
+    return found.select(
+        F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"{re.escape(SUFFIX[kind])}$", "").alias("cell_type"),
+        path.alias("path"),
+        F.coalesce(F.transform(names, lambda c: F.btrim(F.btrim(c), F.lit('"'))), F.array().cast("array<string>")).alias("header"),
+        F.coalesce(rows(lambda f: F.lit(True)) - 1, F.lit(0)).alias("n_rows"),
+        F.coalesce(rows(lambda f: f < F.col("width")), F.lit(0)).alias("n_short"),
+        F.coalesce(rows(lambda f: f > F.col("width")), F.lit(0)).alias("n_long"),
+    )
+
+
 def pair_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per cell line: its two paths and whether it can be loaded.
+    """One row per cell line: its two paths, whether it can be loaded, and how many rows its files have.
 
-    ``status`` is ``ok`` or ``skipped``; ``reason`` says why.
+    ``status`` is ``ok`` or ``skipped``; ``reason`` says why. A full outer join of the two listings: direction files
+    without calls are listed as well. ``*_ragged`` counts rows with another number of fields than the header.
     """
-    return spark.createDataFrame([row for row, _, _ in _pairs(spark, folder)], MANIFEST_SCHEMA)
+
+    def side(kind: str) -> DataFrame:
+        lacks = F.array_join(F.array_except(F.array(*map(F.lit, REQUIRED)), "header"), ", ")
+        ragged = (F.col("n_short") + F.col("n_long")).alias(f"{kind}_ragged")
+        return file_report(spark, folder, kind).select(
+            "cell_type", F.col("path").alias(f"{kind}_path"), lacks.alias(f"{kind}_lacks"), F.col("n_rows").alias(f"{kind}_rows"), ragged
+        )
+
+    both = side("de").join(side("dir"), "cell_type", "full")
+    reason = (
+        F.when(F.col("de_path").isNull(), "no call file")
+        .when(F.col("dir_path").isNull(), "no direction file")
+        .when(F.col("de_lacks") != "", F.concat(F.lit("call file lacks "), "de_lacks"))
+        .when(F.col("dir_lacks") != "", F.concat(F.lit("direction file lacks "), "dir_lacks"))
+    )
+    status = F.when(reason.isNull(), "ok").otherwise("skipped")
+    counts = ("de_rows", "de_ragged", "dir_rows", "dir_ragged")
+    return both.select("cell_type", "de_path", "dir_path", status.alias("status"), reason.alias("reason"), *counts)
 
 
 def _pairs(
@@ -163,11 +223,14 @@ def _wanted(cell: str, split: str | None, lines: list[str]) -> bool:
     return {"test": cell.lower() in lines, "train": cell.lower() not in lines}.get(split, False)
 
 
-def read_calls(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All files of one kind as one table with ``cell_type``; incomplete files are skipped."""
+def read_calls(spark: SparkSession, folder: str, kind: str, ragged: str = "keep") -> DataFrame:
+    """All files of one kind as one table with ``cell_type``; incomplete files are skipped.
+
+    Rows with too few or too many fields: ``keep`` fills them up with nulls or cuts them, ``drop`` leaves them out.
+    """
     files = call_files(spark, folder, kind)
     complete = [f for f in files if require_columns(f.header, REQUIRED, f.path, "skip")]
-    return _read_files(spark, complete, kind)
+    return _read_files(spark, complete, kind, ragged)
 
 
 def read_pairs(
@@ -176,8 +239,9 @@ def read_pairs(
     split: str | None = None,
     test_lines: str | None = None,
     keywords: tuple[str, ...] = NO_HOLDOUT,
+    ragged: str = "keep",
 ) -> tuple[DataFrame, DataFrame]:
-    """Calls and directions of every loadable cell line.
+    """Calls and directions of every loadable cell line; ``ragged`` as in ``read_calls``.
 
     With a cell-line holdout the files of other lines are not opened at all.
     """
@@ -189,8 +253,8 @@ def read_pairs(
         else:
             chosen.append((call, partner))
     return (
-        _read_files(spark, [c for c, _ in chosen], "de"),
-        _read_files(spark, [d for _, d in chosen], "dir"),
+        _read_files(spark, [c for c, _ in chosen], "de", ragged),
+        _read_files(spark, [d for _, d in chosen], "dir", ragged),
     )
 
 

@@ -46,6 +46,56 @@ def test_manifest(spark, tree):
     }
 
 
+def test_manifest_lists_directions_without_calls_and_counts_rows(spark, tree):
+    write(tree, "late-dir.csv", "pert,gene,label\nA,x,1\n")
+    write(tree, "empty-de.csv", "\n")
+    write(tree, "empty-dir.csv", "pert,gene,label\n")
+    got = {r.cell_type: r for r in R.pair_manifest(spark, str(tree)).collect()}
+    assert (got["late"].status, got["late"].reason, got["late"].de_path, got["late"].dir_rows) == ("skipped", "no call file", None, 1)
+    assert (got["empty"].reason, got["empty"].de_rows, got["empty"].dir_rows) == ("call file lacks pert, gene, label", 0, 0)
+    assert (got["K562 b+1"].de_rows, got["K562 b+1"].de_ragged, got["HepG2"].dir_rows) == (3, 0, 4)
+    assert got["K562 b+1"].de_path.endswith("/K562 b+1-de.csv")
+
+
+RAGGED = 'pert,gene,label,note\n\nA,x,1,"a, ""b"", c"\nA,y,0\nA,z,1,n,more\n"A","w","1","q"\nB,"v, ",,\n"B, u",x,up,"n"\n'
+
+
+def test_ragged_rows(spark, tmp_path, rows):
+    write(tmp_path, "one-de.csv", RAGGED)
+    (report,) = R.file_report(spark, str(tmp_path), "de").collect()
+    assert (report.cell_type, report.header, report.n_rows, report.n_short, report.n_long) == ("one", ["pert", "gene", "label", "note"], 6, 1, 1)
+    kept = rows(R.read_calls(spark, str(tmp_path), "de", ragged="drop"), "pert", "gene", "label")
+    assert kept == [("A", "w", 1.0), ("A", "x", 1.0), ("B", "v, ", None), ("B, u", "x", None)]
+    assert R.read_calls(spark, str(tmp_path), "de").count() == 6
+
+
+def test_ragged_rows_of_split_files(spark, tmp_path):
+    write(tmp_path, "one-de.csv", "pert,gene,label\n" + "".join(f"A,g{k},1{',x' * (k % 3 == 0)}\n" for k in range(999)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        (report,) = R.file_report(spark, str(tmp_path), "de").collect()
+        kept = R.read_calls(spark, str(tmp_path), "de", ragged="drop").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (report.header, report.n_rows, report.n_short, report.n_long, kept) == (["pert", "gene", "label"], 999, 0, 333, 666)
+
+
+def test_file_report_is_one_query_for_any_number_of_files(spark, tmp_path):
+    def jobs(folder):
+        spark.sparkContext.setJobGroup(folder.name, "report")
+        R.file_report(spark, str(folder), "de").collect()
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder.name))
+
+    few, many = tmp_path / "few", tmp_path / "many"
+    for folder, n in ((few, 2), (many, 20)):
+        folder.mkdir()
+        for k in range(n):
+            write(folder, f"c{k}-de.csv", "pert,gene,label\nA,x,1\n")
+    assert jobs(few) == jobs(many)
+
+
 def test_read_calls(spark, tree, rows):
     with pytest.warns(UserWarning, match="lacks columns: label"):
         df = R.read_calls(spark, str(tree), "de")

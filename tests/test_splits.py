@@ -63,3 +63,28 @@ def test_require_rows(calls):
     assert S.require_rows(calls, "x") is calls
     with pytest.raises(ValueError, match="nothing left"):
         S.require_rows(calls.where(F.lit(False)), "nothing left")
+
+
+def test_holdout_by_a_table_of_lines(spark, calls):
+    lines = spark.createDataFrame([("hepg2",), ("HEPG2",), (None,), ("absent",)], "line string")
+    none = lines.where("false")
+    odd = calls.unionByName(calls.limit(1).withColumn("pert", F.lit("n")).withColumn("cell_type", F.lit(None).cast("string")))
+    for df in (calls, odd):
+        assert perts(S.holdout_by_lines(df, "test", lines)) == "ab"
+        assert perts(S.holdout_by_lines(df, "train", lines)) == "cde"
+        assert perts(S.holdout_by_lines(df, "train", none)) == "abcde"
+        assert perts(S.holdout_by_lines(df, "test", none)) == ""
+    assert S.holdout_by_lines(odd, None, lines).count() == 6
+    with pytest.warns(UserWarning, match="unknown"):
+        assert S.holdout_by_lines(calls, "dev", lines).count() == 0
+
+
+@pytest.mark.parametrize("part", ["train", "test"])
+def test_folders_of_held_out_lines_stay_closed(spark, calls, tmp_path, part):
+    calls.write.partitionBy("cell_type").parquet(str(tmp_path / "calls"))
+    stored = spark.read.parquet(str(tmp_path / "calls"))
+    lines = spark.createDataFrame([("k562",)], "line string")
+    found = S.holdout_by_lines(stored, part, lines)
+    assert "".join(sorted(r.pert for r in found.collect())) == ("ce" if part == "test" else "abd")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "dynamicpruning" in plan and "SubqueryBroadcast" in plan
