@@ -5,8 +5,8 @@ text, without links, to the container around it, and half of it to the next. Fro
 best tag-class path, in which digits are generalised, the page climbs to the lowest one that
 holds nearly all text outside asides and links, the headings, and the article or main
 element around it. It votes for that path. Spark sums the votes of a host; its pages are then parsed
-again and the text under the winning path is taken. A page without that path uses
-its own best container.
+again and the text under the winning path is taken. A page on which that path doesn't hold
+most of the text uses its own.
 """
 
 from __future__ import annotations
@@ -37,26 +37,29 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body div main section td center blockquote".split())
 CLOSES_P = BLOCKS - {"option", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}
 SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Words in class and id names, and roles, of what is not main text.
+# Words in class and id names, and roles, of what is not main text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adbox sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar "
     "aside footer header masthead toolbar comment comments reply replies respond disqus share sharing social related "
     "recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets copyright".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # of names written like sideBar
 DIGITS = re.compile(r"\d+")
 OPEN, CLOSE, TEXT = 0, 1, 2
 CORE = frozenset(("article", "main", "h1", "body"))
 MAIN_SHARE = 0.6
+MOST = 0.5
 NEARLY_ALL = 0.98
 
 
@@ -64,46 +67,54 @@ class Page:
     """Elements in page order with their parents, and the events (what, element or text) between them."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.names, self.aside, self.named = ["#"], [-1], ["#"], [False], [False]
+        self.tags, self.parents, self.names, self.aside, self.named, self.talk = ["#"], [-1], ["#"], [False], [False], [False]
         self.events: list[tuple[int, int | str]] = []
         self._parse(source)
+        self._number()
         self._weigh()
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
+        if not attributes.strip():
+            return self._add(parent, tag, tag, tag in SILENT, False, False)
         found = {}
         for a in ATTRIBUTE.finditer(attributes):
             found.setdefault(a[1].lower(), html.unescape((a[2] or "").strip("\"'")))
         classes = sorted({DIGITS.sub("#", c.lower()) for c in found.get("class", "").split()})
-        words = {w.lower() for w in NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        said = f"{found.get('class', '')} {found.get('id', '')}"
+        words = {w.lower() for w in (*NAME.findall(said), *PART.findall(said))}
         style = found.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        self.tags.append(tag)
-        self.parents.append(parent)
-        self.names.append(".".join([tag, *classes]))
-        self.aside.append(tag in SILENT or hidden or found.get("role", "").lower() in ASIDE_ROLES)
-        self.named.append(bool(words & ASIDE_WORDS))
+        aside = tag in SILENT or hidden or found.get("role", "").lower() in ASIDE_ROLES
+        name = ".".join([tag, *classes]).replace(">", "")
+        return self._add(parent, tag, name, aside, not words.isdisjoint(ASIDE_WORDS), not words.isdisjoint(COMMENT_WORDS))
+
+    def _add(self, parent: int, tag: str, name: str, aside: bool, named: bool, talk: bool) -> int:
+        for column, value in ((self.tags, tag), (self.parents, parent), (self.names, name), (self.aside, aside), (self.named, named), (self.talk, talk)):
+            column.append(value)
         self.events.append((OPEN, len(self.tags) - 1))
         return len(self.tags) - 1
 
     def _parse(self, source: str) -> None:
-        stack, at = [0], 0
-
+        stack, at, last = [0], 0, source.rfind(">")
+        depths: dict[str, list[int]] = {"block ": [], "container ": []}  # of the open elements, by tag; blocks and containers also together
         def close(depth: int) -> None:
             while len(stack) > depth:
-                self.events.append((CLOSE, stack.pop()))
-
-        def inner(tags: tuple[str, ...], stops: frozenset[str] | tuple[str, ...]) -> int:
+                node = stack.pop()
+                self.events.append((CLOSE, node))
+                tag = self.tags[node]
+                depths[tag].pop()
+                if tag in BLOCKS:
+                    depths["block "].pop()
+                if tag in CONTAINERS:
+                    depths["container "].pop()
+
+        def inner(tags: tuple[str, ...], stops: tuple[str, ...]) -> int:
             """The depth of the innermost of these elements, 0 if a stop or nothing comes first."""
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = self.tags[stack[depth]]
-                if tag in tags:
-                    return depth
-                if tag in stops:
-                    break
-            return 0
+            depth, stop = (max((depths[t][-1] for t in some if depths.get(t)), default=0) for some in (tags, stops))
+            return depth if depth >= stop else 0
 
         while at < len(source):
-            found = TOKEN.search(source, at)
+            found = TOKEN.search(source, at) if at <= last or "<!--" in source[at:] else None
             text = source[at : found.start() if found else len(source)]
             if text:
                 self.events.append((TEXT, text))
@@ -114,28 +125,46 @@ class Page:
             if not tag:
                 continue
             if found[1] or found[4]:
-                depth = inner((tag,), () if tag in BLOCKS else BLOCKS)
+                depth = inner((tag,), () if tag in BLOCKS else ("block ",))
                 if depth:
                     close(depth)
                 continue
-            if tag in CLOSES_P and (depth := inner(("p",), CONTAINERS)):
+            if tag in CLOSES_P and (depth := inner(("p",), ("container ",))):
                 close(depth)
             if tag in SAME and (depth := inner((tag, "dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,), SAME[tag])):
                 close(depth)
             node = self._open(stack[-1], tag, found[3] or found[6] or "")
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                closing = re.compile(rf"</{tag}\b", re.I).search(source, at)
+                at = (source.find(">", closing.end()) if closing else -1) + 1 or len(source)
             if tag in VOID or tag in RAW or (found[3] or "").endswith("/") and tag not in BLOCKS:
                 self.events.append((CLOSE, node))
             else:
+                depths.setdefault(tag, []).append(len(stack))
+                if tag in BLOCKS:
+                    depths["block "].append(len(stack))
+                if tag in CONTAINERS:
+                    depths["container "].append(len(stack))
                 stack.append(node)
         close(1)
 
+    def _number(self) -> None:
+        """Numbers of the paths, and the block, the container and whether a link in its block is around each element."""
+        self.numbers: dict[tuple[int, str], int] = {(-1, "#"): 0}
+        self.number, self.block, self.linked, self.container = [0], [0], [False], [0]
+        for node in range(1, len(self.tags)):
+            tag, parent = self.tags[node], self.parents[node]
+            self.number.append(self.numbers.setdefault((self.number[parent], self.names[node]), len(self.numbers)))
+            self.block.append(node if tag in BLOCKS else self.block[parent])
+            self.linked.append(tag not in BLOCKS and (tag == "a" or self.linked[parent]))
+            self.container.append(node if tag in CONTAINERS else self.container[parent])
+
     def _weigh(self) -> None:
         """Lengths of text per element. A container named like an aside is one, unless the main text's elements are in it.
 
-        If a page has neither these nor other text, only small containers are left out by name.
+        An ``article`` in such a container tells this only with most of the page's text, as teasers and readers' comments are
+        articles too; one named as a comment never does. If nothing is left so, every one tells it. If a page has neither
+        these nor other text, only small containers are left out by name.
         """
         total, own, stack = [0] * len(self.tags), {}, [0]
         silent = 0
@@ -151,11 +180,22 @@ class Page:
             total[node] += size
         for node in range(len(total) - 1, 0, -1):
             total[self.parents[node]] += total[node]
-        core = [tag in CORE for tag in self.tags]
-        for node in range(len(core) - 1, 0, -1):
-            core[self.parents[node]] |= core[node]
         self.own = own
-        self._cover([self.named[n] and not core[n] for n in range(len(core))])
+        beside = [False] * len(total)  # in a container named like an aside
+        for node in range(1, len(total)):
+            above = self.parents[node]
+            beside[node] = beside[above] or self.named[above] and self.tags[above] not in ("body", "html")
+        core = [tag in CORE for tag in self.tags]
+        told = [
+            c and (t != "article" or not self.talk[n] and (not beside[n] or total[n] >= MAIN_SHARE * total[0]))
+            for n, (c, t) in enumerate(zip(core, self.tags))
+        ]
+        for lifted in (told, core):
+            for node in range(len(total) - 1, 0, -1):
+                lifted[self.parents[node]] |= lifted[node]
+            self._cover([self.named[n] and not lifted[n] for n in range(len(total))])
+            if any(size and not self.covered[node] for node, size in own.items()):
+                break
         if not any(core) and not any(size and not self.covered[node] for node, size in own.items()):
             self._cover([self.named[n] and total[n] < MAIN_SHARE * total[0] for n in range(len(core))])
 
@@ -173,21 +213,13 @@ class Page:
             node = self.parents[node]
         return ">".join(reversed(names))
 
-    def _block(self, node: int) -> tuple[int, bool]:
-        """The block around an element, and whether a link lies between."""
-        linked = False
-        while node > 0 and self.tags[node] not in BLOCKS:
-            linked = linked or self.tags[node] == "a"
-            node = self.parents[node]
-        return node, linked
-
     def scores(self) -> dict[int, float]:
         """What each container gets from the blocks in it."""
         found: dict[int, float] = {}
         self.main: dict[int, int] = {}  # text that counts, by element
         self.heads: dict[int, int] = {}  # that of main headings, linked too
         for node, size in self.own.items():
-            at, linked = self._block(node)
+            at, linked = self.block[node], self.linked[node]
             if self.covered[node] or not size:
                 continue
             if self.tags[at] == "h1":
@@ -199,9 +231,8 @@ class Page:
             if self.tags[at] not in CONTAINERS:
                 at = self.parents[at]
             for _ in range(2):
-                while at > 0 and self.tags[at] not in CONTAINERS:
-                    at = self.parents[at]
-                found[max(at, 0)] = found.get(max(at, 0), 0.0) + share
+                at = self.container[max(at, 0)]
+                found[at] = found.get(at, 0.0) + share
                 share /= 2
                 if at <= 0:
                     break
@@ -213,10 +244,7 @@ class Page:
         scores = self.scores()
         if not scores:
             return {}
-        numbers: dict[tuple[int, str], int] = {}  # of paths
-        number = [numbers.setdefault((-1, "#"), 0)]
-        for node in range(1, len(self.tags)):
-            number.append(numbers.setdefault((number[self.parents[node]], self.names[node]), len(numbers)))
+        numbers, number = self.numbers, self.number
         above = [parent for parent, _ in numbers]
         shared: dict[int, float] = {}
         for node, score in scores.items():
@@ -273,16 +301,24 @@ class Page:
 
     def _under(self, path: str | None) -> set[int]:
         """Elements of this path that are no asides."""
-        last = path.rpartition(">")[2] if path is not None else None
-        return {n for n, name in enumerate(self.names) if name == last and not self.covered[n] and self.path(n) == path}
+        at = None if path is None else 0
+        for name in path.split(">")[1:] if path is not None else ():
+            at = self.numbers.get((at, name))
+            if at is None:
+                break
+        return {n for n, k in enumerate(self.number) if k == at and not self.covered[n]}
 
     def text(self, path: str | None) -> str:
-        """Text under a path; on a page without it, under the path that the page votes for most."""
-        votes = self.votes() if not self._under(path) else {}
-        if votes:
-            path = max(votes, key=lambda p: (votes[p], -len(p), p))
-        found = self.blocks(self._under(path))
-        return "\n".join(found)
+        """Text under a path, if it holds most of the text that counts; else under the path that the page itself votes for."""
+        roots = self._under(path)
+        inside = [node in roots for node in range(len(self.tags))]
+        for node in range(1, len(inside)):
+            inside[node] |= inside[self.parents[node]]
+        self.scores()
+        held = sum(size for node, size in self.main.items() if inside[node])
+        if (not roots or held <= MOST * sum(self.main.values())) and (votes := self.votes()):
+            roots = self._under(max(votes, key=lambda p: (votes[p], -len(p), p)))
+        return "\n".join(self.blocks(roots))
 
 
 def host_of(url: Column) -> Column:

@@ -373,19 +373,43 @@ def test_license_texts_are_found_with_gaps():
         ("<div class='content-sidebar'><p>hello</p></div>", "hello"),
         ("<p>1 < 2 & 3<p>x", "1 < 2 & 3\nx"),
         ("", ""),
+        ("<body><article class='post'><p>main text here</p></article><ol class='comment-list'><li><article class='comment-body'><p>me too</p></article></li></ol></body>", "main text here"),
+        ("<body><article><p>main text here</p></article><div class=commentList><article id=c1><p>a reader</p></article></div></body>", "main text here"),
+        ("<body><div class=cookieBar>we use them</div><div class=sideBar>links</div><div class=story><p>the story</p></div></body>", "the story"),
+        ("<body><div class=has-sidebar><article class=post><p>the story of a day</p></article></div><div>skip</div></body>", "the story of a day\nskip"),
+        ("<body><div class=related><article>one</article><article>two</article></div><div class=text>some text</div></body>", "some text"),
+        ("<body><div class=main-sidebar-wrap><article>one</article><article>two</article></div></body>", "one\ntwo"),
+        ("a<![CDATA[ b ]]>c", "ac"),
     ],
 )
 def test_main_text(source, want):
     assert Page(source).text(None) == want
 
 
+@pytest.mark.parametrize(
+    "piece", ["<div>", "<b>", "<div><p>x", "<![CDATA[", "<a '", "<a href=\"", "</p>", "<li>", "<i>y</section>", "<script", "</script", "<!-- ", "<td>x"]
+)
+def test_time_grows_with_the_page(piece):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        Page("<script>" * (piece == "</script") + piece * n).text("#>div")
+        return time.perf_counter() - start
+
+    assert seconds(100_000) < 30 * max(seconds(10_000), 0.01)  # a square would be 100 times as much
+
+
 def test_hosts_agree_on_a_path(spark):
-    short = "<body><article><p>ok</p></article><div class=x><p>" + "something long around " * 9 + "</p></div></body>"
+    short = "<body><article><p>" + "some text " * 9 + "</p></article><div class=x><p>" + "words around " * 3 + "</p></div></body>"
+    other = "<body><article><p>a few words of an intro</p></article><div class=story><p>" + "the text " * 40 + "</p></div></body>"
     usual = "<body><article><p>" + "the text of a page " * 30 + "</p></article><div class=x><p>around</p></div></body>"
     from strandcall.llm.host_paths import extract
 
-    pages = spark.createDataFrame([(k, "http://h/x", usual) for k in range(5)] + [(9, "http://H/y", short)], "page_id long, url string, html string")
-    assert {r.row.page_id: r.text for r in extract(pages).collect()}[9] == "ok"
+    pages = spark.createDataFrame([(k, "http://h/x", usual) for k in range(5)] + [(9, "http://H/y", short), (8, "http://h/z", other)], "page_id long, url string, html string")
+    found = {r.row.page_id: r.text for r in extract(pages).collect()}
+    assert Page(short).text(None).endswith("words around")
+    assert (found[9], found[8]) == (("some text " * 9).strip(), "a few words of an intro\n" + ("the text " * 40).strip())
 
 
 def test_text_beside_the_longest_blocks_stays(spark):
