@@ -32,10 +32,12 @@ def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        sketches.as_text(F.col("sketch")).alias("fingerprint"),
-        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketches.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketches.as_text("sketch").alias("fingerprint"),
+        sketches.as_text("edited_sketch").alias("edited_fingerprint"),
+        sketches.likeness("sketch", "edited_sketch").alias("near_edited"),
+        sketches.likeness("sketch", "next_sketch").alias("near_next"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("inside_edited"),
+        sketches.containment(F.col("edited_sketch"), sketches.merged(F.col("sketch"), F.col("next_sketch"))).alias("edited_inside_both"),
     )
 
 

@@ -2,9 +2,9 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash space, so its
 size follows the text and sketches of very unequal texts compare: what both keep
-is a fair sample of what both have. The smallest hash is always kept, so that a
-short text is never without one. Sketches merge by union. All of it is
-DataFrame code.
+is a fair sample of what both have. Sketches merge by union: the union is the sketch of both
+sets of shingles, whatever their sizes. A short text may be left without a hash; its least
+hash, kept beside the sketch, tells it from others then. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql.window import WindowSpec
 from strandcall.llm.common import text_hash
 from strandcall.session import stage
 
-SCALE = 8  # one hash in so many is kept
+SCALE = 2  # one hash in so many is kept
 BLANK = " \t\n\x0b\f\r"
 PARTS = 8  # for each shuffle partition: tasks get several small parts, and so about as much
 NULL_BITS = 8  # rows without an id are dealt out by so many bits of their text's hash
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = 5, scale: int = SCALE) -> DataFrame:
-    """Adds ``out``, the sorted sketch of a text column: array of long, empty for a text without words.
+    """Adds ``out``, the sorted sketch of a text column (array of long), and ``{out}_least``, its least hash at any size.
+
+    A text without words has an empty sketch and no least hash.
 
     A shingle is ``words`` consecutive words as written; a text of fewer is one
     shingle. Steps are columns of their own, used several times each, so that
@@ -35,34 +37,36 @@ def with_sketch(df: DataFrame, text: str, out: str, words: int = 5, scale: int =
     h, n = F.col(hashes), F.size(hashes)
     several = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
     one = F.array(F.xxhash64(h))
-    kept = F.concat(F.filter(shingles, lambda x: x < least), F.array(F.array_min(shingles)))
+    kept = F.array_sort(F.array_distinct(F.filter(shingles, lambda x: x < least)))
     return (
         df.withColumn(split, F.when(trimmed != "", F.split(trimmed, "[\\x20\\x09-\\x0D]+")))
         .withColumn(hashes, F.transform(split, lambda w: F.xxhash64(w)))
         .withColumn(shingles, F.when(n >= words, several).when(n > 0, one))
-        .withColumn(out, F.when(F.col(shingles).isNull(), F.array().cast("array<long>")).otherwise(F.array_sort(F.array_distinct(kept))))
+        .withColumn(out, F.coalesce(kept, F.array().cast("array<long>")))
+        .withColumn(f"{out}_least", F.array_min(shingles))
         .drop(split, hashes, shingles)
     )
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated resemblance of two sketches: 1 if both are empty, 0 if one is."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+def likeness(a: str, b: str) -> Column:
+    """Estimated resemblance of two sketches, columns of ``with_sketch``. If both are empty it is 1 or 0, as their least hashes agree."""
+    union, same = F.size(F.array_union(a, b)), F.col(f"{a}_least").eqNullSafe(F.col(f"{b}_least"))
+    return F.when(union == 0, same.cast("double")).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of ``a`` that is in ``b``; an empty sketch is in any."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The estimated share of ``a`` that is in ``b``; null if the sketch ``a`` is empty, as nothing is known of it."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts put together, but for shingles across the seam."""
+    """The sketch of the shingles of both texts."""
     return F.array_sort(F.array_union(a, b))
 
 
-def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), "")
+def as_text(sketch: str) -> Column:
+    """The least hash, a hyphen and all hashes of a sketch, in hexadecimal; empty for a text without words."""
+    return F.concat_ws("-", F.lower(F.hex(f"{sketch}_least")), F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), ""))
 
 
 def _placed(docs: DataFrame, parts: int) -> DataFrame:
@@ -102,20 +106,22 @@ def in_circle(docs: DataFrame, parts: int) -> tuple[DataFrame, WindowSpec]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, scale: int = SCALE) -> DataFrame:
-    """(doc_id, text, sketch, edited, edited_sketch, next_sketch) of every row.
+    """(doc_id, text, sketch, edited, edited_sketch, next_sketch) of every row, and the least hash beside each sketch.
 
     ``edited`` has the last third of the code points replaced by as many from the beginning
-    of the next text, in descending order of the ids (numbers; nulls last, ties by the
-    hash of the text). Null texts count as empty. A single row is its own next.
+    of the next text, in descending order of the ids (numbers; a text that is none counts as
+    null; nulls last, ties by the hash of the text). Null texts count as empty. A single row is its own next.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", text_hash(F.col("text")))
     parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both, order = in_circle(rows, parts)
-    both = with_sketch(both, "text", "sketch", words, scale)
-    both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
+    both = both.withColumn("next_text", F.lead("text").over(order))
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - third), F.substring("next_text", F.lit(1), third))
     found = both.where(~F.col("closing")).withColumn("edited", edited)
-    return with_sketch(found, "edited", "edited_sketch", words, scale).select("doc_id", "text", "sketch", "edited", "edited_sketch", "next_sketch")
+    texts = {"text": "sketch", "edited": "edited_sketch", "next_text": "next_sketch"}
+    for text, out in texts.items():  # behind the shuffle, which moves texts only
+        found = with_sketch(found, text, out, words, scale)
+    return found.select("doc_id", "text", "edited", *[c for out in texts.values() for c in (out, f"{out}_least")])

@@ -1,11 +1,12 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
 Rules (host, path) fit a host with its subdomains and every path that begins with
-theirs; listed URLs fit exactly. A URL's candidates, each suffix of its host with
-each beginning of its path as long as some rule's, are looked up in a Bloom filter whose bits
-for one key all lie in one block of ``WORDS`` words. The filter has ``BLOCKS``
-blocks at every size, so it may be sent to all executors; what passes is joined
-exactly, which takes false positives away. All of it is DataFrame code.
+theirs; listed URLs fit exactly. A URL's candidates, each suffix of its host and beginning
+of its path with as many labels and characters as some rule's, are looked up in a Bloom filter whose bits
+for one key all lie in one block of ``WORDS`` words. The filter has ``KEY_BITS`` to twice as many
+bits for each key, so that its rate of false positives, below 1 %, doesn't rise with the list. It is
+staged: Spark sends it to all executors if it is small, else both sides meet by block. What
+passes is joined exactly, which takes false positives away. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandcall.llm.common import LOWER, UPPER
+from strandcall.session import stage
 
-BLOCKS = 1 << 14
 WORDS = 8
+KEY_BITS = 16
 PROBES = 6
 SALT = "bloom"
 
@@ -33,8 +35,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(found[0], UPPER, LOWER), found[1]
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+def blocks_for(n: int) -> int:
+    """Blocks of a filter for ``n`` keys: a power of two."""
+    return 1 << max(n * KEY_BITS // (64 * WORDS), 1).bit_length()
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
 
 
 def _probes(key: Column) -> list[tuple[Column, Column]]:
@@ -47,28 +54,33 @@ def _probes(key: Column) -> list[tuple[Column, Column]]:
     return found
 
 
-def build_filter(keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """(block, w0 .. w7): the blocks that have bits, at most ``BLOCKS`` rows."""
+def build_filter(keys: DataFrame, blocks: int, key_col: str = "key") -> DataFrame:
+    """(block, w0 .. w7): those of the blocks that have bits."""
     masks = [(word, F.expr("shiftleft(1L, bit)")) for word in range(WORDS)]
-    probes = keys.select(_block(F.col(key_col)).alias("block"), F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col(key_col))])).alias("p"))
+    probes = keys.select(_block(F.col(key_col), blocks).alias("block"), F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col(key_col))])).alias("p"))
     probes = probes.select("block", "p.word", "p.bit")
     return probes.groupBy("block").agg(*[F.bit_or(F.when(F.col("word") == w, m).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w, m in masks])
 
 
-def possible(keys: DataFrame, bloom: DataFrame, key_col: str = "key") -> DataFrame:
+def possible(keys: DataFrame, bloom: DataFrame, blocks: int, key_col: str = "key") -> DataFrame:
     """Rows whose key may be in the filter; none that is in it is lost."""
-    rows = keys.withColumn("_block", _block(F.col(key_col))).join(F.broadcast(bloom), F.col("_block") == F.col("block"))
+    rows = keys.withColumn("_block", _block(F.col(key_col), blocks)).join(bloom, F.col("_block") == F.col("block"))
     words = F.array(*[F.col(f"w{k}") for k in range(WORDS)])
     hits = [F.getbit(F.get(words, w), b) == 1 for w, b in _probes(F.col(key_col))]
     return rows.where(reduce(Column.__and__, hits)).select(*keys.columns)
 
 
-def candidates(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """(host, path, key) of distinct urls: ``r`` keys for rules, one ``u`` key for the list."""
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    beginnings = F.filter(F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
-    rules = F.flatten(F.transform(suffixes, lambda s: F.transform(beginnings, lambda p: F.concat(F.lit("r"), s, p))))
+def _labels(host: str) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(F.col(host), F.lit("."))) + 1
+
+
+def candidates(urls: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(host, path, key) of distinct urls: ``r`` keys for rules with so many (labels, characters), one ``u`` key for the list."""
+    fitting = [
+        F.when((_labels("host") >= k) & (F.char_length("path") >= n), F.concat(F.lit("r"), F.substring_index("host", ".", -k), F.substring("path", 1, n)))
+        for k, n in sizes
+    ]
+    rules = F.array_compact(F.array(*fitting)) if sizes else F.array().cast("array<string>")
     listed = F.array(F.concat(F.lit("u"), "host", "path"))
     return urls.select("host", "path", F.explode(F.array_distinct(F.concat(rules, listed))).alias("key"))
 
@@ -88,9 +100,11 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
     exact = named.unionByName(
         listed.select(F.concat(F.lit("u"), "host", "path").alias("key")).distinct(), allowMissingColumns=True
     )
-    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # no more than a path may have characters
-    asked = candidates(rows.select("host", "path").distinct(), lengths)
-    hits = possible(asked, build_filter(exact.select("key"))).join(exact, "key")
+    exact = stage(exact, "exact-keys")
+    sizes = sorted(tuple(r) for r in rules.select(_labels("host"), F.char_length("path")).distinct().collect())  # sizes of rules, not rules
+    asked = candidates(rows.select("host", "path").distinct(), sizes)
+    blocks = blocks_for(exact.count())
+    hits = possible(asked, stage(build_filter(exact.select("key"), blocks), "bloom"), blocks).join(exact, "key")
     rank = F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule").alias("size"), "host_length", (F.col("ruled") == "block").alias("blocks"), "rule", "ruled"))
     judged = hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
     is_listed = F.coalesce("listed", F.lit(False))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandcall.llm import byte_cnn, components, license_automaton, mixing, phrase_index, sentence_spans, simhash_trees, sketches, token_counts, url_bloom
 from strandcall.llm.host_paths import Page
@@ -245,14 +246,43 @@ def test_sketches(spark, folder, docs):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
 
 
+def plain_sketch(text):
+    """(hashes below half of the space, least hash) of 5-word shingles, by the library."""
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    found = set()
+    for k in range(max(len(words) - 4, 1) if words else 0):
+        h = 42
+        for word in words[k : k + 5]:
+            h = xxhash.xxh64_intdigest(word.to_bytes(8, "little"), h)
+        found.add(signed(h))
+    return {h for h in found if h < 0}, min(found, default=None)
+
+
+def test_sketches_are_those_of_the_library(spark, folder, docs):
+    found = sketches.fingerprints(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert len(found) == len(docs)
+    for r in found:
+        for text, sketch, least in ((r.text, r.sketch, r.sketch_least), (r.edited, r.edited_sketch, r.edited_sketch_least)):
+            assert (set(sketch), least) == plain_sketch(text) and sketch == sorted(set(sketch))
+
+
 def test_sketches_merge_and_contain(spark):
-    whole = " ".join(f"w{i}" for i in range(3000))
-    df = spark.createDataFrame([(whole, " ".join(whole.split()[:300]))], "a string, b string")
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(" ".join(words[a : a + n]), " ".join(words[b : b + m])) for a, n, b, m in ((0, 3000, 0, 300), (0, 5, 9, 5), (0, 3, 7, 900), (0, 60, 0, 6), (0, 0, 1, 9))]
+    rows += [(" ".join(words[k : k + 5]), " ".join(words[k + 90 : k + 95])) for k in range(100)]
+    df = spark.createDataFrame(rows, "a string, b string")
     df = sketches.with_sketch(sketches.with_sketch(df, "a", "sa"), "b", "sb")
-    row = df.select(
-        sketches.containment(df.sb, df.sa).alias("inside"), sketches.likeness(df.sa, df.sb).alias("near"), (sketches.merged(df.sa, df.sb) == df.sa).alias("same")
-    ).first()
-    assert row.inside >= 0.95 and row.near == pytest.approx(0.1, abs=0.05)
+    found = df.select(
+        "a", "b", "sb", sketches.containment(df.sb, df.sa).alias("inside"), sketches.containment(df.sb, sketches.merged(df.sa, df.sb)).alias("inside_both"),
+        sketches.likeness("sa", "sb").alias("near"), sketches.merged(df.sa, df.sb).alias("both"),
+    ).collect()
+    for r in found:
+        assert set(r.both) == plain_sketch(r.a)[0] | plain_sketch(r.b)[0]
+        assert r.inside_both == (1 if r.sb else None)
+    assert found[0].inside == 1 and found[0].near == pytest.approx(0.1, abs=0.03)
+    assert found[3].inside in (1, None)
+    assert all(r.near == 0 for r in found[5:])  # texts without a hash in the sketch are told apart by the least one
 
 
 def test_phrases_near_each_other(spark):
@@ -283,10 +313,31 @@ def test_many_terms_are_shuffled_without_a_change(spark, monkeypatch, folder):
 def test_bloom_filter_loses_nothing(spark):
     keys = spark.range(2000).selectExpr("concat('uhost/', id) key")
     asked = spark.range(20000).selectExpr("concat('uhost/', id) key")
-    passed = url_bloom.possible(asked, url_bloom.build_filter(keys)).count()
+    blocks = url_bloom.blocks_for(2000)
+    passed = url_bloom.possible(asked, url_bloom.build_filter(keys, blocks), blocks).count()
     assert 2000 <= passed < 2400
 
 
+@pytest.mark.parametrize("n", [3_000, 300_000])
+def test_rate_of_false_positives_does_not_rise_with_the_list(spark, n):
+    keys = spark.range(n).select(F.concat(F.lit("in"), F.col("id")).alias("key"))
+    other = spark.range(200_000).select(F.concat(F.lit("out"), F.col("id")).alias("key"))
+    blocks = url_bloom.blocks_for(n)
+    bloom = url_bloom.build_filter(keys, blocks)
+    assert url_bloom.possible(keys, bloom, blocks).count() == n
+    assert url_bloom.possible(other, bloom, blocks).count() < 0.01 * 200_000
+
+
+def test_hosts_of_many_labels(spark):
+    hosts = ["a." * 100_000 + "example.com", "example.com", "x.example.com", "myexample.com", "com", "example.com."]
+    pages = spark.createDataFrame([(f"http://{h}/en/1",) for h in hosts], "url string")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block")], "host string, path string, verdict string")
+    found = url_bloom.judge(pages, rules, rules.select("host", "path").limit(0))
+    want = dict(zip(hosts, ("block", "block", "block", "allow", "allow", "other")))
+    assert {r.host: r.verdict for r in url_bloom.judge(pages, rules, rules.select("host", "path").limit(0), otherwise="other").collect()} == want
+    assert found.count() == len(hosts)
+
+
 def test_network_tells_junk_and_does_not_depend_on_blocks():
     rng = np.random.default_rng(3)
     words = ["ander", "lith", "morne", "quess", "tavor", "ible", "onn"]
