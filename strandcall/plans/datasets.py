@@ -22,7 +22,7 @@ from strandcall.operators.batching import assign_batches
 from strandcall.operators.curation import with_context
 from strandcall.operators.labelling import exclude_used, labelled_samples, valid_labels
 from strandcall.operators.lists import gene_lists
-from strandcall.operators.splits import filter_holdout
+from strandcall.operators.splits import filter_holdout, require_rows
 from strandcall.vocab import SAMPLE_KEYS
 
 
@@ -32,9 +32,15 @@ def load_samples(
     split: str | None = "train",
     test_lines: str | None = "none",
     used: DataFrame | None = None,
+    require: bool = False,
 ) -> DataFrame:
-    """Labelled samples of one split: keys, label, gold text."""
+    """Labelled samples of one split: keys, label, gold text.
+
+    With ``require`` a split without calls is an error, found by looking for one row before anything is joined.
+    """
     narrow = filter_holdout(calls, split, test_lines).select("cell_type", "pert", "gene", "label")
+    if require:
+        require_rows(narrow, f"no call in split {split}, held-out cell lines {test_lines}")
     samples = labelled_samples(narrow, directions)
     if used is not None:
         samples = exclude_used(samples, used)
@@ -65,9 +71,12 @@ def single_file_samples(
     cell_type: str,
     context: DataFrame | None = None,
     context_keys: Sequence[str] = ("pert",),
+    require: bool = False,
 ) -> DataFrame:
-    """Up / down samples of one direction file, with optional background in the prompt."""
+    """Up / down samples of one direction file, with optional background in the prompt; ``require`` as in ``load_samples``."""
     clean, _ = valid_labels(rows)
+    if require:
+        require_rows(clean, f"no row of {cell_type} with a valid label")
     samples = clean.select("pert", "gene", "label").withColumn("cell_type", F.lit(cell_type))
     question = user_prompt()
     if context is not None:

@@ -147,3 +147,14 @@ def test_missing_responses_fail_their_batches(spark, tree, tmp_path):
     errors = back.where("api_error").collect()
     assert len(errors) == answered.where("api_error").count()
     assert all(r.extracted_answer is None and not r.is_correct and r.user_prompt.endswith("(API Call Failed)") for r in errors)
+
+
+def test_plans_tell_that_nothing_is_left(spark, tree):
+    calls, directions = read_pairs(spark, tree)
+    assert datasets.load_samples(calls, directions, "test", "hepg2", require=True).count() == 210
+    assert datasets.load_samples(calls, directions, "test", "absent").count() == 0
+    with pytest.raises(ValueError, match="empty: no call in split test, held-out cell lines absent"):
+        datasets.load_samples(calls, directions, "test", "absent", require=True)
+    bad = directions.select("pert", "gene", F.lit("1.5").alias("label"))
+    with pytest.raises(ValueError, match="no row of k562"):
+        datasets.single_file_samples(bad, "k562", require=True)
