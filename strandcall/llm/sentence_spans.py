@@ -1,12 +1,17 @@
-"""Removal of passages that repeat, by sliding runs of words.
+"""Removal of passages that repeat, by sliding spans of sentences.
 
-A text is cut at every word, so that a passage is cut alike wherever it stands and
-whatever stands around it; a run begins at every word and holds ``least_words``. All
-words under a run that stood somewhere before, in the order of (id, text hash, place),
-are removed, up to both ends of the passage.
+A run is several consecutive sentences; runs slide by one sentence, and all of them count. Sentences
+under a run that stood somewhere before, in the order of (id, text hash, place), are removed whole.
+
+A sentence ends at its punctuation. As a passage may begin or end inside one, a second rule cuts
+sentences into parts, which count as sentences: two neighbouring words part where the hash of the pair is the least of
+some ``PART`` consecutive ones. Inside a passage both rules see the passage alone, but for ``PART`` words at either end. So
+every passage of ``least_words + 2 * PART`` words is found wherever it stands, and at most ``PART`` words stay at
+either end of it. For each sentence there is the shortest run of enough sentences and words that
+begins with it, and the one that ends with it, so that these cover all longer ones.
 
 Not every run has to be shuffled. The smallest hash of ``SEED`` consecutive words in a run is
-its seed; equal runs have equal seeds, and about one word in seven begins one. Seeds
+its seed; runs of equal words have equal seeds, and about one word in eight begins one. Seeds
 are joined globally first, and only runs whose seed stands in another place too are hashed
 (128 bits) and joined. This leaves out no run that repeats.
 """
@@ -27,18 +32,25 @@ from strandcall.llm.common import modest_batches, packed, row_key, ship, small_b
 from strandcall.session import stage
 
 WORD = re.compile(r"\S+")
-SEED = 8
+PART = 8
+SEED = 6
+LAST = np.uint64(2**64 - 1)
+ENDS = frozenset(".!?:;\u2026\u3002\uff01\uff1f\u0964\u061f")
+CLOSERS = "\"')]}\u00bb\u201c\u201d\u2019"
 BUCKETS = 1 << 16
 HOT = 8
 SALTS = 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32))
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 class Digests(dict):
-    """128-bit hashes of words."""
+    """128-bit hashes of words, whose last bit of the second half tells whether a sentence ends."""
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = xxhash.xxh3_128_digest(word.encode())
+        digest = bytearray(xxhash.xxh3_128_digest(word.encode("utf-8", "replace")))
+        digest[8] = digest[8] & 0xFE | (word.rstrip(CLOSERS)[-1:] in ENDS)
+        found = self[word] = bytes(digest)
         return found
 
 
@@ -54,19 +66,6 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return found ^ (found >> MIX[2])
 
 
-def joined(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, put together from runs of 1, 2, 4 and so on."""
-    whole, at, step, n = None, 0, 1, len(hashes)
-    while step <= size:
-        if size & step:
-            left = max(0, n - at - step + 1)
-            whole = hashes if whole is None else _mixed(whole[:left], hashes[at : at + left])
-            at += step
-        hashes = _mixed(hashes[:-step], hashes[step:])
-        step *= 2
-    return whole
-
-
 def sliding(values: np.ndarray, width: int, which: np.ufunc) -> np.ndarray:
     """The least or largest of every ``width`` consecutive values, of which there are so many at least."""
     step = 1
@@ -77,43 +76,75 @@ def sliding(values: np.ndarray, width: int, which: np.ufunc) -> np.ndarray:
     return which(values[: len(values) - more], values[more:]) if more else values
 
 
-def run_size(least_sentences: int, least_words: int) -> int:
-    """Words of a run; as texts are cut at every word, each may count as a part of a sentence."""
-    return max(least_sentences, least_words, 1)
+def least_of_some(values: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least of some ``width`` consecutive ones; equal ones all are."""
+    if len(values) < width:
+        return np.zeros(len(values), bool)
+    beside = np.zeros(width - 1, np.uint64)
+    return values == sliding(np.concatenate([beside, sliding(values, width, np.minimum), beside]), width, np.maximum)
+
 
+def sentences(hashes: np.ndarray) -> np.ndarray:
+    """The numbers of the words that begin a sentence, and the number of words."""
+    ends = (hashes[:-1, 1] & np.uint64(1)).astype(bool)
+    ends |= least_of_some(_mixed(hashes[:-1, 0], hashes[1:, 0]), PART)
+    return np.concatenate([[0], np.flatnonzero(ends) + 1, [len(hashes)]])
 
-def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[bytes], np.ndarray]:
-    """The hashes of all runs, and how many words each has; run ``i`` begins with word ``i``."""
-    size, hashes = run_size(least_sentences, least_words), word_hashes(text, Digests())
-    keys = [key.tobytes() for key in joined(hashes, size)] if len(hashes) >= size else []
-    return keys, np.full(len(keys), size)
 
+class Spans:
+    """Hashes of any runs of words of one text, from sums of its words' hashes at the powers of a base, modulo 2 ** 64."""
 
-def seeds(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of ``SEED`` consecutive words at every word, and the seed of every run."""
-    short = min(SEED, size)
-    near = joined(np.ascontiguousarray(hashes[:, 0]), short)
-    return near, sliding(near, size - short + 1, np.minimum)
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        self.sums, self.back = [], []
+        for lane, base in enumerate(BASES):
+            powers, inverse = (np.cumprod(np.array([1] + [b] * n, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, lane] * powers[:n], dtype=np.uint64)]))
+            self.back.append(inverse)
 
+    def lane(self, lane: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        found = (self.sums[lane][end] - self.sums[lane][first]) * self.back[lane][first]
+        return _mixed(found, (end - first).astype(np.uint64))
 
-def counted_seeds(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct seeds of a text, and in how many places each stands; equal ones in a run all count."""
-    near, least = seeds(hashes, size)
-    width = len(near) - len(least) + 1
-    beside = np.zeros(width - 1, np.uint64)
-    return np.unique(near[near == sliding(np.concatenate([beside, least, beside]), width, np.maximum)], return_counts=True)
 
+def runs(bounds: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence of every run, and the one behind its last.
 
-def text_seeds(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    From each sentence the shortest run onwards, and to each the shortest run before it.
+    """
+    few, at = max(least_sentences, 1), np.arange(len(bounds))
+    until = np.maximum(np.searchsorted(bounds, bounds + least_words), at + few)
+    since = np.minimum(np.searchsorted(bounds, bounds - least_words, "right") - 1, at - few)
+    ahead, behind = until < len(bounds), since >= 0
+    pairs = np.concatenate([at[ahead] * len(bounds) + until[ahead], since[behind] * len(bounds) + at[behind]])
+    return np.divmod(np.unique(pairs), len(bounds))
+
+
+def sentence_runs(text: str, known: Digests, least_sentences: int, least_words: int) -> tuple | None:
+    """(spans, begins, ends, near, seed) of a text with runs: the words that limit them, hashes of ``SEED`` words, seeds."""
+    hashes, least_words = word_hashes(text, known), max(least_words, 1)
+    if len(hashes) < least_words:
+        return None
+    bounds = sentences(hashes)
+    first, end = runs(bounds, least_sentences, least_words)
+    if not len(first):
+        return None
+    spans, begins, ends, few = Spans(hashes), bounds[first], bounds[end], min(SEED, least_words)
+    at = np.arange(len(hashes) - few + 1)
+    near = np.append(spans.lane(0, at, at + few), LAST)
+    return spans, begins, ends, near[:-1], np.minimum.reduceat(near, np.stack([begins, ends - few + 1], axis=1).ravel())[::2]
+
+
+def text_seeds(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
     """(seed, places, id_key, h): the distinct seeds of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             known, where, found, places = Digests(), [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                hashes = word_hashes(text or "", known)
-                if len(hashes) >= size:
-                    values, counts = counted_seeds(hashes, size)
+                parts = sentence_runs(text or "", known, least_sentences, least_words)
+                if parts:
+                    values, counts = np.unique(parts[3][np.isin(parts[3], parts[4])], return_counts=True)
                     found.append(values)
                     places.append(counts)
                     where.append(np.full(len(values), k))
@@ -127,9 +158,8 @@ def text_seeds(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
-    """(hi, lo, doc_id, h, first, again): every run whose seed stands in two places; ``again`` if rows repeat its id and text."""
-    size = run_size(least_sentences, least_words)
-    found = stage(text_seeds(docs, id_col, text_col, size), "seeds")
+    """(hi, lo, doc_id, h, first, words, again): every run whose seed stands in two places; ``again`` if rows repeat its id and text."""
+    found = stage(text_seeds(docs, id_col, text_col, least_sentences, least_words), "seeds")
     key = F.xxhash64("id_key", "h")
     places = found.groupBy("seed").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.max("places").alias("places"))
     repeated = stage(places.where((F.col("a") != F.col("b")) | (F.col("places") > 1)).select("seed"), "repeated-seeds")
@@ -138,24 +168,26 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 32):
-            known, where, keys, first = Digests(), [], [], []
+            known, where, hi, lo, firsts, words = Digests(), [], [], [], [], []
             for k, text in enumerate(batch.column(3).to_pylist()):
-                hashes = word_hashes(text, known)
-                wanted = np.asarray(batch.column(4)[k].values).view(np.uint64)
-                at = np.flatnonzero(np.isin(seeds(hashes, size)[1], wanted))
-                keys.append(joined(hashes, size)[at].view(np.int64))
+                whole, begins, ends, _, seed = sentence_runs(text, known, least_sentences, least_words)
+                at = np.flatnonzero(np.isin(seed, np.asarray(batch.column(4)[k].values).view(np.uint64)))
+                begins, ends = begins[at], ends[at]
+                hi.append(whole.lane(0, begins, ends).view(np.int64))
+                lo.append(whole.lane(1, begins, ends).view(np.int64))
                 where.append(np.full(len(at), k))
-                first.append(at.astype(np.int32))
-            if keys:
-                words = np.ascontiguousarray(np.concatenate(keys).T)
+                firsts.append(begins.astype(np.int32))
+                words.append((ends - begins).astype(np.int32))
+            if where:
                 rows = batch.select([0, 1, 2]).take(pa.array(np.concatenate(where)))
-                columns = [*map(pa.array, words), *rows.columns[:2], pa.array(np.concatenate(first)), rows.column(2)]
-                yield pa.RecordBatch.from_arrays(columns, ["hi", "lo", "doc_id", "h", "first", "again"])
+                places = [pa.array(np.concatenate(c)) for c in (firsts, words)]
+                columns = [*(pa.array(np.concatenate(c)) for c in (hi, lo)), *rows.columns[:2], *places, rows.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["hi", "lo", "doc_id", "h", "first", "words", "again"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in row_key(id_col, text_col).items()])
     texts = modest_batches(texts).join(by_doc, ["id_key", "h"]).select("doc_id", "h", "again", "text", "seeds")
-    return texts.mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, again boolean")
+    return texts.mapInArrow(run, f"hi long, lo long, doc_id {kind}, h long, first int, words int, again boolean")
 
 
 def repeated_spans(
@@ -175,7 +207,7 @@ def repeated_spans(
     mean = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > HOT * max(mean / BUCKETS, 100)).select("bucket", F.lit(True).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))).otherwise(0).alias("salt")
-    dealt = found.join(F.broadcast(hot), "bucket", "left").select("hi", "lo", salt, "hot", "doc_id", "h", "first")  # hot: BUCKETS rows at most
+    dealt = found.join(F.broadcast(hot), "bucket", "left").select("hi", "lo", salt, "hot", "doc_id", "h", "first", "words")  # hot: BUCKETS rows at most
     place = [F.col("doc_id").asc_nulls_last(), "h", "first"]
     ranked = dealt.withColumn("rank", F.rank().over(Window.partitionBy("hi", "lo", "salt").orderBy(*place)))
     ranked = ranked.where((F.col("rank") > 1) | F.col("hot"))
@@ -183,10 +215,18 @@ def repeated_spans(
     ranked = stage(ranked.withColumns(hashes), "ranked-spans")
     firsts = ranked.where(F.col("rank") == 1).withColumn("rank", F.rank().over(Window.partitionBy("hi", "lo").orderBy(*place)))
     later = ranked.unionByName(firsts).where(F.col("rank") > 1)
-    return later.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "h", "first", F.lit(run_size(least_sentences, least_words)).alias("words"))
+    return later.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "h", "first", "words")
+
+
+def under(first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of the words under any of these runs."""
+    turns = np.zeros(int(max(np.add(first, words))) + 1, np.int64)
+    np.add.at(turns, first, 1)
+    np.add.at(turns, np.add(first, words), -1)
+    return np.flatnonzero(np.cumsum(turns) > 0)
 
 
-def without(text: str, covered: list[int]) -> str:
+def without(text: str, covered: list[int] | np.ndarray) -> str:
     """The text without the words of these numbers and the white space after them."""
     starts = [p.start() for p in WORD.finditer(text)]
     gone = np.zeros(len(starts), bool)
@@ -200,27 +240,28 @@ def without(text: str, covered: list[int]) -> str:
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 20
 ) -> DataFrame:
-    """(row, n_removed long, left string): each row of ``docs`` as a struct, and its text without repeated passages.
+    """(row, n_removed long, left string): each row of ``docs`` as a struct, and its text without repeated sentences.
 
-    ``n_removed`` counts words.
+    ``n_removed`` counts words. Rows that repeat id and text, null ids included, are one document: all of them
+    keep what stands first there. Texts that are null, empty or shorter than a run are left as they are.
     ``left`` is the text itself where nothing repeats (null stays null) and may
     become empty; no row is dropped.
     """
     found = repeated_spans(docs, id_col, text_col, least_sentences, least_words)
-    by_doc = stage(found.groupBy("id_key", "h").agg(F.collect_set("first").alias("firsts")), "repeats-by-text")
+    by_doc = stage(found.groupBy("id_key", "h").agg(F.collect_set(F.struct("first", "words")).alias("found")), "repeats-by-text")
     text = F.col(f"row.{text_col}").cast("string")
-    size = run_size(least_sentences, least_words)
 
     @F.pandas_udf("n long, left string")
-    def cut(texts: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, firsts: pd.Series, words: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, numbers in zip(texts, firsts):
-            covered = np.unique(np.add.outer(numbers, np.arange(size))) if len(numbers) else []
+        for t, first, size in zip(texts, firsts, words):
+            covered = under(first, size) if len(first) else []
             rows.append((len(covered), t if t is None or not len(covered) else without(t, covered)))
         return pd.DataFrame(rows, columns=["n", "left"])
 
     rows = modest_batches(packed(docs, **row_key(id_col, text_col))).join(by_doc, ["id_key", "h"], "left")
-    changed = cut(F.when(F.col("firsts").isNotNull(), text), F.coalesce("firsts", F.array().cast("array<int>")))
+    places = [F.coalesce(F.col("found")[c], F.array().cast("array<int>")) for c in ("first", "words")]
+    changed = cut(F.when(F.col("found").isNotNull(), text), *places)
     rows = rows.withColumn("cut", changed)
     return rows.select("row", F.col("cut.n").alias("n_removed"), F.coalesce("cut.left", text).alias("left"))
 
