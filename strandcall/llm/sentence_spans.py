@@ -53,6 +53,13 @@ class Digests(dict):
         found = self[word] = bytes(digest)
         return found
 
+    def powers(self, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` powers of a lane's base and of its inverse; those of the longest text yet are kept."""
+        held = self.__dict__.setdefault("held", {})
+        if lane not in held or len(held[lane][0]) < n:
+            held[lane] = [np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (BASES[lane], pow(BASES[lane], -1, 1 << 64))]
+        return tuple(x[:n] for x in held[lane])
+
 
 def word_hashes(text: str, known: Digests) -> np.ndarray:
     """Two 64-bit hashes of each word in lower case."""
@@ -94,17 +101,16 @@ def sentences(hashes: np.ndarray) -> np.ndarray:
 class Spans:
     """Hashes of any runs of words of one text, from sums of its words' hashes at the powers of a base, modulo 2 ** 64."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        n = len(hashes)
-        self.sums, self.back = [], []
-        for lane, base in enumerate(BASES):
-            powers, inverse = (np.cumprod(np.array([1] + [b] * n, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, lane] * powers[:n], dtype=np.uint64)]))
-            self.back.append(inverse)
+    def __init__(self, hashes: np.ndarray, known: Digests) -> None:
+        self.hashes, self.known, self.sums = hashes, known, {}
 
     def lane(self, lane: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        found = (self.sums[lane][end] - self.sums[lane][first]) * self.back[lane][first]
-        return _mixed(found, (end - first).astype(np.uint64))
+        powers, back = self.known.powers(lane, len(self.hashes) + 1)
+        if lane not in self.sums:
+            self.sums[lane] = np.zeros(len(self.hashes) + 1, np.uint64)
+            np.cumsum(self.hashes[:, lane] * powers[:-1], out=self.sums[lane][1:])
+        sums = self.sums[lane]
+        return _mixed((sums[end] - sums[first]) * back[first], (end - first).astype(np.uint64))
 
 
 def runs(bounds: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,7 @@ def sentence_runs(text: str, known: Digests, least_sentences: int, least_words:
     first, end = runs(bounds, least_sentences, least_words)
     if not len(first):
         return None
-    spans, begins, ends, few = Spans(hashes), bounds[first], bounds[end], min(SEED, least_words)
+    spans, begins, ends, few = Spans(hashes, known), bounds[first], bounds[end], min(SEED, least_words)
     at = np.arange(len(hashes) - few + 1)
     near = np.append(spans.lane(0, at, at + few), LAST)
     return spans, begins, ends, near[:-1], np.minimum.reduceat(near, np.stack([begins, ends - few + 1], axis=1).ravel())[::2]
