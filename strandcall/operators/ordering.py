@@ -16,6 +16,8 @@ from strandcall.session import stage
 
 HASH = "_hash"
 BUCKET_DIGITS = 4  # 65,536 buckets: the size table is at most that long per group
+KEY_BUCKETS = 1 << 16
+MOST_IN_TASK = 1_000_000  # rows of one bucket of keys that a task may sort
 
 
 def hash_of(seed: int | str, keys: Sequence[str | Column]) -> Column:
@@ -55,27 +57,45 @@ def expand(df: DataFrame, first: Column, stop: Column, out: str, step: int = 409
     )
 
 
-def number_copies(df: DataFrame, keys: Sequence[str], out: str = "occurrence") -> DataFrame:
+def number_copies(df: DataFrame, keys: Sequence[str], out: str = "occurrence", most: int = MOST_IN_TASK) -> DataFrame:
     """Number the rows that share ``keys`` from 0, in the order of the other columns.
 
-    With ``out`` among its keys a sample draws rows even where keys repeat. Equal
-    rows are counted and written out again in blocks, so that a frequent row is
+    With ``out`` among its keys a sample draws rows even where keys repeat. Rows are counted in ``KEY_BUCKETS``
+    buckets of their keys first. Those of buckets of up to ``most`` rows are numbered behind one shuffle by their keys; the others,
+    which hold the frequent keys, in ranges. Use it on narrow frames.
+    """
+    rest = [c for c in df.columns if c not in keys] or list(keys)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    counted = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = [row.bucket for row in counted.collect()]  # KEY_BUCKETS numbers at most
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)).cast("bigint") - 1
+    if not large:
+        return df.withColumn(out, place)
+    frequent = _number_in_ranges(df.where(bucket.isin(large)), keys, out)
+    return df.where(~bucket.isin(large)).withColumn(out, place).unionByName(frequent)
+
+
+def _number_in_ranges(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``number_copies`` of frequent keys.
+
+    Equal rows are counted and written out again in blocks, so that a frequent row is
     spread over the partitions. The counted rows are stored in ranges of (keys, other columns):
     a frequent key spans many ranges, which are numbered side by side, each
-    from the number of rows in the ranges in front of it. Use it on narrow frames.
+    from the number of rows in the ranges in front of it.
     """
-    columns = df.columns
-    rest = [c for c in columns if c not in keys] or list(keys)
-    ranged = add_hash(collapse(df), 0, keys).repartitionByRange(*keys, *rest)
-    placed = stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges").withColumn("_key", F.struct(*keys))
+    others = [c for c in df.columns if c not in keys]
+    ranged = collapse(df).repartitionByRange(*keys, *others)
+    placed = stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges").select(F.struct(*keys).alias("_key"), *others, "copies", "_range")
     before = (Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_key", "_range").agg(F.sum("copies").alias("_size"))
     across = Window.partitionBy("_key").orderBy("_range").rowsBetween(*before)
     offsets = sizes.select("_key", "_range", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_key", "_range").orderBy(*rest).rowsBetween(*before)
+    within = Window.partitionBy("_key", "_range").orderBy(*(others or ["_key"])).rowsBetween(*before)
     inside = placed.withColumn("_within", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     started = inside.join(offsets, ["_key", "_range"]).withColumn("_from", F.col("_offset") + F.col("_within"))
-    return expand(started, F.col("_from"), F.col("_from") + F.col("copies"), out).select(*columns, out)
+    started = started.withColumn(HASH, F.xxhash64("_key", *others))  # deals out the rows of a key as well
+    found = expand(started, F.col("_from"), F.col("_from") + F.col("copies"), out)
+    return found.select("_key.*", *others, out).select(*df.columns, out)
 
 
 def run_starts(

@@ -60,3 +60,24 @@ def test_a_frequent_key_is_numbered_in_many_tasks(spark):
         assert sum(r.n > 0 for r in spread) >= 3 and max(r.n for r in spread) < 6000
     finally:
         spark.conf.set(name, before)
+
+
+NUMBERED = "if(id % 2 = 0, null, concat('k', id % 50)) key", "int(id % 7) other", "int(id * 7919 % 601) v"
+
+
+def test_keys_without_frequent_ones_are_numbered_behind_one_shuffle(spark):
+    found = number_copies(spark.range(4000).selectExpr(*NUMBERED), ["key", "other"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("Initial Plan")[0].count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("keys", [["key"], ["key", "other"], ["key", "other", "v"]])
+@pytest.mark.parametrize("most", [1, 100, 4000])
+def test_frequent_and_other_keys_are_numbered_alike(spark, rows, keys, most):
+    """Buckets of over 100 rows hold the null key only, those of over one row all keys, of over 4000 none; null keys and equal rows are numbered as well."""
+    df = spark.range(4000).selectExpr(*NUMBERED)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy("key", "other", "v")) - 1
+    found = number_copies(df, keys, most=most)
+    assert found.columns == [*df.columns, "occurrence"] and found.schema["occurrence"].dataType.simpleString() == "bigint"
+    assert rows(found) == rows(df.withColumn("occurrence", plain))
