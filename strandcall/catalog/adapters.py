@@ -227,6 +227,23 @@ TREE = {
 }
 
 
+WRITERS, WRITERS_CONF = 64, "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def write_cells(rows: DataFrame, parts: str, **options: object) -> None:
+    """One CSV file for each cell line in a folder of its own.
+
+    A task has the files of up to ``WRITERS`` cell lines open at once and writes rows as they come; else it would have to sort them.
+    """
+    conf = rows.sparkSession.conf
+    before = conf.get(WRITERS_CONF)
+    conf.set(WRITERS_CONF, WRITERS)
+    try:
+        rows.repartition("cell_type").write.partitionBy("cell_type").options(header=True, **options).csv(parts)
+    finally:
+        conf.set(WRITERS_CONF, before)
+
+
 def csv_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
     """Write calls and directions as one CSV file per cell line, named after it."""
     tables = {"de": calls(spark, sf_dir).withColumn("note", F.lit('a, "b"')), "dir": directions(spark, sf_dir)}
@@ -234,9 +251,8 @@ def csv_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
     for kind, orders in TREE.items():
         for number, (columns, cells) in enumerate(orders.items()):
             parts = f"{folder}/parts/{kind}{number}"
-            rows = tables[kind].where(F.col("cell_type").isin(*cells)).repartition("cell_type")
-            writer = rows.select("cell_type", *columns).write.partitionBy("cell_type")
-            writer.option("header", True).option("escape", '"').csv(parts)
+            rows = tables[kind].where(F.col("cell_type").isin(*cells))
+            write_cells(rows.select("cell_type", *columns), parts, escape='"')
             system = hadoop.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
             for cell in cells:
                 found = system.globStatus(hadoop.Path(f"{parts}/cell_type={cell}/part-*.csv"))
@@ -257,13 +273,12 @@ def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ragged_tree(spark: SparkSession, sf_dir: str, folder: str) -> str:
     """One file for each cell line with lines of ``ragged_lines`` under a header."""
     lines = ragged_lines(spark, sf_dir)
-    heads = lines.select("cell_type").distinct().select("cell_type", F.lit("pert,gene,label").alias("value"), F.lit(0).alias("at"))
-    rows = lines.withColumn("at", F.lit(1)).unionByName(heads).repartition("cell_type").sortWithinPartitions("cell_type", "at")
-    rows.select("cell_type", "value").write.partitionBy("cell_type").text(f"{folder}/parts")
+    plain = {"sep": "\x01", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # lines as they are
+    write_cells(lines.select("cell_type", F.col("value").alias("pert,gene,label")), f"{folder}/parts", **plain)
     hadoop = spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in heads.collect():  # cell lines
-        found = system.globStatus(hadoop.Path(f"{folder}/parts/cell_type={row.cell_type}/part-*.txt"))
+    for row in lines.select("cell_type").distinct().collect():
+        found = system.globStatus(hadoop.Path(f"{folder}/parts/cell_type={row.cell_type}/part-*.csv"))
         target = hadoop.Path(f"{folder}/{row.cell_type}-de.csv")
         if len(found) != 1 or not system.rename(found[0].getPath(), target):
             raise OSError(f"{row.cell_type}-de.csv is not one file")

@@ -132,7 +132,7 @@ def file_report(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """(cell_type, path, header, n_rows, n_short, n_long) of every file of one kind, as one job over all of them.
 
     The first line that isn't blank is the header; rows with fewer or more fields than it are counted. The scan shrinks
-    to one row for each file and number of fields before it is shuffled; no path reaches the driver.
+    to one row for each block of a file and number of fields before it is shuffled, a second one keeps the headers; no path reaches the driver.
     A file of blank lines has no header and no rows, one of no bytes is not listed by Spark. Quoted fields don't span lines, as in ``read_calls``.
     """
     glob = f"*{SUFFIX[kind]}"
@@ -142,18 +142,20 @@ def file_report(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     lines = spark.read.option("pathGlobFilter", glob).text(folder).where(F.trim("value") != "")
     bare = F.regexp_replace("value", UNQUOTED, "$1")
     fields = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","))) + 1
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-    counted = lines.select(key, fields.alias("fields"), place.alias("place")).groupBy("key", "fields")
-    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    block, line = F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    lines = lines.select(key, block, line, fields.alias("fields"), "value")  # a second scan gives lines the same numbers
+    counted = lines.groupBy("key", "block", "fields").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))  # numbers only: hashed, not sorted
     files = counted.groupBy("key").agg(
-        F.min(F.struct("first", "fields")).alias("top"), F.collect_list(F.struct("fields", "n")).alias("sizes")
-    )  # as many sizes as there are numbers of fields
+        F.min(F.struct("block", "line", "fields")).alias("top"), F.collect_list(F.struct("fields", "n")).alias("sizes")
+    )  # as many sizes as there are blocks and numbers of fields
+    tops = files.select("key", "top.block", "top.line")
+    heads = lines.join(F.broadcast(tops), ["key", "block", "line"]).select("key", "value")  # a line of each file
 
     def rows(wanted: Callable[[Column], Column]) -> Column:
         return F.aggregate(F.filter("sizes", lambda s: wanted(s["fields"])), F.lit(0).cast("long"), lambda n, s: n + s["n"])
 
-    found = listed.join(files, "key", "left").withColumn("width", F.col("top.fields"))
-    names = F.split(F.col("top.first.value"), ",")
+    found = listed.join(files, "key", "left").join(heads, "key", "left").withColumn("width", F.col("top.fields"))
+    names = F.split("value", ",")
     return found.select(
         F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"{re.escape(SUFFIX[kind])}$", "").alias("cell_type"),
         path.alias("path"),

@@ -237,3 +237,34 @@ def test_report_text_is_ordered(spark, tmp_path):
     W.write_report(df, str(tmp_path / "report"))
     text = "".join(f.read_text() for f in sorted((tmp_path / "report").glob("part-*")))
     assert text.splitlines() == sorted(text.splitlines()) and len(text.splitlines()) == 100
+
+
+def test_trees_are_written_and_counted_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """Rows go to files as they come; a file in several blocks, with blank lines first, is counted as a whole."""
+    from strandcall.catalog import adapters as A
+
+    cells = spark.range(3000).selectExpr("concat('c', id % 3) cell_type", "concat('S', id, ',P ,\"x, \"\"y\"\"\"') value")
+    frame, seen = type(cells), []
+    conf, write = "spark.sql.maxConcurrentOutputFileWriters", frame.write.fget
+    plan_of = lambda df: df._jdf.queryExecution().toString()
+    monkeypatch.setattr(frame, "write", property(lambda df: seen.append(("Sort " in plan_of(df), int(spark.conf.get(conf)) >= 3)) or write(df)))
+    monkeypatch.setattr(A, "ragged_lines", lambda spark, sf_dir: cells)
+    before = spark.conf.get(conf)
+    folder = A.ragged_tree(spark, "", str(tmp_path / "tree"))
+    assert seen == [(False, True)] and spark.conf.get(conf) == before
+    for k in range(3):
+        head, *lines = (tmp_path / "tree" / f"c{k}-de.csv").read_text().splitlines()
+        assert head == "pert,gene,label" and sorted(lines) == sorted(f'S{i},P ,"x, ""y"""' for i in range(k, 3000, 3))
+    (tmp_path / "tree" / "c9-de.csv").write_text("\n \n" * 900 + "gene,pert,label\n" + "a,b\n" * 500 + "a,b,1\n" * 300 + "a,b,1,2\n" * 40)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1k")
+    try:
+        report = R.file_report(spark, folder, "de")
+        found = {r.cell_type: (r.header, r.n_rows, r.n_short, r.n_long) for r in report.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert found["c9"] == (["gene", "pert", "label"], 840, 500, 40)
+    assert found["c1"] == (["pert", "gene", "label"], 1000, 0, 0)
+    plan = report._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "partial_min(place" not in plan and "partial_min(line" in plan
