@@ -91,6 +91,12 @@ def least_of_some(values: np.ndarray, width: int) -> np.ndarray:
     return values == sliding(np.concatenate([beside, sliding(values, width, np.minimum), beside]), width, np.maximum)
 
 
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among the wanted ones, of which there is one at least."""
+    wanted = np.sort(wanted)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 def sentences(hashes: np.ndarray) -> np.ndarray:
     """The numbers of the words that begin a sentence, and the number of words."""
     ends = (hashes[:-1, 1] & np.uint64(1)).astype(bool)
@@ -104,14 +110,22 @@ class Spans:
     def __init__(self, hashes: np.ndarray, known: Digests) -> None:
         self.hashes, self.known, self.sums = hashes, known, {}
 
-    def lane(self, lane: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _sums(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
         powers, back = self.known.powers(lane, len(self.hashes) + 1)
         if lane not in self.sums:
             self.sums[lane] = np.zeros(len(self.hashes) + 1, np.uint64)
             np.cumsum(self.hashes[:, lane] * powers[:-1], out=self.sums[lane][1:])
-        sums = self.sums[lane]
+        return self.sums[lane], back
+
+    def lane(self, lane: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        sums, back = self._sums(lane)
         return _mixed((sums[end] - sums[first]) * back[first], (end - first).astype(np.uint64))
 
+    def every(self, lane: int, width: int) -> np.ndarray:
+        """``lane`` of all runs of ``width`` words."""
+        sums, back = self._sums(lane)
+        return _mixed((sums[width:] - sums[:-width]) * back[:-width], np.uint64(width))
+
 
 def runs(bounds: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First sentence of every run, and the one behind its last.
@@ -122,8 +136,8 @@ def runs(bounds: np.ndarray, least_sentences: int, least_words: int) -> tuple[np
     until = np.maximum(np.searchsorted(bounds, bounds + least_words), at + few)
     since = np.minimum(np.searchsorted(bounds, bounds - least_words, "right") - 1, at - few)
     ahead, behind = until < len(bounds), since >= 0
-    pairs = np.concatenate([at[ahead] * len(bounds) + until[ahead], since[behind] * len(bounds) + at[behind]])
-    return np.divmod(np.unique(pairs), len(bounds))
+    pairs = np.sort(np.concatenate([at[ahead] * len(bounds) + until[ahead], since[behind] * len(bounds) + at[behind]]))
+    return np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], len(bounds))
 
 
 def sentence_runs(text: str, known: Digests, least_sentences: int, least_words: int) -> tuple | None:
@@ -136,8 +150,7 @@ def sentence_runs(text: str, known: Digests, least_sentences: int, least_words:
     if not len(first):
         return None
     spans, begins, ends, few = Spans(hashes, known), bounds[first], bounds[end], min(SEED, least_words)
-    at = np.arange(len(hashes) - few + 1)
-    near = np.append(spans.lane(0, at, at + few), LAST)
+    near = np.append(spans.every(0, few), LAST)
     return spans, begins, ends, near[:-1], np.minimum.reduceat(near, np.stack([begins, ends - few + 1], axis=1).ravel())[::2]
 
 
@@ -150,9 +163,9 @@ def text_seeds(docs: DataFrame, id_col: str, text_col: str, least_sentences: int
             for k, text in enumerate(batch.column(2).to_pylist()):
                 parts = sentence_runs(text or "", known, least_sentences, least_words)
                 if parts:
-                    values, counts = np.unique(parts[3][np.isin(parts[3], parts[4])], return_counts=True)
+                    values, near = np.unique(parts[4]), np.sort(parts[3])
                     found.append(values)
-                    places.append(counts)
+                    places.append(np.searchsorted(near, values, "right") - np.searchsorted(near, values))
                     where.append(np.full(len(values), k))
             if found:
                 columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))]
@@ -177,7 +190,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
             known, where, hi, lo, firsts, words = Digests(), [], [], [], [], []
             for k, text in enumerate(batch.column(3).to_pylist()):
                 whole, begins, ends, _, seed = sentence_runs(text, known, least_sentences, least_words)
-                at = np.flatnonzero(np.isin(seed, np.asarray(batch.column(4)[k].values).view(np.uint64)))
+                at = np.flatnonzero(among(seed, np.asarray(batch.column(4)[k].values).view(np.uint64)))
                 begins, ends = begins[at], ends[at]
                 hi.append(whole.lane(0, begins, ends).view(np.int64))
                 lo.append(whole.lane(1, begins, ends).view(np.int64))

@@ -123,6 +123,16 @@ def test_sentence_spans(spark, folder, docs):
     assert sorted(((r.doc_id, r.n_removed, r.text) for r in found), key=repr) == sorted(((d.doc_id, *want[d.doc_id, d.text]) for d in docs), key=repr)
 
 
+def test_runs_of_equal_width_and_members():
+    """Hashes of all runs of a width are those of each run by itself; members are found as by plain sets."""
+    known = sentence_spans.Digests()
+    spans = sentence_spans.Spans(sentence_spans.word_hashes(" ".join(f"w{i * i % 17}" for i in range(90)), known), known)
+    at = np.arange(90 - 6 + 1)
+    assert spans.every(0, 6).tolist() == spans.lane(0, at, at + 6).tolist()
+    values, wanted = (np.array(x, np.uint64) for x in ([5, 0, 2**64 - 1, 7, 7, 9], [7, 2**64 - 1, 3, 7]))
+    assert sentence_spans.among(values, wanted).tolist() == [v in set(wanted.tolist()) for v in values.tolist()]
+
+
 def test_sentences():
     limits = lambda text: sentence_spans.sentences(sentence_spans.word_hashes(text, sentence_spans.Digests())).tolist()
     assert limits("one two. three? (four five!) six seven") == [0, 2, 3, 5, 7]
