@@ -37,7 +37,7 @@ def with_sketch(df: DataFrame, text: str, out: str, words: int = 5, scale: int =
     h, n = F.col(hashes), F.size(hashes)
     several = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
     one = F.array(F.xxhash64(h))
-    kept = F.array_sort(F.array_distinct(F.filter(shingles, lambda x: x < least)))
+    kept = F.sort_array(F.array_distinct(F.filter(shingles, lambda x: x < least)))  # array_sort makes objects at each comparison
     return (
         df.withColumn(split, F.when(trimmed != "", F.split(trimmed, "[\\x20\\x09-\\x0D]+")))
         .withColumn(hashes, F.transform(split, lambda w: F.xxhash64(w)))
@@ -61,12 +61,12 @@ def containment(a: Column, b: Column) -> Column:
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of the shingles of both texts."""
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
 def as_text(sketch: str) -> Column:
     """The least hash, a hyphen and all hashes of a sketch, in hexadecimal; empty for a text without words."""
-    return F.concat_ws("-", F.lower(F.hex(f"{sketch}_least")), F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), ""))
+    return F.lower(F.concat_ws("-", F.hex(f"{sketch}_least"), F.array_join(F.transform(sketch, F.hex), "")))
 
 
 def _placed(docs: DataFrame, parts: int) -> DataFrame:
@@ -116,12 +116,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("h", text_hash(F.col("text")))
     parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both, order = in_circle(rows, parts)
-    both = both.withColumn("next_text", F.lead("text").over(order))
+    both = with_sketch(both.repartition("part"), "text", "sketch", words, scale)  # behind the shuffle, which moves texts only
+    for name, behind in (("text", "next_text"), ("sketch", "next_sketch"), ("sketch_least", "next_sketch_least")):
+        both = both.withColumn(behind, F.lead(name).over(order))
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - third), F.substring("next_text", F.lit(1), third))
-    found = both.where(~F.col("closing")).withColumn("edited", edited)
-    texts = {"text": "sketch", "edited": "edited_sketch", "next_text": "next_sketch"}
-    for text, out in texts.items():  # behind the shuffle, which moves texts only
-        found = with_sketch(found, text, out, words, scale)
-    return found.select("doc_id", "text", "edited", *[c for out in texts.values() for c in (out, f"{out}_least")])
+    found = with_sketch(both.where(~F.col("closing")).withColumn("edited", edited), "edited", "edited_sketch", words, scale)
+    sketches = [c for out in ("sketch", "edited_sketch", "next_sketch") for c in (out, f"{out}_least")]
+    return found.select("doc_id", "text", "edited", *sketches)
